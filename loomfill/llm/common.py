@@ -60,3 +60,11 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Keep the Arrow batches that Python workers get small, as texts may be long."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return df

@@ -1,9 +1,10 @@
 """Queries of this package by name, and the SQL for those that SQL can express."""
 
+from loomfill.llm.bpe import op10_bpe
 from loomfill.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from loomfill.llm.sharding import op3_sharding
 from loomfill.llm.url_filter import OP2_SQL, op2_url_filters
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op3_sharding, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_url_filters, op3_sharding, op9_exact_dedup, op10_bpe)}
 
 ORACLE_SQL = {"op2_url_filters": OP2_SQL, "op9_exact_dedup": OP9_SQL}
