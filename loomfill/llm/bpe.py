@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from loomfill.llm.common import small_batches, table
 
-MEMO = 200_000
+MEMO = 300_000
 MEMO_PIECE = 48
+FITS = 500_000
+NONE: dict[int, bool] = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -72,16 +74,15 @@ class Tables:
 
 
 class Memo(dict):
-    """Piece to its ids, joined by commas and as numbers. Holds at most two
-    generations of ``MEMO`` short pieces; pieces in use survive a change."""
+    """Piece to its ids. Holds at most two generations of ``MEMO`` short
+    pieces; pieces in use survive a change."""
 
     def __init__(self, encode):
         self.encode, self.old = encode, {}
 
-    def __missing__(self, piece: str) -> tuple[str, list[int]]:
+    def __missing__(self, piece: str) -> tuple[int, ...]:
         if (found := self.old.get(piece)) is None:
-            ids = self.encode(piece.encode())
-            found = (",".join(map(str, ids)), ids)
+            found = tuple(self.encode(piece.encode()))
         if len(piece) <= MEMO_PIECE:
             if len(self) >= MEMO:
                 self.old = dict(self)
@@ -99,54 +100,61 @@ class Encoder:
         for token, rank in tables.made.items():
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
         self.automaton.make_automaton()
-        self.fits: dict[int, bool] = {}
+        self.digits = {rank: str(rank) for rank in self.bytes_of}
+        self.size = {rank: len(token) for rank, token in self.bytes_of.items()}
+        self.fits: dict[int, dict[int, bool]] = {}  # left token, right token
+        self.n_fits = 0
         self.memo = Memo(self.encode_piece)
 
     def compatible(self, left: int, right: int) -> bool:
-        key = left << 32 | right
-        if (known := self.fits.get(key)) is None:
-            if len(self.fits) >= MEMO:
-                self.fits.clear()
-            known = self.fits[key] = merge_pairs(self.bytes_of[left] + self.bytes_of[right], self.ranks) == [left, right]
+        if self.n_fits >= FITS:
+            self.fits.clear()
+            self.n_fits = 0
+        self.n_fits += 1
+        known = merge_pairs(self.bytes_of[left] + self.bytes_of[right], self.ranks) == [left, right]
+        self.fits.setdefault(left, {})[right] = known
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        n, bytes_of, shorter = len(piece), self.bytes_of, self.shorter
+        n, size, shorter, fits = len(piece), self.size, self.shorter, self.fits
         longest = [0] * n
-        for end, (rank, size) in self.automaton.iter(piece.decode("latin-1")):
-            longest[end - size + 1] = rank  # ends grow, so the longest one stays
+        for end, (rank, length) in self.automaton.iter(piece.decode("latin-1")):
+            longest[end - length + 1] = rank  # ends grow, so the longest one stays
         closed = bytearray(n + 1)
         out: list[int] = []
         at, token = 0, longest[0] if n else None
         while at < n:
             last = out[-1] if out else None
+            after = fits.get(last, NONE)
             while token is not None:
-                end = at + len(bytes_of[token])
-                if not closed[end] and (last is None or self.compatible(last, token)):
-                    break
+                end = at + size[token]
+                if not closed[end]:
+                    if last is None:
+                        break
+                    if (fit := after.get(token)) is None:
+                        fit = self.compatible(last, token)
+                        after = fits.get(last, NONE)
+                    if fit:
+                        break
                 token = shorter.get(token)
             if token is None:  # nothing may follow here: this place ends no token
                 closed[at] = 1
                 token = out.pop()
-                at -= len(bytes_of[token])
+                at -= size[token]
                 token = shorter.get(token)
                 continue
             out.append(token)
-            at += len(bytes_of[token])
+            at = end
             token = longest[at] if at < n else None
         return out
 
     def encode(self, text: str) -> list[int]:
-        memo = self.memo
-        return list(chain.from_iterable([memo[p][1] for p in self.split(text)]))
+        return list(chain.from_iterable(map(self.memo.__getitem__, self.split(text))))
 
-    def encode_joined(self, text: str) -> tuple[str, list[int]]:
-        """Ids of a text, joined by commas and as numbers."""
-        memo = self.memo
-        found = [memo[p] for p in self.split(text)]
-        return ",".join([f[0] for f in found]), list(chain.from_iterable([f[1] for f in found]))
+    def join(self, ids: Iterable[int]) -> str:
+        return ",".join(map(self.digits.__getitem__, ids))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -225,9 +233,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         for batch in batches:
             counts, ids_sha, decoded_sha = [], [], []
             for text in batch.column(1):
-                joined, ids = encoder.encode_joined(text.as_py())
+                ids = encoder.encode(text.as_py())
                 counts.append(len(ids))
-                ids_sha.append(sha(joined.encode()).hexdigest())
+                ids_sha.append(sha(encoder.join(ids).encode()).hexdigest())
                 decoded_sha.append(sha(encoder.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())],
