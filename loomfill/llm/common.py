@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -68,3 +69,10 @@ def small_batches(df: DataFrame) -> DataFrame:
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return df
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: its cleaner acts
+    when the driver collects its garbage, which it may not do for long."""
+    gc.collect()
+    spark._jvm.System.gc()

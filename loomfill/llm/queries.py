@@ -5,9 +5,10 @@ from loomfill.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from loomfill.llm.jaccard import op4_ngram_jaccard
 from loomfill.llm.mixing import op1_mixing
 from loomfill.llm.quality import op8_quality
+from loomfill.llm.repeats import op6_repeated_strings
 from loomfill.llm.sharding import op3_sharding
 from loomfill.llm.url_filter import OP2_SQL, op2_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filters, op3_sharding, op4_ngram_jaccard, op8_quality, op9_exact_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filters, op3_sharding, op4_ngram_jaccard, op6_repeated_strings, op8_quality, op9_exact_dedup, op10_bpe)}
 
 ORACLE_SQL = {"op2_url_filters": OP2_SQL, "op9_exact_dedup": OP9_SQL}
