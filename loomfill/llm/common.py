@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+#: Key tables up to this many rows (some 100 MB) are broadcast; larger ones are shuffled.
+BROADCAST_KEYS = 1_000_000
+
 _folders: dict[str, str] = {}
 
 
@@ -54,6 +57,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def only_keys(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """``df``'s rows with a key in the written table ``keys``; broadcast only after counting."""
+    keys = keys.select(on)
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, "left_semi").select(*df.columns)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. ``lower`` does that for pure ASCII, and faster."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

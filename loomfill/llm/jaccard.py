@@ -33,12 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfill.llm.common import small_batches, table, written
+from loomfill.llm.common import only_keys, small_batches, table, written
 from loomfill.llm.components import components
 from loomfill.llm.shingles import U, mix64, set_digest, shingle_set
 
-#: Look-up tables up to this many keys (some 100 MB) are broadcast; larger ones are shuffled.
-BROADCAST_KEYS = 1_000_000
 #: Nodes in a block and in a group of a family.
 BLOCK, GROUP = 512, 64
 #: Families with more tokens than this are pruned by the distributed matrix before they are dealt out.
@@ -199,12 +197,6 @@ def _explode_hashes(routed: DataFrame) -> DataFrame:
     return small_batches(routed.select("node", "data")).mapInArrow(run, "hash long, node binary")
 
 
-def _only(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """``df``'s rows with a key in the written table ``keys``; broadcast only after counting."""
-    keys = keys.select(on)
-    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, "left_semi")
-
-
 def _check_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The rows ``a, b`` of ``pairs`` whose sets link."""
 
@@ -315,13 +307,13 @@ def node_links(rows: DataFrame, routed: DataFrame, width: int, percent: int) ->
         hashes.select("hash", mark.alias("mark")).groupBy("hash").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high")
     )
     common = written(common.select("hash"), "common")
-    listed = written(_only(hashes, common, "hash").distinct(), "listed")
+    listed = written(only_keys(hashes, common, "hash").distinct(), "listed")
     first = listed.groupBy("hash").agg(F.min("node").alias("leader"))
     listed = written(listed.join(first, "hash"), "lists")
     # The sets of listed nodes, from one document of each.
     nodes = listed.select("node").distinct()
     chosen = written(routed.select("doc_id", "node").join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "chosen")
-    some = _only(rows, chosen.where("doc_id IS NOT NULL").distinct(), "doc_id").select(*rows.columns)
+    some = only_keys(rows, chosen.where("doc_id IS NOT NULL").distinct(), "doc_id").select(*rows.columns)
     some = some.unionByName(rows.where("doc_id IS NULL"))
     sets = written(_map_sets(some, width, percent, whole=True).drop("doc_id").dropDuplicates(["node"]), "sets")
     # Step 3: first components.
@@ -350,7 +342,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs``, all columns, with one document of each component: the smallest id. Ids must be unique and not null."""
     kept = jaccard_components(docs, id_col, text_col, width, percent).where("doc_id = component_id")
     kept = written(kept.select(F.col("doc_id").alias(id_col)), "kept")
-    return _only(docs, kept, id_col).select(*docs.columns)
+    return only_keys(docs, kept, id_col).select(*docs.columns)
 
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
