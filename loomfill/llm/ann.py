@@ -8,8 +8,10 @@ is the least that reaches ``goal`` recall on sample vectors.
 
 Every row is indexed under its most probable part. Queries go to their most
 probable parts and are ranked there by exact inner products in double
-precision. Parts are cut into blocks of ``BLOCK`` rows, for vectors and for
-queries, so a part that holds a third of all rows is many tasks.
+precision. Parts are packed into bins of up to ``BLOCK`` rows, and a query
+visits a bin once for all of its parts there, so that a bin returns one list
+per query. A part with more rows is a bin of its own, cut into blocks, as are
+the queries, so a part that holds a third of all rows is many tasks.
 """
 
 from __future__ import annotations
@@ -146,11 +148,12 @@ def fit_index(sample: np.ndarray, parts: int, goal: float = GOAL, seed: int = 3)
 
 
 def nearest_in_block(
-    ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int
+    ids: np.ndarray, vectors: np.ndarray, part: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, visits: np.ndarray, k: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score) of each query's k nearest others, ties to smaller ids.
+    """(query, id, score) of each query's k nearest others in the parts that it visits, ties to smaller ids.
 
-    Of equal vectors, those beyond the k + 1 smallest ids can't be in a result and are left out first.
+    ``visits`` tells for each query and part whether it goes there. Of equal vectors, those
+    beyond the k + 1 smallest ids can't be in a result and are left out first.
     """
     _, same = np.unique(vectors, axis=0, return_inverse=True)
     order = np.lexsort((ids, same))
@@ -158,12 +161,12 @@ def nearest_in_block(
     first = np.concatenate(([True], same[1:] != same[:-1]))
     position = np.arange(len(same)) - np.flatnonzero(first)[np.cumsum(first) - 1]
     order = order[position <= k]
-    ids, vectors = ids[order], vectors[order]
+    ids, vectors, part = ids[order], vectors[order], part[order]
     found = []
     for low in range(0, len(queries), CHUNK):
         q, qid = queries[low : low + CHUNK], query_ids[low : low + CHUNK]
         scores = q @ vectors.T
-        scores[qid[:, None] == ids[None, :]] = -np.inf
+        scores[(qid[:, None] == ids[None, :]) | ~visits[low : low + CHUNK][:, part]] = -np.inf
         top = min(k, scores.shape[1])
         floor = np.partition(scores, scores.shape[1] - top, axis=1)[:, scores.shape[1] - top]
         near = 1e-12 * np.abs(q).sum(axis=1) * max(1e-300, np.abs(vectors).max())
@@ -177,6 +180,21 @@ def nearest_in_block(
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
+def pack_parts(held: dict[int, int], size: int = BLOCK) -> tuple[dict[int, int], dict[int, int]]:
+    """The bin of each part, and the number of blocks of each bin."""
+    bin_of, blocks, room = {}, {}, 0
+    for part, n in sorted(held.items()):
+        if n > size:
+            bin_of[part], blocks[part] = part, -(-n // size)
+            continue
+        if n > room:
+            current, room = part, size
+            blocks[current] = 1
+        bin_of[part] = current
+        room -= n
+    return bin_of, blocks
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
@@ -232,28 +250,43 @@ def search(
         for batch in batches:
             if batch.num_rows:
                 visits = sent.value.visits(_matrix(batch.column(1)))
-                spots = pa.array(np.repeat(np.arange(len(visits)), visits.shape[1]))
-                yield pa.RecordBatch.from_arrays([*(c.take(spots) for c in batch.columns), pa.array(visits.ravel().astype(np.int32))], ["vec_id", "v", "part"])
+                bins = np.array([bin_of.get(p, -1) for p in range(sent.value.parts)])[visits]
+                rows = [(i, b, v[o == b].tolist()) for i, (v, o) in enumerate(zip(visits, bins)) for b in np.unique(o[o >= 0]).tolist()]
+                if rows:
+                    spots, own, parts = zip(*rows)
+                    columns = [*(c.take(pa.array(spots)) for c in batch.columns), pa.array(own, pa.int32()), pa.array(parts, pa.list_(pa.int32()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["vec_id", "v", "bin", "visits"])
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         q, i, s = (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
         if left.num_rows and right.num_rows:
-            q, i, s = nearest_in_block(left["vec_id"].to_numpy(), _matrix(left["v"]), right["vec_id"].to_numpy(), _matrix(right["v"]), k)
+            go = np.zeros((right.num_rows, sent.value.parts), bool)
+            for row, parts in zip(go, right["visits"].to_pylist()):
+                row[parts] = True
+            q, i, s = nearest_in_block(
+                left["vec_id"].to_numpy(), _matrix(left["v"]), left["part"].to_numpy(), right["vec_id"].to_numpy(), _matrix(right["v"]), go, k
+            )
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
 
     asked = usable_vectors(queries, id_col, vector_col).where(F.size("v") == dims.dim)
     placed = written(usable.mapInArrow(place, "vec_id long, v array<double>, part int"), "placed")
-    routed = written(asked.mapInArrow(route, "vec_id long, v array<double>, part int"), "routed")
-    blocks = lambda df, name: df.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
-    grid = F.broadcast(blocks(placed, "nv").join(blocks(routed, "nq"), "part"))  # one row per part
+    held = {r.part: r.n for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # max_parts rows
+    bin_of, blocks = pack_parts(held)
+    routed = written(asked.mapInArrow(route, "vec_id long, v array<double>, bin int, visits array<int>"), "routed")
+    asks = {r.bin: r.n for r in routed.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}  # no more rows than parts
+    grid = [(p, b, blocks[b], -(-asks[b] // BLOCK)) for p, b in bin_of.items() if b in asks]
+    if not grid:
+        return spark.createDataFrame([], schema)
+    by_part = F.broadcast(spark.createDataFrame(grid, "part int, bin int, nv int, nq int"))
+    by_bin = F.broadcast(spark.createDataFrame(sorted({g[1:] for g in grid}), "bin int, nv int, nq int"))
     own = F.xxhash64("vec_id")
-    v = placed.join(grid, "part").select(
-        "vec_id", "v", "part", F.pmod(own, "nv").cast("int").alias("bv"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("bq")
+    v = placed.join(by_part, "part").select(
+        "vec_id", "v", "part", "bin", F.pmod(own, "nv").cast("int").alias("bv"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("bq")
     )
-    q = routed.join(grid, "part").select(
-        "vec_id", "v", "part", F.pmod(own, "nq").cast("int").alias("bq"), F.explode(F.sequence(F.lit(0), F.col("nv") - 1)).alias("bv")
+    q = routed.join(by_bin, "bin").select(
+        "vec_id", "v", "visits", "bin", F.pmod(own, "nq").cast("int").alias("bq"), F.explode(F.sequence(F.lit(0), F.col("nv") - 1)).alias("bv")
     )
-    cell = ["part", "bv", "bq"]
+    cell = ["bin", "bv", "bq"]
     near = v.groupBy(*cell).cogroup(q.groupBy(*cell)).applyInArrow(rank, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
