@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +37,12 @@ NODE = T.StructType(
         T.StructField("return_type", T.StringType()),
     ]
 )
+_ARROW_NODES = pa.list_(
+    pa.struct(
+        [(n, pa.string()) for n in ("node_type", "name", "span", "body")]
+        + [("params", pa.list_(pa.struct([("name", pa.string()), ("type", pa.string())]))), ("return_type", pa.string())]
+    )
+)
 Node = tuple[str, str | None, str, str | None, list[tuple[str, str]] | None, str | None]
 
 
@@ -240,8 +246,10 @@ class _Items:
                 end += 1
             kind = {"type": "Other"}.get(word, word.capitalize())
             self.add(kind, self.tokens[k + 1].text, start, end)
-            if at in self.match and word in ("mod", "trait"):
+            if at in self.match and word == "mod":
                 self.walk(at + 1, end)
+            elif at in self.match and word == "trait":  # items within its methods, not the methods
+                self.out += self.members(at + 1, end)[1]
             return end + 1
         if word in ("const", "static") and not self.is_(k + 1, "{", "|", "||", "move"):
             at = self.seek(k, high, ";")
@@ -270,21 +278,27 @@ class _Items:
         stop = self.seek(first, at, "where")
         over = self.seek(first, stop, "for")
         self.add("Impl", self.text(over + 1 if over < stop else first, stop), start, end)
-        bodies, k = [], at + 1
-        before = len(self.out)
+        methods, nested = self.members(at + 1, end)
+        self.out += methods + nested
+        return end + 1
+
+    def members(self, k: int, end: int) -> tuple[list[Node], list[Node]]:
+        """Methods among the members of an implementation or trait, and the items within their bodies."""
+        methods: list[Node] = []
         nested: list[Node] = []
-        while k < end:  # methods first, then the items within their bodies
+        before = len(self.out)
+        while k < end:
             done = self.item(k, end, inside_impl=True)
             if done is not None:
                 made = self.out[before:]
                 del self.out[before:]
-                bodies += made[:1] if made and made[0][0] == "Function" else []
-                nested += made[1:] if made and made[0][0] == "Function" else []
+                if made and made[0][0] == "Function":
+                    methods += made[:1]
+                    nested += made[1:]
                 k = done
             else:
                 k = self.match.get(k, k) + 1
-        self.out += bodies + nested
-        return end + 1
+        return methods, nested
 
     def function(self, k: int, high: int) -> int | None:
         name = self.tokens[k + 1].text if k + 1 < high else ""
@@ -351,16 +365,17 @@ def extract_nodes(files: DataFrame, language: str, alias_functions: bool = False
     """
     parse = PARSERS[language]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [parse(code) if code is not None else None for code in frame["code"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [parse(code) if code is not None else None for code in batch.column(1).to_pylist()]
             if alias_functions:
                 found = [f and [("Function", *x[1:]) if x[0] == "FunctionDef" else x for x in f] for f in found]
-            keep = [bool(f) for f in found]
-            yield frame[keep].assign(nodes=[[dict(zip(NODE.names, x)) | {"params": x[4] and [{"name": a, "type": b} for a, b in x[4]]} for x in f] for f in found if f])
+            rows = [[dict(zip(NODE.names, x)) | {"params": x[4] and [{"name": a, "type": b} for a, b in x[4]]} for x in f] for f in found if f]
+            kept = batch.filter(pa.array([bool(f) for f in found], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(rows, _ARROW_NODES)], ["path", "code", "nodes"])
 
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("code", T.StringType()), T.StructField("nodes", T.ArrayType(NODE))])
-    return files.select("path", "code").mapInPandas(run, schema)
+    return files.select("path", "code").mapInArrow(run, schema)
 
 
 def explode_nodes(parsed: DataFrame) -> DataFrame:

@@ -57,7 +57,8 @@ def read_corpus_map(spark: SparkSession, path: str) -> DataFrame:
 def read_corpus_lines(spark: SparkSession, path: str, keep_bad: bool = False) -> DataFrame:
     """``path, code, nodes`` of a corpus with a JSON object per line; ``bad`` holds lines that don't parse, if kept."""
     schema = f"path string, code string, ast {_AST}, bad string"
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad").json(require(path))
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"})
+    rows = spark.read.text(require(path)).select(parsed.alias("r")).select("r.*")
     if keep_bad:
         return _normal_nodes(rows.where("bad IS NULL")).withColumn("bad", F.lit(None).cast("string")).unionByName(
             rows.where("bad IS NOT NULL").select("bad"), allowMissingColumns=True
