@@ -157,6 +157,8 @@ def nearest_in_block(
     """
     _, same = np.unique(vectors, axis=0, return_inverse=True)
     order = np.lexsort((ids, same))
+    again = np.concatenate(([False], (same[order][1:] == same[order][:-1]) & (ids[order][1:] == ids[order][:-1])))
+    order = order[~again]  # repeated rows count once
     same = same[order]
     first = np.concatenate(([True], same[1:] != same[:-1]))
     position = np.arange(len(same)) - np.flatnonzero(first)[np.cumsum(first) - 1]

@@ -144,7 +144,7 @@ def permuted_common_prefixes(text: np.ndarray, array: np.ndarray, most: int = 1
     partner = np.full(n, -1, np.int64)
     partner[array[1:]] = array[:-1]
     place = np.arange(n)
-    direct = (place == 0) | (partner <= 0) | (text[place - 1] != text[partner - 1])
+    direct = (place == 0) | (partner <= 0) | (text[place - 1] != text[np.maximum(partner - 1, 0)])
     start, other = place[direct], partner[direct]
     shared = np.zeros(len(start), np.int64)
     wide = np.zeros(n + 8, np.uint8)
