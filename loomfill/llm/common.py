@@ -48,13 +48,26 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def few(spark: SparkSession, share: int) -> int:
+    """One file for so many shuffle partitions."""
+    return max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // share)
+
+
+def written(df: DataFrame, name: str, share: int = 1, heavy: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and
-    any executor can reread the files when another one is lost."""
+    any executor can reread the files when another one is lost.
+
+    With ``share``, a table that is small beside its input is written in one
+    file for so many shuffle partitions. ``heavy`` tells that its last step is
+    more than reading a shuffle, and must keep all of its tasks.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    schema = df.schema
+    if share > 1:
+        df = df.repartition(few(spark, share)) if heavy else df.coalesce(few(spark, share))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def only_keys(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:

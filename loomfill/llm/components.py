@@ -25,7 +25,7 @@ def components(links: DataFrame) -> DataFrame:
     Loops and repeated links are allowed; rows with a null end are ignored.
     """
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    edges = written(edges, "edges")
+    edges = written(edges, "edges", share=16)
     before = _summary(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -33,7 +33,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        edges = written(small.where("a <> b").distinct(), "edges")
+        edges = written(small.where("a <> b").distinct(), "edges", share=16)
         after = _summary(edges)
         if after == before:
             break

@@ -76,7 +76,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """``docs`` with all its columns and only the rows that stay. Ids must be unique and not null."""
     keep = copy_groups(docs, id_col, text_col, salts).select(F.col("keep_id").alias(id_col))
-    return only_keys(docs, written(keep, "kept"), id_col)
+    return only_keys(docs, written(keep, "kept", share=4), id_col)
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

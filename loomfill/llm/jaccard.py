@@ -3,16 +3,20 @@
 Exact for the threshold asked for, whatever the texts:
 
 1. Texts become sets of shingle hashes; equal sets are one node from here on.
-2. Routing. Two sets that link differ in at most ``d`` tokens, so of ``d + 1``
+2. Tokens of one node. A first matrix tells tokens that one node has from
+   those that more have. A node with too many of its own can't reach the
+   threshold with any other, and is closed out. Tokens travel packed, sorted
+   and cut to 48 bits; tokens that fall together only keep nodes in.
+3. Routing. Two sets that link differ in at most ``d`` tokens, so of ``d + 1``
    parts of the token space, cut for their size class, one holds the same
-   tokens in both. Each node emits the hashes of its parts; nodes that share
-   one are listed together. Only hashes seen in two nodes are kept.
-3. Each listed node is compared with the first node of its list. Linked nodes
+   tokens in both. Each open node emits the hashes of its parts; nodes that
+   share one are listed together.
+4. Each listed node is compared with the first node of its list. Linked nodes
    form first components, so groups of near copies cost linear work.
-4. Lists that still span components form families. A family's token-group
+5. Lists that still span components form families. A family's token-group
    matrix says which components have a token; a node whose tokens outside its
    own component cannot reach the threshold is closed out.
-5. What remains of a family is partitioned into groups of similar nodes, each
+6. What remains of a family is partitioned into groups of similar nodes, each
    with its token union and postings. A node's overlap with a union bounds its
    overlap with every member; only groups that qualify are opened, and opening
    one counts the exact intersections from its postings.
@@ -30,10 +34,10 @@ from math import ceil, exp, sqrt
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfill.llm.common import only_keys, small_batches, table, written
+from loomfill.llm.common import free_shuffles, only_keys, small_batches, table, written
 from loomfill.llm.components import components
 from loomfill.llm.shingles import U, mix64, set_digest, shingle_set
 
@@ -161,40 +165,116 @@ def _tokens(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint64)
 
 
-def _map_sets(docs: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
-    """``doc_id, n, node`` and, by ``whole``, the set itself or its part hashes."""
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.make_valid_utf8(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return small_batches(docs.select("doc_id", text.alias("text")))
+
+
+def _map_sets(docs: DataFrame, width: int, whole: bool) -> DataFrame:
+    """``doc_id, n, node, mark``, and by ``whole`` the set itself as ``data``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        route = router(percent)
         for batch in batches:
-            n, node, data = [], [], []
-            for text in batch.column(1):
+            sets = [shingle_set(text.as_py(), width) for text in batch.column(1)]
+            nodes = [set_digest(s) for s in sets]
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(map(_mark, nodes), pa.int64())]
+            columns += [pa.array([s.tobytes() for s in sets], pa.binary())] * whole
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "mark", "data"][: 4 + whole])
+
+    rows = _texts(docs)
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n long, node binary, mark long" + ", data binary" * whole)
+
+
+def _mark(node: bytes) -> int:
+    """A number for a node; should two nodes share it, their tokens only look shared."""
+    return int.from_bytes(node[:8], "little", signed=True)
+
+
+#: Tokens are dealt out by their first 8 bits and compared by the next 40.
+_RANGES = 256
+
+
+def _own_tokens(docs: DataFrame, width: int) -> DataFrame:
+    """``mark, own``: how many tokens of a node no other node has; nodes without any are left out."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets, marks = [], []
+            for text in batch.column(0):
                 tokens = shingle_set(text.as_py(), width)
-                n.append(len(tokens))
-                node.append(set_digest(tokens))
-                data.append((tokens if whole else route.hashes(tokens)).tobytes())
+                if len(tokens):
+                    sets.append(tokens)
+                    marks.append(_mark(set_digest(tokens)))
+            if not sets:
+                continue
+            tokens = np.concatenate(sets)
+            owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+            order = np.argsort(tokens)
+            tokens, owner = tokens[order], owner[order]
+            cuts = np.searchsorted(tokens, np.arange(1, _RANGES, dtype=np.uint64) << U(56))
+            low = ((tokens >> U(16)).astype(np.uint32)).astype("<u4")
+            high = (tokens >> U(48)).astype(np.uint8)
+            out = [[], [], [], [], []]
+            bounds = np.concatenate(([0], cuts, [len(tokens)]))
+            for k in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
+                part = slice(bounds[k], bounds[k + 1])
+                held, index = np.unique(owner[part], return_inverse=True)
+                for column, value in zip(out, (k, low[part].tobytes(), high[part].tobytes(), index.astype("<u2").tobytes(), np.array(marks, "<i8")[held].tobytes())):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["range", "low", "high", "owner", "marks"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for k, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                held.setdefault(k, []).append(row)
+        for k in list(held):
+            tokens, owners = [], []
+            for low, high, owner, marks in held.pop(k):
+                tokens.append(np.frombuffer(high, np.uint8).astype(np.uint64) << U(32) | np.frombuffer(low, "<u4"))
+                owners.append(np.frombuffer(marks, "<i8")[np.frombuffer(owner, "<u2")])
+            tokens, owners = np.concatenate(tokens), np.concatenate(owners)
+            order = np.argsort(tokens)
+            tokens, owners = tokens[order], owners[order]
+            first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+            single = np.minimum.reduceat(owners, first) == np.maximum.reduceat(owners, first)
+            # A token of one node may come from several copies of it, and counts once.
+            mark, own = np.unique(owners[first[single]], return_counts=True)
+            group = np.searchsorted(mark, np.arange(-_RANGES // 2, _RANGES // 2, dtype=np.int64) << 56)
+            group = np.append(group, len(mark))
+            some = np.flatnonzero(group[1:] > group[:-1]).tolist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(data, pa.binary())], ["doc_id", "n", "node", "data"]
+                [pa.array(some, pa.int32()), *(pa.array([x[group[i] : group[i + 1]].tobytes() for i in some], pa.binary()) for x in (mark, own.astype("<u4")))],
+                ["range", "marks", "own"],
             )
 
-    text = F.make_valid_utf8(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = small_batches(docs.select("doc_id", text.alias("text")))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n long, node binary, data binary")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        if not rows:
+            return
+        marks = np.frombuffer(b"".join(r[0] for r in rows), "<i8")
+        mark, index = np.unique(marks, return_inverse=True)
+        own = np.bincount(index, weights=np.frombuffer(b"".join(r[1] for r in rows), "<u4")).astype(np.int64)
+        for i in range(0, len(mark), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(mark[i : i + 100_000]), pa.array(own[i : i + 100_000])], ["mark", "own"])
+
+    packed = _texts(docs).select("text").mapInArrow(pack, "range int, low binary, high binary, owner binary, marks binary")
+    counted = packed.repartition("range").mapInArrow(count, "range int, marks binary, own binary")
+    return counted.repartition("range").mapInArrow(add, "mark long, own long")
 
 
-def _explode_hashes(routed: DataFrame) -> DataFrame:
-    """``hash long, node`` rows from the packed part hashes."""
+def _hashes(sets: DataFrame, percent: int) -> DataFrame:
+    """``hash, node`` rows of the part hashes of ``sets``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        route = router(percent)
         for batch in batches:
-            data = batch.column(1).to_pylist()
-            counts = [len(d) // 8 for d in data]
-            spots = np.repeat(np.arange(len(counts)), counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.frombuffer(b"".join(data), np.int64)), batch.column(0).take(pa.array(spots))], ["hash", "node"]
-            )
+            found = [route.hashes(_tokens(d.as_py())) for d in batch.column(1)]
+            if found:
+                spots = np.repeat(np.arange(len(found)), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), batch.column(0).take(pa.array(spots))], ["hash", "node"])
 
-    return small_batches(routed.select("node", "data")).mapInArrow(run, "hash long, node binary")
+    return small_batches(sets.select("node", "data")).mapInArrow(run, "hash long, node binary")
 
 
 def _check_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -219,7 +299,7 @@ def _check_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _close_out(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Step 4 for large families: ``family, node, root`` of the members that the matrix leaves open.
+    """Step 5 for large families: ``family, node, root`` of the members that the matrix leaves open.
 
     A node may differ from a partner in ``slack`` tokens at most, summed over
     the two; tokens that no other component of the family has use it up.
@@ -245,13 +325,13 @@ def _close_out(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .join(unmatched.select(F.col("family").alias("f"), F.col("node").alias("v"), "unmatched"), ["f", "v"], "left")
         .select("family", "node", "root", (F.col("n") * (100 - percent) - F.coalesce("unmatched", F.lit(0)) * (100 + percent)).alias("slack"))
     )
-    slack = written(slack, "slack")
+    slack = written(slack, "slack", share=16)
     most = slack.groupBy("family").agg(F.max("slack").alias("most"))
     return slack.join(most, "family").where("slack + most >= 0").select("family", "node", "root")
 
 
 def _open_groups(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Step 5: links ``a, b`` between members of a family under different roots."""
+    """Step 6: links ``a, b`` between members of a family under different roots."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         _, low, high = key
@@ -287,9 +367,9 @@ def jaccard_components(
     no other. Repeated rows share their component. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    routed = written(_map_sets(rows, width, percent, whole=False), "routed")
-    names = routed.select("doc_id", "n", "node")
-    links = node_links(rows, routed, width, percent)
+    names = written(_map_sets(rows, width, whole=False), "names")
+    links = node_links(rows, names, width, percent)
+    names = names.drop("mark")
     root = components(links)
     rooted = names.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
@@ -298,50 +378,55 @@ def jaccard_components(
     )
 
 
-def node_links(rows: DataFrame, routed: DataFrame, width: int, percent: int) -> DataFrame:
+def node_links(rows: DataFrame, names: DataFrame, width: int, percent: int) -> DataFrame:
     """Links ``a, b`` between unequal sets, as digests, whose components are those of all links."""
-    # Step 2: lists of nodes that share a part hash.
-    hashes = _explode_hashes(routed)
+    # Step 2: open nodes, and their sets from one document of each.
+    own = _own_tokens(rows, width)
+    marked = names.where("n > 0").join(own, "mark", "left")
+    possible = marked.where(F.coalesce("own", F.lit(0)) * 100 <= F.col("n") * (100 - percent))
+    chosen = written(possible.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "chosen", share=16)
+    free_shuffles(rows.sparkSession)
+    some = only_keys(rows, chosen.where("doc_id IS NOT NULL").distinct(), "doc_id")
+    if not chosen.where("doc_id IS NULL").isEmpty():
+        some = some.unionByName(rows.where("doc_id IS NULL"))
+    sets = written(_map_sets(some, width, whole=True).select("node", "n", "data").where("n > 0").dropDuplicates(["node"]), "sets", share=4)
+    # Step 3: lists of nodes that share a part hash.
+    hashes = _hashes(sets, percent)
     mark = F.xxhash64("node")
     common = (
         hashes.select("hash", mark.alias("mark")).groupBy("hash").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high")
     )
-    common = written(common.select("hash"), "common")
-    listed = written(only_keys(hashes, common, "hash").distinct(), "listed")
+    common = written(common.select("hash"), "common", share=16)
+    listed = written(only_keys(hashes, common, "hash").distinct(), "listed", share=4)
     first = listed.groupBy("hash").agg(F.min("node").alias("leader"))
-    listed = written(listed.join(first, "hash"), "lists")
-    # The sets of listed nodes, from one document of each.
-    nodes = listed.select("node").distinct()
-    chosen = written(routed.select("doc_id", "node").join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "chosen")
-    some = only_keys(rows, chosen.where("doc_id IS NOT NULL").distinct(), "doc_id").select(*rows.columns)
-    some = some.unionByName(rows.where("doc_id IS NULL"))
-    sets = written(_map_sets(some, width, percent, whole=True).drop("doc_id").dropDuplicates(["node"]), "sets")
-    # Step 3: first components.
+    listed = written(listed.join(first, "hash"), "lists", share=4)
+    free_shuffles(rows.sparkSession)
+    # Step 4: first components.
     pairs = listed.select(F.col("node").alias("a"), F.col("leader").alias("b")).where("a <> b").distinct()
-    links = written(_check_pairs(pairs, sets, percent), "links")
+    links = written(_check_pairs(pairs, sets, percent), "links", share=16, heavy=True)
     root = components(links)
-    # Step 4: families of lists that span components.
+    # Step 5: families of lists that span components.
     spread = listed.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_lists = spread.groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("hash")
     members = written(
-        spread.join(open_lists, "hash").select(F.col("leader").alias("family"), "node", "root").distinct(), "members"
+        spread.join(open_lists, "hash").select(F.col("leader").alias("family"), "node", "root").distinct(), "members", share=4
     )
     sizes = members.join(sets.select("node", "n"), "node").groupBy("family").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("tokens"))
-    sized = written(sizes.select("family", (F.col("k") > BLOCK) | (F.col("tokens") > FAMILY_TOKENS)).toDF("family", "large"), "families")
+    sized = written(sizes.select("family", (F.col("k") > BLOCK) | (F.col("tokens") > FAMILY_TOKENS)).toDF("family", "large"), "families", share=16)
     large = members.join(sized.where("large"), "family").drop("large")
     small = members.join(sized.where("NOT large"), "family").drop("large")
     left = small
     if not sized.where("large").isEmpty():
         left = small.unionByName(_close_out(large, sets, percent))
-    # Step 5.
-    more = written(_open_groups(left, sets, percent), "more")
+    # Step 6.
+    more = written(_open_groups(left, sets, percent), "more", share=16, heavy=True)
     return links.unionByName(more)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``docs``, all columns, with one document of each component: the smallest id. Ids must be unique and not null."""
     kept = jaccard_components(docs, id_col, text_col, width, percent).where("doc_id = component_id")
-    kept = written(kept.select(F.col("doc_id").alias(id_col)), "kept")
+    kept = written(kept.select(F.col("doc_id").alias(id_col)), "kept", share=16)
     return only_keys(docs, kept, id_col).select(*docs.columns)
 
 
