@@ -122,43 +122,51 @@ def pass_by_node_type(scores: DataFrame) -> DataFrame:
     )
 
 
-def running_pass(scores: DataFrame, order: str = "sample_id", every: int = 1) -> DataFrame:
-    """Exact completions so far, per model in the order of samples; every ``every``-th row.
+_RANGE = 10_000
+
+
+def with_totals(rows: DataFrame, order: str, totals: dict[str, Column], *by: str) -> DataFrame:
+    """Running sums in the order of a unique whole number, per group.
 
-    Sums run per model over fixed ranges of 10,000 samples first, so no task
-    holds a model's whole series.
+    Sums run over fixed ranges of the order first and then over the ranges'
+    totals, so no task holds a group's whole series.
     """
-    ranged = scores.select("model", order, F.col("pass_at_1").cast("int").alias("hit")).withColumn("range", F.floor(F.col(order) / 10_000))
-    totals = ranged.groupBy("model", "range").agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("rows"))
-    earlier = Window.partitionBy("model").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(
-        "model", "range", F.coalesce(F.sum("hits").over(earlier), F.lit(0)).alias("hits_before"), F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("rows_before")
-    )
-    within = Window.partitionBy("model", "range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    done = ranged.join(before, ["model", "range"]).select(
-        "model",
-        order,
-        (F.col("hits_before") + F.sum("hit").over(within)).alias("passed"),
-        (F.col("rows_before") + F.count(F.lit(1)).over(within)).alias("done"),
-    )
-    return done.where(F.col("done") % every == 0)
+    ranged = rows.withColumn("range", F.floor(F.col(order) / _RANGE)).withColumns(totals)
+    earlier = Window.partitionBy(*by, "range_part").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(*by, "range").agg(*[F.sum(c).alias(c) for c in totals]).withColumn("range_part", F.lit(0))
+    before = sums.select(*by, "range", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in totals])
+    within = Window.partitionBy(*by, "range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    done = ranged.join(before, [*by, "range"])
+    return done.withColumns({c: F.col(f"{c}_before") + F.sum(c).over(within) for c in totals}).select(*rows.columns, *totals)
+
+
+def running_pass(scores: DataFrame, order: str = "sample_id", every: int = 1) -> DataFrame:
+    """``model, passed, done`` and the order: exact completions so far, per model; every ``every``-th row."""
+    rows = scores.select("model", order, "pass_at_1")
+    done = with_totals(rows, order, {"passed": F.col("pass_at_1").cast("int"), "done": F.lit(1)}, "model")
+    return done.where(F.col("done") % every == 0).drop("pass_at_1")
 
 
-def value_at(values: DataFrame, value: str, shares: dict[str, float], *by: str) -> DataFrame:
-    """Order statistics by position: the value at place ``floor(n * share)`` from 0, per group.
+def value_at(values: DataFrame, value: str, shares: dict[str, float], *by: str, buckets: int = 10_000) -> DataFrame:
+    """Order statistics by position: the value at place ``floor(n * share)`` from 0, per group, with ``n`` and ``avg``.
 
-    Counts per distinct value are summed in order, so a group's rows are never
-    collected; shares must be below 1.
+    Values are counted in equally wide buckets, which never change their
+    order; only the bucket that holds a place is ranked. Shares are below 1.
     """
-    groups = list(by)
-    counts = values.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("c"))
-    if not groups:
-        counts, groups = counts.withColumn("one", F.lit(1)), ["one"]
-    own = Window.partitionBy(*groups)
-    ends = counts.withColumn("upto", F.sum("c").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(own))
-    at = lambda s: F.min(F.when(F.col("upto") > F.floor(F.col("n") * F.lit(float(s))), F.col(value)))
-    out = ends.groupBy(*groups).agg(F.first("n").alias("n"), (F.sum(F.col(value) * F.col("c")) / F.first("n")).alias("avg"), *[at(s).alias(name) for name, s in shares.items()])
-    return out if by else out.drop("one")
+    groups = list(by) or ["one"]
+    rows = values.where(F.col(value).isNotNull())
+    rows = rows.select(*by, F.col(value).alias("v")) if by else rows.select(F.lit(1).alias("one"), F.col(value).alias("v"))
+    limits = rows.groupBy(*groups).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"), F.avg("v").alias("avg"))
+    spot = F.floor((F.col("v") - F.col("low")) * F.try_divide(F.lit(buckets), F.col("high") - F.col("low")))
+    placed = rows.join(limits.select(*groups, "low", "high"), groups).select(*groups, "v", F.coalesce(spot, F.lit(0)).alias("bucket"))
+    upto = Window.partitionBy(*groups).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*groups, "bucket").agg(F.count(F.lit(1)).alias("c")).withColumn("before", F.coalesce(F.sum("c").over(upto), F.lit(0)))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.floor(F.col("n") * F.lit(float(s))).alias("place")) for name, s in shares.items()])
+    wanted = limits.select(*groups, F.explode(wanted).alias("w")).select(*groups, "w.*")
+    found = counts.join(wanted, groups).where("before <= place AND place < before + c").select(*groups, "bucket", "name", (F.col("place") - F.col("before")).alias("k"))
+    ranked = placed.join(found, [*groups, "bucket"]).withColumn("r", F.row_number().over(Window.partitionBy(*groups, "bucket", "name").orderBy("v")) - 1)
+    at = ranked.where("r = k").groupBy(*groups).agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares])
+    return limits.join(at, groups).select(*by, "n", "avg", *shares)
 
 
 def keyword_results(cases: DataFrame, text: str = "generated") -> DataFrame:
@@ -221,8 +229,8 @@ def compact_results(scores: DataFrame) -> DataFrame:
         (F.col(f"{m}.generation_time_ms") / 1000).alias("time"),
         F.col(f"{m}.generated_tokens").alias("tokens"),
     )
-    number = F.row_number().over(Window.orderBy("sample_id")) - 1  # an evaluation's samples, at most thousands
-    return side_by_side(scores).select(number.alias("id"), F.col("file_path").alias("path"), "expected", part(TUNED).alias(TUNED), part(BASELINE).alias(BASELINE))
+    wide = with_totals(side_by_side(scores), "sample_id", {"id": F.lit(1)})
+    return wide.select((F.col("id") - 1).alias("id"), F.col("file_path").alias("path"), "expected", part(TUNED).alias(TUNED), part(BASELINE).alias(BASELINE))
 
 
 def manifest_rows(samples: DataFrame) -> DataFrame:

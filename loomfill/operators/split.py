@@ -64,11 +64,11 @@ def test_rows(rows: DataFrame, splits: DataFrame, path: str = "path") -> DataFra
 
 def split_counts(files: DataFrame, samples: DataFrame, splits: DataFrame) -> DataFrame:
     """One row: files, files with code, and samples by split."""
-    of_files = files.agg(F.count(F.lit(1)).alias("files"), F.count("code").alias("success"))
-    of_samples = samples.join(splits.withColumnRenamed("path", "file_path"), "file_path", "left").agg(
-        F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.coalesce("split", F.lit("test")) != "train").alias("test")
-    )
-    return of_files.crossJoin(of_samples)  # one row by one row
+    kinds = samples.select("file_path").join(splits.withColumnRenamed("path", "file_path"), "file_path", "left")
+    flags = lambda *on: [F.lit(0).alias(n) if c is None else c.cast("int").alias(n) for n, c in zip(("files", "success", "train", "test"), on)]
+    train = F.coalesce(F.col("split"), F.lit("test")) == "train"
+    rows = files.select(*flags(F.lit(True), F.col("code").isNotNull(), None, None)).unionByName(kinds.select(*flags(None, None, train, ~train)))
+    return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("files", "success", "train", "test")])
 
 
 def latest(rows: DataFrame, name: str, time: str) -> DataFrame:
