@@ -33,41 +33,52 @@ def with_blocks(files: DataFrame) -> DataFrame:
     ``nodes`` holds structs of ``node_type, span, body``. Each node gives a
     block of its lines if the length fits; a function with a body also gives
     one from its first brace on, trailing blanks, tabs and line ends cut off.
-    Files stay whole rows and no code is copied per node.
+    Files stay whole rows and no code is copied per node. Each transform below
+    binds what the next one needs, as a lambda would compute it anew per use.
     """
-    located = files.withColumn("starts", line_starts(F.col("code")))
-    code, starts, bound = F.col("code"), F.col("starts"), length_bound(F.col("code"))
-
-    def lines(node: Column) -> Column:
-        span = parse_span(node["span"])
-        s, e = span["start_line"], span["end_line"]
-        known = (s != 0) & (e != 0)
-        return F.when(known, F.struct(line_to_char(starts, s).alias("start"), line_to_char(starts, e + 1).alias("end")))
-
-    def fits(start: Column, end: Column) -> Column:
-        return (end - start).between(F.lit(MIN_SPAN), bound)
-
-    def of_node(node: Column) -> Column:
-        at = lines(node)
-        own = F.struct(node["node_type"].alias("node_type"), at["start"].alias("start"), at["end"].alias("end"))
-        end = F.least(at["end"], F.length(code))
-        text = F.substring(code, at["start"] + 1, end - at["start"])
-        brace = F.instr(text, F.lit("{"))
-        kept = F.length(F.rtrim(F.substring(text, brace, F.length(text)), F.lit(" \t\n")))
-        body_start = at["start"] + brace - 1
-        body = F.struct(F.lit("FunctionBody").alias("node_type"), body_start.alias("start"), (body_start + kept).alias("end"))
-        is_body = (node["node_type"] == "Function") & node["body"].isNotNull() & (brace > 0)
-        return F.array(F.when(fits(own["start"], own["end"]), own), F.when(is_body & fits(body["start"], body["end"]), body)).cast(f"array<{_BLOCK}>")
-
-    blocks = F.array_compact(F.flatten(F.transform(F.col("nodes"), of_node)))
-    return located.withColumn("blocks", F.coalesce(blocks, F.array().cast(f"array<{_BLOCK}>"))).drop("starts")
+    located = files.withColumns(
+        {"starts": line_starts(F.col("code")), "n_chars": F.length("code"), "bound": length_bound(F.col("code"))}
+    )
+    code, starts, n_chars, bound = F.col("code"), F.col("starts"), F.col("n_chars"), F.col("bound")
+
+    def spanned(node: Column) -> Column:
+        has_body = (node["node_type"] == "Function") & node["body"].isNotNull()
+        return F.struct(node["node_type"].alias("node_type"), has_body.alias("has_body"), parse_span(node["span"]).alias("span"))
+
+    def placed(node: Column) -> Column:
+        s, e = node["span"]["start_line"], node["span"]["end_line"]
+        at = F.struct(
+            node["node_type"].alias("node_type"), node["has_body"].alias("has_body"), line_to_char(starts, s).alias("start"), line_to_char(starts, e + 1).alias("end")
+        )
+        return F.when((s != 0) & (e != 0), at)
+
+    def with_text(at: Column) -> Column:
+        text = F.when(at["has_body"], F.substring(code, at["start"] + 1, F.least(at["end"], n_chars) - at["start"]))
+        return F.struct(at.alias("at"), text.alias("text"), F.instr(text, F.lit("{")).alias("brace"))
+
+    def trimmed(x: Column) -> Column:
+        kept = F.length(F.rtrim(F.substring(x["text"], x["brace"], F.length(x["text"])), F.lit(" \t\n")))
+        begin = x["at"]["start"] + x["brace"] - 1
+        body = F.struct(F.lit("FunctionBody").alias("node_type"), begin.alias("start"), (begin + kept).alias("end"))
+        own = F.struct(x["at"]["node_type"].alias("node_type"), x["at"]["start"].alias("start"), x["at"]["end"].alias("end"))
+        return F.array(own, F.when(x["brace"] > 0, body)).cast(f"array<{_BLOCK}>")
+
+    nodes = F.array_compact(F.transform(F.transform("nodes", spanned), placed))
+    found = F.array_compact(F.flatten(F.transform(F.transform(nodes, with_text), trimmed)))
+    blocks = F.filter(found, lambda b: (b["end"] - b["start"]).between(F.lit(MIN_SPAN), bound))
+    return located.withColumn("blocks", F.coalesce(blocks, F.array().cast(f"array<{_BLOCK}>"))).drop("starts", "bound")
 
 
 def extract_blocks(files: DataFrame) -> DataFrame:
-    """``path, ord, node_type, start, end`` of every block; ``ord`` counts from 0 within the file."""
+    """``path, ord, node_type, start, end`` of every block; ``ord`` counts from 0 within the file.
+
+    The outer form keeps Spark from inferring a filter on the number of
+    blocks, which would compute all of them twice.
+    """
     return (
         with_blocks(files.where("code IS NOT NULL"))
-        .select("path", F.posexplode("blocks").alias("ord", "block"))
+        .select("path", F.posexplode_outer("blocks").alias("ord", "block"))
+        .where("block IS NOT NULL")
         .select("path", "ord", F.col("block.node_type").alias("node_type"), F.col("block.start").alias("start"), F.col("block.end").alias("end"))
     )
 

@@ -27,7 +27,7 @@ def fim_samples(files: DataFrame, seed: int = 42) -> DataFrame:
     are cut inside the file's row, so only samples are exploded.
     """
     found = with_blocks(files.where("code IS NOT NULL"))
-    code = F.col("code")
+    code, n_chars = F.col("code"), F.col("n_chars")
 
     def sample(block: Column, i: Column) -> Column:
         start, end = block["start"], block["end"]
@@ -35,7 +35,7 @@ def fim_samples(files: DataFrame, seed: int = 42) -> DataFrame:
         middle = end - start
         before = F.floor((most - middle) / 2).cast("int")
         first = F.greatest(F.lit(0), start - before)
-        last = F.least(F.length(code), end + (most - middle - before))
+        last = F.least(n_chars, end + (most - middle - before))
         made = F.struct(
             i.alias("ord"),
             F.substring(code, first + 1, start - first).alias("prefix"),
@@ -46,7 +46,8 @@ def fim_samples(files: DataFrame, seed: int = 42) -> DataFrame:
         return F.when((middle > 0) & (middle <= most), made)
 
     samples = F.array_compact(F.transform("blocks", sample))
-    return found.select(F.col("path").alias("file_path"), F.explode(samples).alias("s")).select("file_path", "s.*")
+    rows = found.select(F.col("path").alias("file_path"), F.explode_outer(samples).alias("s"))  # outer: no filter is inferred
+    return rows.where("s IS NOT NULL").select("file_path", "s.*")
 
 
 def training_text(samples: DataFrame, style: str = "psm", eos: str = EOS) -> DataFrame:
