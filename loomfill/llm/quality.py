@@ -66,13 +66,18 @@ def share_feature(key: tuple[int, int, int], s: Settings) -> int:
 
 
 class FeatureMemo(dict):
+    """Holds at most two generations of ``MEMO`` keys; those in use survive a change."""
+
     def __init__(self, make):
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, word):
-        found = self.make(word)
+        found = self.old.get(word)
+        if found is None:
+            found = self.make(word)
         if len(word) <= 64:
             if len(self) >= MEMO:
+                self.old = dict(self)
                 self.clear()
             self[word] = found
         return found
@@ -90,19 +95,23 @@ class Model:
         """A function from text to the probability of label 1."""
         odds, s = self.odds, self.settings
 
+        values = odds.tolist()  # plain floats: a word has too few features for numpy to pay
+
         def summed(word: str) -> tuple[float, int, int]:
             found = word_features(word, s)
-            return float(odds[found].sum(dtype=np.float64)), len(found), len(word)
+            return sum(map(values.__getitem__, found)), len(found), min(len(word), 12)
 
         memo = FeatureMemo(summed)
-        shares = FeatureMemo(lambda key: s.share_weight * float(odds[share_feature(key, s)]))
+        # By length and share in powers of two, for each size of a document in powers of two.
+        shares = [[[s.share_weight * values[share_feature((a, b, c), s)] for b in range(14)] for a in range(13)] for c in range(9)]
 
         def score(text: str) -> float:
             words = text.split()
             n, total, features = len(words), 0.0, s.share_weight * len(words)
+            table = shares[min(n, 128).bit_length()]
             for word, count in Counter(words).items():
                 own, size, length = memo[word]
-                total += count * (own + shares[share_key(length, count, n)])
+                total += count * (own + table[length][min(n // count, 4096).bit_length()])
                 features += count * size
             x = self.bias + (total / features if features else 0.0)
             return 1.0 / (1.0 + float(np.exp(-min(max(x, -500.0), 500.0))))
