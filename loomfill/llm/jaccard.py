@@ -6,7 +6,7 @@ Exact for the threshold asked for, whatever the texts:
 2. Tokens of one node. A first matrix tells tokens that one node has from
    those that more have. A node with too many of its own can't reach the
    threshold with any other, and is closed out. Tokens travel packed, sorted
-   and cut to 48 bits; tokens that fall together only keep nodes in.
+   and cut to 48 bits or more; tokens that fall together only keep nodes in.
 3. Routing. Two sets that link differ in at most ``d`` tokens, so of ``d + 1``
    parts of the token space, cut for their size class, one holds the same
    tokens in both. Each open node emits the hashes of its parts; nodes that
@@ -34,7 +34,7 @@ from math import ceil, exp, sqrt
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfill.llm.common import free_shuffles, only_keys, small_batches, table, written
@@ -190,12 +190,18 @@ def _mark(node: bytes) -> int:
     return int.from_bytes(node[:8], "little", signed=True)
 
 
-#: Tokens are dealt out by their first 8 bits and compared by the next 40.
-_RANGES = 256
+def _range_bits(spark: SparkSession) -> int:
+    """Tokens are dealt out by their first bits, at least two ranges for each shuffle partition."""
+    return min(20, max(8, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
 
 
 def _own_tokens(docs: DataFrame, width: int) -> DataFrame:
-    """``mark, own``: how many tokens of a node no other node has; nodes without any are left out."""
+    """``mark, own``: how many tokens of a node no other node has; nodes without any are left out.
+
+    Tokens are compared by the 40 bits after those of their range.
+    """
+    bits = _range_bits(docs.sparkSession)
+    ranges = 1 << bits
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,9 +217,9 @@ def _own_tokens(docs: DataFrame, width: int) -> DataFrame:
             owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
             order = np.argsort(tokens)
             tokens, owner = tokens[order], owner[order]
-            cuts = np.searchsorted(tokens, np.arange(1, _RANGES, dtype=np.uint64) << U(56))
-            low = ((tokens >> U(16)).astype(np.uint32)).astype("<u4")
-            high = (tokens >> U(48)).astype(np.uint8)
+            cuts = np.searchsorted(tokens, np.arange(1, ranges, dtype=np.uint64) << U(64 - bits))
+            rest = (tokens << U(bits)) >> U(24)
+            low, high = rest.astype("<u4"), (rest >> U(32)).astype(np.uint8)
             out = [[], [], [], [], []]
             bounds = np.concatenate(([0], cuts, [len(tokens)]))
             for k in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
@@ -240,7 +246,7 @@ def _own_tokens(docs: DataFrame, width: int) -> DataFrame:
             single = np.minimum.reduceat(owners, first) == np.maximum.reduceat(owners, first)
             # A token of one node may come from several copies of it, and counts once.
             mark, own = np.unique(owners[first[single]], return_counts=True)
-            group = np.searchsorted(mark, np.arange(-_RANGES // 2, _RANGES // 2, dtype=np.int64) << 56)
+            group = np.searchsorted(mark, np.arange(-ranges // 2, ranges // 2, dtype=np.int64) << (64 - bits))
             group = np.append(group, len(mark))
             some = np.flatnonzero(group[1:] > group[:-1]).tolist()
             yield pa.RecordBatch.from_arrays(
