@@ -62,9 +62,11 @@ def bleu_scores(pairs: DataFrame, *keys: str, most: int = 4) -> DataFrame:
     by = list(keys or ("sample_id",))
 
     def grams(text: str, generated: int) -> DataFrame:
-        tokens = words(F.coalesce(F.col(text), F.lit("")))
-        own = F.flatten(F.array(*[F.transform(M.ngrams(tokens, n), lambda g: F.struct(F.size(g).alias("n"), g.alias("gram"))) for n in range(1, most + 1)]))
-        return pairs.select(*by, F.lit(generated).alias("g"), F.explode(own).alias("x")).select(*by, "g", "x.n", "x.gram")
+        # Words hold no blanks, so a gram is its words joined by blanks.
+        tokens = pairs.select(*by, words(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+        at = tokens.select(*by, "t", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("n")).where("size(t) >= n")
+        own = at.select(*by, "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("n") + 1), lambda i: F.array_join(F.slice("t", i, F.col("n")), " "))).alias("gram"))
+        return own.select(*by, F.lit(generated).alias("g"), "n", "gram")
 
     counts = (
         grams("generated", 1)

@@ -127,7 +127,7 @@ ORACLE_SQL: dict[str, str] = {
         o AS (SELECT path, line, t, coalesce(sum(length(t) + 1) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM l)
         SELECT path, line::INT AS line, start, start + length(t) + 1 AS "end" FROM o""",
     "line_lookups": f"""WITH {_FILES} SELECT path, 0::BIGINT AS before, 0::BIGINT AS first, length(wrapped[1]) + 1 AS second, length(code) + 1 AS past FROM files""",
-    "parsed_spans": f"""WITH {_FILES} SELECT path, node_type, i::VARCHAR || ':' || i::VARCHAR AS span, CASE WHEN node_type = 'Use' THEN i::INT END AS start_line, CASE WHEN node_type = 'Use' THEN i::INT END AS end_line FROM nodes""",
+    "parsed_spans": f"""WITH {_FILES} SELECT path, node_type, i::VARCHAR || ':' || i::VARCHAR AS span, CASE WHEN node_type = 'Use' THEN i::INT ELSE -1 END AS start_line, CASE WHEN node_type = 'Use' THEN i::INT ELSE -1 END AS end_line FROM nodes""",
     "extract_blocks": f'WITH {_BLOCKS} SELECT path, ord::INT AS ord, node_type, s::INT AS start, e::INT AS "end" FROM blocks',
     "function_body_blocks": f"WITH {_BLOCKS} SELECT path, ord::INT AS ord, node_type, s::INT AS start, e::INT AS \"end\" FROM blocks WHERE node_type = 'FunctionBody'",
     "fim_samples": f"WITH {_SAMPLES} SELECT file_path, ord, node_type, {_CHARS_MD5} FROM samples",

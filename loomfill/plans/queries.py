@@ -58,7 +58,8 @@ def parsed_spans(spark, sf_dir):
     broken = F.when(F.col("node_type") == "Use", F.col("span")).when(F.col("node_type") == "Function", start)
     broken = broken.when(F.col("node_type") == "Struct", F.concat(F.lit("a:"), start)).otherwise(F.concat("span", F.lit(":1")))
     rows = D.nodes(spark, sf_dir).select("path", "node_type", "span", parse_span(broken).alias("p"))
-    return rows.select("path", "node_type", "span", "p.start_line", "p.end_line")
+    line = lambda c: F.coalesce(c, F.lit(-1)).alias(c.rpartition(".")[2])
+    return rows.select("path", "node_type", "span", line("p.start_line"), line("p.end_line"))
 
 
 @query

@@ -1,5 +1,7 @@
 """Hand-computed values of Column functions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +50,15 @@ def test_edit_similarity(spark, a, b, want):
     assert round(one(spark, M.edit_similarity(F.lit(a), F.lit(b))), 6) == want
 
 
+def test_edit_distance_without_shared_ends(spark):
+    rng = random.Random(1)
+    rows = [tuple("".join(rng.choices("abé🙂", k=rng.randint(0, 9))) for _ in "ab") for _ in range(300)] + [("x" * 40_000, "x" * 20_000 + "y"), (None, "a")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select(M.edit_distance(F.col("a"), F.col("b")).eqNullSafe(F.levenshtein("a", "b")).alias("same"))
+    assert all(r.same for r in got.limit(300).collect())
+    assert df.limit(301).select(M.edit_distance(F.col("a"), F.col("b")).alias("d")).collect()[-1].d == 20_000
+
+
 @pytest.mark.parametrize(
     ("f", "a", "b", "want"),
     [
