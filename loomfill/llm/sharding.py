@@ -67,8 +67,8 @@ def place(
     rows = [(i, shards[k]) for i, k in enumerate(numbers.tolist())]
     table = df.sparkSession.createDataFrame(rows, "slot int, shard string")  # constant size: slots rows
     kept = [c for c in df.columns if c not in ("slot", "shard")]
-    keyed = df.withColumn("slot", slot_of(F.col(key), slots)) if "slot" != key else df.select(*[c for c in kept], slot_of(F.col(key), slots).alias("slot"))
-    return keyed.select(*kept, "slot").join(F.broadcast(table), "slot").select(*kept, "slot", "shard")
+    keyed = df.select(*kept, slot_of(F.col(key), slots).alias("slot"))
+    return keyed.join(F.broadcast(table), "slot").select(*kept, "slot", "shard")
 
 
 def write_shards(placed: DataFrame, path: str, columns: list[str] | None = None) -> None:
