@@ -27,14 +27,14 @@ from pyspark.sql.window import Window
 
 from loomfill.llm.common import table, written
 
-#: Rows that the index is fitted on, at most; every row is indexed.
-SAMPLE = 8_192
+#: Rows that the index is fitted on: so many for each part, and at least and at most so many. Every row is indexed.
+SAMPLE_PER_PART, LEAST_SAMPLE, SAMPLE = 256, 4_096, 65_536
 NEIGHBOURS = 10
 #: Rows per part aimed at, and the number of parts at most.
-PART_ROWS, MAX_PARTS = 2_000, 64
+PART_ROWS, MAX_PARTS = 2_000, 256
 GOAL = 0.96
 BLOCK = 16_384
-CHUNK = 512
+CHUNK = 256
 
 
 def neighbour_graph(vectors: np.ndarray, k: int) -> np.ndarray:
@@ -237,8 +237,9 @@ def search(
     if dims is None:
         return spark.createDataFrame([], schema)
     usable = usable.where(F.size("v") == dims.dim)
-    chosen = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()  # `sample` rows
     parts = min(max_parts, dims.n // part_rows) if dims.n > 2 * part_rows else 1
+    rows_to_fit = min(sample, max(LEAST_SAMPLE, SAMPLE_PER_PART * parts))
+    chosen = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows_to_fit).collect()  # `sample` rows at most
     index = fit_index(np.array([r.v for r in chosen]), parts, goal)
     sent = spark.sparkContext.broadcast(index)
 
