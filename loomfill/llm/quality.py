@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfill.llm.common import small_batches, table
+from loomfill.llm.common import small_batches, table, tidy
 
 #: At most so many labelled rows are used for fitting.
 MAX_ROWS = 3_000
@@ -127,17 +127,20 @@ def fit(texts: list[str], labels: list[int], settings: Settings = Settings()) ->
     if not labels or ones in (0, len(labels)):
         return Model(s, np.zeros(s.buckets, np.float32), prior if labels else 0.0)
     rng = np.random.default_rng(s.seed)
-    memo = FeatureMemo(lambda w: word_features(w, s))
+    # Arrays, as lists of numbers would take the driver several times the memory.
+    memo = FeatureMemo(lambda w: np.array(word_features(w, s), np.int32))
     rows = []
     for text in texts:
-        found: list[int] = []
-        words = text.split()
-        for w, count in Counter(words).items():
-            found += memo[w] * count
-            found += [share_feature(share_key(len(w), count, len(words)), s)] * (count * s.share_weight)
-        ids, counts = np.unique(np.asarray(found, np.int64), return_counts=True)
-        rows.append((ids.astype(np.int32), (counts / max(1, len(found))).astype(np.float32)))
-    memo.clear()
+        counted = Counter(text.split())
+        n = sum(counted.values())
+        parts = [memo[w] for w in counted]
+        shares = [share_feature(share_key(len(w), count, n), s) for w, count in counted.items()]
+        counts = np.fromiter(counted.values(), np.int64, len(counted))
+        found = np.concatenate([*parts, np.array(shares, np.int32)])
+        weights = np.concatenate([np.repeat(counts, [len(p) for p in parts]), counts * s.share_weight])
+        ids, index = np.unique(found, return_inverse=True)
+        rows.append((ids, (np.bincount(index, weights, len(ids)) / max(1, weights.sum())).astype(np.float32)))
+    del memo
     vectors = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim)).astype(np.float32)
     layer, bias = np.zeros((2, s.dim), np.float32), np.zeros(2, np.float32)
     steps, done = s.epochs * len(rows), 0
@@ -217,7 +220,7 @@ def score_with(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col:
 
     text = F.make_valid_utf8(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = small_batches(docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), text.alias("text")))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
@@ -235,7 +238,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **opti
         for batch in batches:
             yield batch.filter(pa.array([score(t.as_py() or "") >= threshold for t in batch.column(at)], pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(tidy(run), docs.schema)
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
