@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomfill.llm.common import table, written
+from loomfill.llm.common import table, tidy, written
 
 #: Rows that the index is fitted on: so many for each part, and at least and at most so many. Every row is indexed.
 SAMPLE_PER_PART, LEAST_SAMPLE, SAMPLE = 256, 4_096, 65_536
@@ -272,10 +272,10 @@ def search(
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
 
     asked = usable_vectors(queries, id_col, vector_col).where(F.size("v") == dims.dim)
-    placed = written(usable.mapInArrow(place, "vec_id long, v array<double>, part int"), "placed")
+    placed = written(usable.mapInArrow(tidy(place), "vec_id long, v array<double>, part int"), "placed")
     held = {r.part: r.n for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # max_parts rows
     bin_of, blocks = pack_parts(held)
-    routed = written(asked.mapInArrow(route, "vec_id long, v array<double>, bin int, visits array<int>"), "routed")
+    routed = written(asked.mapInArrow(tidy(route), "vec_id long, v array<double>, bin int, visits array<int>"), "routed")
     asks = {r.bin: r.n for r in routed.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}  # no more rows than parts
     grid = [(p, b, blocks[b], -(-asks[b] // BLOCK)) for p, b in bin_of.items() if b in asks]
     if not grid:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,3 +100,21 @@ def free_shuffles(spark: SparkSession) -> None:
     when the driver collects its garbage, which it may not do for long."""
     gc.collect()
     spark._jvm.System.gc()
+
+
+def tidy(run):
+    """A worker function that gives its memory back when it ends: idle workers
+    stay, and what their allocators keep counts as the executor's."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return wrapped

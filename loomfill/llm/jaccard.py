@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfill.llm.common import free_shuffles, only_keys, small_batches, table, written
+from loomfill.llm.common import free_shuffles, only_keys, small_batches, table, tidy, written
 from loomfill.llm.components import components
 from loomfill.llm.shingles import U, mix64, set_digest, shingle_set
 
@@ -182,7 +182,7 @@ def _map_sets(docs: DataFrame, width: int, whole: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "mark", "data"][: 4 + whole])
 
     rows = _texts(docs)
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n long, node binary, mark long" + ", data binary" * whole)
+    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, n long, node binary, mark long" + ", data binary" * whole)
 
 
 def _mark(node: bytes) -> int:
@@ -264,9 +264,9 @@ def _own_tokens(docs: DataFrame, width: int) -> DataFrame:
         for i in range(0, len(mark), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(mark[i : i + 100_000]), pa.array(own[i : i + 100_000])], ["mark", "own"])
 
-    packed = _texts(docs).select("text").mapInArrow(pack, "range int, low binary, high binary, owner binary, marks binary")
-    counted = packed.repartition("range").mapInArrow(count, "range int, marks binary, own binary")
-    return counted.repartition("range").mapInArrow(add, "mark long, own long")
+    packed = _texts(docs).select("text").mapInArrow(tidy(pack), "range int, low binary, high binary, owner binary, marks binary")
+    counted = packed.repartition("range").mapInArrow(tidy(count), "range int, marks binary, own binary")
+    return counted.repartition("range").mapInArrow(tidy(add), "mark long, own long")
 
 
 def _hashes(sets: DataFrame, percent: int) -> DataFrame:
@@ -280,7 +280,7 @@ def _hashes(sets: DataFrame, percent: int) -> DataFrame:
                 spots = np.repeat(np.arange(len(found)), [len(f) for f in found])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), batch.column(0).take(pa.array(spots))], ["hash", "node"])
 
-    return small_batches(sets.select("node", "data")).mapInArrow(run, "hash long, node binary")
+    return small_batches(sets.select("node", "data")).mapInArrow(tidy(run), "hash long, node binary")
 
 
 def _check_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -301,7 +301,7 @@ def _check_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("data").alias("da"))
     b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("data").alias("db"))
     near = pairs.join(a, "a").join(b, "b").where(f"100 * na >= {percent} * nb AND 100 * nb >= {percent} * na")
-    return small_batches(near.select("a", "b", "da", "db")).mapInArrow(run, "a binary, b binary")
+    return small_batches(near.select("a", "b", "da", "db")).mapInArrow(tidy(run), "a binary, b binary")
 
 
 def _close_out(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -321,7 +321,7 @@ def _close_out(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # Families and nodes by number keep the exploded rows narrow.
     kept = members.join(sets.select("node", "n", "data"), "node")
     narrow = kept.select(F.xxhash64("family").alias("family"), F.xxhash64("node").alias("node"), F.xxhash64("root").alias("root"), "data")
-    rows = small_batches(narrow).mapInArrow(run, "family long, node long, root long, token long")
+    rows = small_batches(narrow).mapInArrow(tidy(run), "family long, node long, root long, token long")
     matrix = rows.groupBy("family", "token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     alone = matrix.where("low = high").select("family", "token")
     unmatched = rows.join(alone, ["family", "token"]).groupBy("family", "node").agg(F.count(F.lit(1)).alias("unmatched"))

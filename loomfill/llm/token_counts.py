@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomfill.llm.bpe import Encoder, Shared, encoder_of, vocabulary
-from loomfill.llm.common import small_batches, table
+from loomfill.llm.common import small_batches, table, tidy
 
 CONTEXT = 3
 #: What the query's edits redact, and what they put in its place.
@@ -177,7 +177,7 @@ def count_with_edits(
 
     text = F.make_valid_utf8(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = small_batches(docs.select(F.col(id_col).alias("doc_id"), text.alias("text")))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, " + ", ".join(f"{c} long" for c in _COUNTS))
 
 
 _COUNTS = ["n_chars", "n_tokens", "n_edits", "n_chars_after", "n_tokens_after", "n_recounted"]
