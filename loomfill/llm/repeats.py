@@ -16,8 +16,11 @@ array over the corpus; instead, equal strings are brought to the same shard:
    ``span`` bytes form a class, of which every start but the first is covered.
 4. Covered stretches are merged by document and cut out.
 
-A key with more than ``HOT`` different runs (texts around one common passage)
-would load one shard: its strings are dealt out singly by their own hash.
+Common strings don't gather in a shard. Tasks combine runs before they send
+them: of equal ones the first is sent on, and the others are covered on the
+spot. A key with more than ``HOT`` different runs (texts around one common
+passage), or with a share of that in one task, is *hot*: its strings are dealt
+out singly by their own hash, again combined in each task first.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfill.llm.common import free_shuffles, small_batches, table, written
+from loomfill.llm.common import free_shuffles, small_batches, table, tidy, written
 from loomfill.llm.shingles import _BYTE, U, _power_tables, mix64
 from loomfill.llm.suffix_array import permuted_common_prefixes, suffix_array
 
@@ -43,7 +46,11 @@ ARRAY_BYTES = 6_000_000
 BROADCAST_DOCS = 400_000
 #: No byte of valid UTF-8.
 GAP = 0xFF
-_RUN = "order long, twin long, key long, mark long, start int, size int"
+#: Runs or strings that a task combines at a time.
+CHUNK = 400_000
+#: Kinds of rows: covered whole, to be fetched, to be fetched string by string, mark of a hot key.
+COVERED, WHOLE, SINGLY, HOT_KEY = range(4)
+_RUN = "order long, twin long, key long, mark long, start int, size int, kind int"
 
 
 def find_runs(text: bytes, span: int = SPAN, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -100,25 +107,63 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     return pa.Table.from_batches(found) if found else None
 
 
-def _map_runs(keyed: DataFrame, span: int, seed: int) -> DataFrame:
+def _spread(order: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Keys for rows that no longer need one."""
+    return mix64(order.view(np.uint64) * U(31) + start.astype(np.uint64)).view(np.int64)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row of sorted columns differs from the one before."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def _combine(order, twin, key, mark, start, size, hot: int) -> Iterator[pa.RecordBatch]:
+    """A task's runs: of equal ones the first, the others covered; keys with over ``hot`` different runs marked hot."""
+    at = np.lexsort((start, twin, order, mark, key))
+    order, twin, key, mark, start, size = (x[at] for x in (order, twin, key, mark, start, size))
+    new_key, new_mark = _changes(key), _changes(key, mark)
+    again = ~_changes(key, mark, order, twin, start)  # a document that is in the table more than once
+    number = np.cumsum(new_key) - 1
+    is_hot = np.bincount(number, weights=new_mark)[number] > hot
+    kind = np.where(~new_mark, COVERED, np.where(is_hot, SINGLY, WHOLE))
+    size = np.where(kind == WHOLE, size, np.abs(size))
+    marked = key[new_key & is_hot]
+    key = np.where(kind == WHOLE, key, _spread(order, start))
+    keep = ~again
+    zeros = np.zeros(len(marked), np.int64)
+    columns = [np.concatenate((x[keep], m)) for x, m in zip((order, twin, key, mark, start, size, kind), (zeros, zeros, marked, zeros, zeros, zeros, zeros + HOT_KEY))]
+    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if i > 3 else c) for i, c in enumerate(columns)], _RUN.replace(",", "").split()[::2])
+
+
+def _map_runs(keyed: DataFrame, span: int, seed: int, hot: int) -> DataFrame:
+    local = max(1, hot // 64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
+            order, twin = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             parts = [find_runs(t.as_py().encode(), span, seed) for t in batch.column(2)]
-            counts = np.array([len(p[0]) for p in parts])
-            if not counts.sum():
+            counts = [len(p[0]) for p in parts]
+            if not sum(counts):
                 continue
-            spots = pa.array(np.repeat(np.arange(len(parts)), counts))
             key, mark, start, size = (np.concatenate(c) for c in zip(*parts))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(spots), batch.column(1).take(spots), _longs(key), _longs(mark), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))],
-                ["order", "twin", "key", "mark", "start", "size"],
-            )
+            held.append((np.repeat(order, counts), np.repeat(twin, counts), key.view(np.int64), mark.view(np.int64), start, size))
+            n += len(key)
+            if n >= CHUNK:
+                yield from _combine(*map(np.concatenate, zip(*held)), local)
+                held, n = [], 0
+        if held:
+            yield from _combine(*map(np.concatenate, zip(*held)), local)
 
-    return small_batches(keyed.select("order", "twin", "text")).mapInArrow(run, _RUN)
+    return small_batches(keyed.select("order", "twin", "text")).mapInArrow(tidy(run), _RUN)
 
 
 def _settle_runs(runs: DataFrame, hot: int) -> DataFrame:
-    """``order, twin, key, start, size, kind`` of runs: 0 covered whole, 1 to be fetched, 2 to be fetched singly.
+    """``order, twin, key, start, size, kind`` of runs that are covered or to be fetched.
 
     Runs whose strings may repeat within themselves are fetched in any case.
     """
@@ -127,63 +172,85 @@ def _settle_runs(runs: DataFrame, hot: int) -> DataFrame:
         got = _gathered(batches)
         if got is None:
             return
-        order, twin, key, mark, start, size = (got.column(i).to_numpy() for i in range(6))
+        order, twin, key, mark, start, size, kind = (got.column(i).to_numpy() for i in range(7))
         del got
-        at = np.argsort(key, kind="stable")
-        _, first, count = np.unique(key[at], return_index=True, return_counts=True)
-        at = at[(np.repeat(count, count) > 1) | (size[at] < 0)]  # the others are settled: their keys occur once
-        if not len(at):
-            return
-        at = at[np.lexsort((start[at], twin[at], order[at], mark[at], key[at]))]
-        order, twin, key, mark, start, size = (x[at] for x in (order, twin, key, mark, start, size))
-        within, size = size < 0, np.abs(size)
-        # A document that is in the table more than once gives its runs once.
-        new_key = np.concatenate(([True], key[1:] != key[:-1]))
-        new_mark = new_key | np.concatenate(([True], mark[1:] != mark[:-1]))
-        again = ~new_mark & np.concatenate(([False], (order[1:] == order[:-1]) & (twin[1:] == twin[:-1]) & (start[1:] == start[:-1])))
-        number = np.cumsum(new_key) - 1
-        different = np.bincount(number, weights=new_mark).astype(np.int64)[number]
-        kind = np.where(~new_mark, 0, np.where(different > hot, 2, 1))
-        keep = ~again & ((kind == 0) | (different > 1) | within)
-        spots = np.flatnonzero(keep)
-        for i in range(0, len(spots), 100_000):
-            k = spots[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x[k]) for x in (order, twin, key, start, size)] + [pa.array(kind[k].astype(np.int32))],
-                ["order", "twin", "key", "start", "size", "kind"],
-            )
-
-    return runs.repartition("key").mapInArrow(run, "order long, twin long, key long, start int, size int, kind int")
+        done = np.flatnonzero((kind == COVERED) | (kind == SINGLY))
+        out = [[x[done] for x in (order, twin, key, start, size, kind)]]
+        marked = np.isin(key, key[kind == HOT_KEY])
+        at = np.flatnonzero(kind == WHOLE)
+        at = at[np.argsort(key[at], kind="stable")]
+        _, count = np.unique(key[at], return_counts=True)
+        at = at[(np.repeat(count, count) > 1) | (size[at] < 0) | marked[at]]  # the others are settled: their keys occur once
+        if len(at):
+            at = at[np.lexsort((start[at], twin[at], order[at], mark[at], key[at]))]
+            order, twin, key, mark, start, size, marked = (x[at] for x in (order, twin, key, mark, start, size, marked))
+            within, size = size < 0, np.abs(size)
+            new_mark = _changes(key, mark)
+            again = ~_changes(key, mark, order, twin, start)
+            number = np.cumsum(_changes(key)) - 1
+            different = np.bincount(number, weights=new_mark)[number]
+            kind = np.where(~new_mark, COVERED, np.where(marked | (different > hot), SINGLY, WHOLE))
+            keep = ~again & ((kind != WHOLE) | (different > 1) | within)
+            out.append([x[keep] for x in (order, twin, key, start, size, kind)])
+        for columns in out:
+            for i in range(0, len(columns[0]), 100_000):
+                part = [c[i : i + 100_000] for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if k > 2 else c) for k, c in enumerate(part)], ["order", "twin", "key", "start", "size", "kind"])
+
+    return runs.repartition("key").mapInArrow(tidy(run), "order long, twin long, key long, start int, size int, kind int")
 
 
 def _fetch(keyed: DataFrame, places: DataFrame, span: int) -> DataFrame:
-    """``order, twin, key, start, bytes`` of the places; singly dealt strings come without bytes, under their own hash."""
+    """``order, twin, key, start, kind, bytes`` of the places. Single strings come without
+    bytes, under their own hash; of equal ones in a task the first, the others covered."""
+    names = ["order", "twin", "key", "start", "kind", "bytes"]
+
+    def singles(held: list[tuple]) -> pa.RecordBatch:
+        order, twin, key, start = (np.concatenate(c) for c in zip(*held))
+        at = np.lexsort((start, twin, order, key))
+        order, twin, key, start = (x[at] for x in (order, twin, key, start))
+        fresh, first = _changes(key, order, twin, start), _changes(key)
+        kind = np.where(first, SINGLY, COVERED)
+        key = np.where(first, key, _spread(order, start))
+        columns = [pa.array(x[fresh]) for x in (order, twin, key, start.astype(np.int32), kind.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([*columns, pa.nulls(int(fresh.sum()), pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             out = [[], [], [], [], []]
             for order, twin, text, places in zip(*(batch.column(i) for i in range(4))):
                 order, twin, data = order.as_py(), twin.as_py(), text.as_py().encode()
                 for p in places.as_py():
-                    key, start, size = p["key"], p["start"], p["size"]
-                    if p["kind"] == 1:
-                        rows = [(key, start, data[start : start + size])]
-                    else:
-                        rows = [(_string_hash(data[i : i + span]), i, None) for i in range(start, start + size - span + 1)]
-                    for row in rows:
-                        for column, value in zip(out, (order, twin, *row)):
+                    piece = data[p["start"] : p["start"] + p["size"]]
+                    if p["kind"] == WHOLE:
+                        for column, value in zip(out, (order, twin, p["key"], p["start"], piece)):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())],
-                ["order", "twin", "key", "start", "bytes"],
-            )
+                    else:
+                        hashes = _string_hashes(piece, span)
+                        held.append((np.full(len(hashes), order), np.full(len(hashes), twin), hashes, p["start"] + np.arange(len(hashes))))
+                        n += len(hashes)
+            if out[0]:
+                columns = [pa.array(c, t) for c, t in zip(out[:4], (pa.int64(), pa.int64(), pa.int64(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([WHOLE] * len(out[0]), pa.int32()), pa.array(out[4], pa.binary())], names)
+            if n >= CHUNK:
+                yield singles(held)
+                held, n = [], 0
+        if held:
+            yield singles(held)
 
     rows = _with_places(keyed, places, "inner").select("order", "twin", "text", "places")
-    return small_batches(rows).mapInArrow(run, "order long, twin long, key long, start int, bytes binary")
+    return small_batches(rows).mapInArrow(tidy(run), "order long, twin long, key long, start int, kind int, bytes binary")
 
 
-def _string_hash(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+def _string_hashes(text: bytes, span: int) -> np.ndarray:
+    """A hash of each ``span`` bytes of ``text``."""
+    data = np.frombuffer(text, np.uint8)
+    n = len(data)
+    up, down = _power_tables(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
+    return mix64((total[span:] - total[:-span]) * down[: n - span + 1]).view(np.int64)
 
 
 def _with_places(keyed: DataFrame, places: DataFrame, how: str) -> DataFrame:
@@ -220,20 +287,18 @@ def _resolve(fetched: DataFrame, span: int) -> DataFrame:
         got = _gathered(batches)
         if got is None:
             return
-        order, twin, key, start = (got.column(i).to_numpy() for i in range(4))
-        content = got.column(4).combine_chunks()
-        single = np.asarray(content.is_null())
+        order, twin, key, start, kind = (got.column(i).to_numpy() for i in range(5))
+        content = got.column(5).combine_chunks()
         sizes = np.asarray(pc.fill_null(pc.binary_length(content), 0))
-        out = []
-        # Singly dealt strings: all but the first of a hash.
-        s = np.flatnonzero(single)
-        if len(s):
-            s = s[np.lexsort((start[s], twin[s], order[s], key[s]))]
-            later = np.concatenate(([False], key[s][1:] == key[s][:-1]))
-            s = s[later]
-            out.append((order[s], twin[s], start[s].astype(np.int64), start[s].astype(np.int64) + span))
+        # Strings that a task has found covered, and of single ones all but the first of a hash.
+        done = np.flatnonzero(kind == COVERED)
+        s = np.flatnonzero(kind == SINGLY)
+        s = s[np.lexsort((start[s], twin[s], order[s], key[s]))]
+        s = s[~_changes(key[s]) & _changes(key[s], order[s], twin[s], start[s])]
+        s = np.concatenate((done, s))
+        out = [(order[s], twin[s], start[s].astype(np.int64), start[s].astype(np.int64) + span)]
         # Runs: key ranges of bounded size, each in corpus order.
-        r = np.flatnonzero(~single)
+        r = np.flatnonzero(kind == WHOLE)
         r = r[np.argsort(key[r], kind="stable")]
         upto = np.cumsum(sizes[r] + 1)
         low = 0
@@ -244,6 +309,7 @@ def _resolve(fetched: DataFrame, span: int) -> DataFrame:
             part = r[low:high]
             low = high
             part = part[np.lexsort((start[part], twin[part], order[part]))]
+            part = part[_changes(order[part], twin[part], start[part])]  # a repeated row is one document
             strings = [content[int(i)].as_py() for i in part]
             hits = covered_starts(strings, span)
             if len(hits):
@@ -257,7 +323,7 @@ def _resolve(fetched: DataFrame, span: int) -> DataFrame:
                 [pa.array(o), pa.array(t), pa.array(a.astype(np.int32)), pa.array((b - a).astype(np.int32))], ["order", "twin", "start", "size"]
             )
 
-    return fetched.repartition("key").mapInArrow(run, "order long, twin long, start int, size int")
+    return fetched.repartition("key").mapInArrow(tidy(run), "order long, twin long, start int, size int")
 
 
 def _merge(stretches: DataFrame) -> DataFrame:
@@ -277,7 +343,7 @@ def _merge(stretches: DataFrame) -> DataFrame:
         packed = [p.tobytes() for p in np.split(pairs, cut[1:])]
         yield pa.RecordBatch.from_arrays([pa.array(order[docs]), pa.array(twin[docs]), pa.array(packed, pa.binary())], ["order", "twin", "spans"])
 
-    return stretches.repartition("order", "twin").mapInArrow(run, "order long, twin long, spans binary")
+    return stretches.repartition("order", "twin").mapInArrow(tidy(run), "order long, twin long, spans binary")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -290,7 +356,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, seed: int = SEED, hot: int = HOT) -> DataFrame:
     """``order, twin, spans`` of the documents with covered bytes."""
     keyed = _keyed(docs, id_col, text_col)
-    settled = written(_settle_runs(_map_runs(keyed, span, seed), hot), "runs")
+    settled = written(_settle_runs(_map_runs(keyed, span, seed, hot), hot), "runs")
     free_shuffles(docs.sparkSession)
     places = settled.where("kind > 0").groupBy("order", "twin").agg(F.collect_list(F.struct("key", "start", "size", "kind")).alias("places"))
     fetched = _fetch(keyed, written(places, "places"), span)
@@ -332,7 +398,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     rows = _with_places(_keyed(docs, id_col, text_col), spans, "left").select("doc_id", "text", "spans")
-    return small_batches(rows).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return small_batches(rows).mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op6_repeated_strings(spark, sf_dir: str) -> DataFrame:

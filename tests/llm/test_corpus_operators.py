@@ -283,6 +283,11 @@ def test_repeats_edges(spark):
     rows = [(5, text), (5, text), (None, text), (3, text + " and more"), (9, "short")]
     got = Counter((r.doc_id, r.n_removed) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == Counter({(5, len(text)): 2, (None, len(text)): 1, (3, 0): 1, (9, 0): 1})
+    for hot in (1, 20_000):
+        rows = [(1, text), (1, text), (2, text + "x" * 200), (2, text + "x" * 200)] + [(i, f"{i} " * 40 + text) for i in range(3, 9)]
+        got = Counter((r.doc_id, r.n_removed) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect())
+        plain = plain_repeats(sorted(set(rows)), 100)
+        assert got == Counter({(i, gone): 2 if i < 3 else 1 for i, _, gone, *_ in plain})
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
