@@ -40,8 +40,8 @@ from loomfill.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 SPAN, SEED = 100, 32
 HOT = 20_000
-#: Bytes of runs in one suffix array; a shard with more works key range by key range.
-ARRAY_BYTES = 6_000_000
+#: Bytes of runs in one suffix array (some 100 bytes of memory each); a shard with more works key range by key range.
+ARRAY_BYTES = 2_000_000
 #: Places of this many documents (some 100 MB) are broadcast; more are joined by shuffling texts.
 BROADCAST_DOCS = 400_000
 #: No byte of valid UTF-8.
