@@ -124,16 +124,16 @@ def pass_by_node_type(scores: DataFrame) -> DataFrame:
     )
 
 
-_RANGE = 10_000
+RANGE = 10_000
 
 
-def with_totals(rows: DataFrame, order: str, totals: dict[str, Column], *by: str) -> DataFrame:
+def with_totals(rows: DataFrame, order: str, totals: dict[str, Column], *by: str, span: int = RANGE) -> DataFrame:
     """Running sums in the order of a unique whole number, per group.
 
-    Sums run over fixed ranges of the order first and then over the ranges'
+    Sums run over ranges of ``span`` of the order first and then over the ranges'
     totals, so no task holds a group's whole series.
     """
-    ranged = rows.withColumn("range", F.floor(F.col(order) / _RANGE)).withColumns(totals)
+    ranged = rows.withColumn("range", F.floor(F.col(order) / span)).withColumns(totals)
     earlier = Window.partitionBy(*by, "range_part").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = ranged.groupBy(*by, "range").agg(*[F.sum(c).alias(c) for c in totals]).withColumn("range_part", F.lit(0))
     before = sums.select(*by, "range", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in totals])
@@ -142,10 +142,10 @@ def with_totals(rows: DataFrame, order: str, totals: dict[str, Column], *by: str
     return done.withColumns({c: F.col(f"{c}_before") + F.sum(c).over(within) for c in totals}).select(*rows.columns, *totals)
 
 
-def running_pass(scores: DataFrame, order: str = "sample_id", every: int = 1) -> DataFrame:
+def running_pass(scores: DataFrame, order: str = "sample_id", every: int = 1, span: int = RANGE) -> DataFrame:
     """``model, passed, done`` and the order: exact completions so far, per model; every ``every``-th row."""
     rows = scores.select("model", order, "pass_at_1")
-    done = with_totals(rows, order, {"passed": F.col("pass_at_1").cast("int"), "done": F.lit(1)}, "model")
+    done = with_totals(rows, order, {"passed": F.col("pass_at_1").cast("int"), "done": F.lit(1)}, "model", span=span)
     return done.where(F.col("done") % every == 0).drop("pass_at_1")
 
 
@@ -218,7 +218,7 @@ def result_document(scores: DataFrame, timestamp: str) -> DataFrame:
     return one.select(F.to_json(F.struct("metadata", "summary", "results")).alias("json"))
 
 
-def compact_results(scores: DataFrame) -> DataFrame:
+def compact_results(scores: DataFrame, span: int = RANGE) -> DataFrame:
     """The second evaluation's rows: ``id`` counts from 0 in sample order; any draw passes at 5, and words overlap by the larger set."""
     part = lambda m: F.struct(
         F.col(f"{m}.text").alias("generated"),
@@ -231,7 +231,7 @@ def compact_results(scores: DataFrame) -> DataFrame:
         (F.col(f"{m}.generation_time_ms") / 1000).alias("time"),
         F.col(f"{m}.generated_tokens").alias("tokens"),
     )
-    wide = with_totals(side_by_side(scores), "sample_id", {"id": F.lit(1)})
+    wide = with_totals(side_by_side(scores), "sample_id", {"id": F.lit(1)}, span=span)
     return wide.select((F.col("id") - 1).alias("id"), F.col("file_path").alias("path"), "expected", part(TUNED).alias(TUNED), part(BASELINE).alias(BASELINE))
 
 
