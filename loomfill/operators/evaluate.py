@@ -185,13 +185,8 @@ def keyword_summary(results: DataFrame) -> DataFrame:
     )
 
 
-def result_document(scores: DataFrame, timestamp: str) -> DataFrame:
-    """One row ``json``: metadata, summary, and results in the order of samples.
-
-    The document is a report of one evaluation, gathered in one row; keep
-    long evaluations as rows instead.
-    """
-    wide = side_by_side(scores)
+def _result_parts(timestamp: str) -> tuple[list[Column], Column]:
+    """Metadata and summary as aggregates of :func:`side_by_side`'s rows, and a result of one row."""
     block = lambda m: F.struct(
         *[F.count_if(F.col(f"{m}.{c}")).alias(c) for c in COUNTED],
         F.avg(F.col(f"{m}.edit_similarity")).alias("avg_edit_similarity"),
@@ -210,14 +205,35 @@ def result_document(scores: DataFrame, timestamp: str) -> DataFrame:
         F.col("tuned.k_samples").alias("tuned_k_samples"),
         F.col("baseline.k_samples").alias("baseline_k_samples"),
     )
-    one = wide.agg(
-        F.struct(F.count(F.lit(1)).alias("total_samples"), F.lit(timestamp).alias("timestamp"), F.array_sort(F.collect_list("sample_id")).alias("sampled_indices")).alias("metadata"),
-        F.struct(block(TUNED).alias(TUNED), block(BASELINE).alias(BASELINE)).alias("summary"),
+    whole = [F.count(F.lit(1)).alias("total_samples"), F.lit(timestamp).alias("timestamp")]
+    return [*whole, F.struct(block(TUNED).alias(TUNED), block(BASELINE).alias(BASELINE)).alias("summary")], row
+
+
+def result_document(scores: DataFrame, timestamp: str) -> DataFrame:
+    """One row ``json``: metadata, summary, and results in the order of samples.
+
+    The document is a report of one evaluation, gathered in one row; long
+    evaluations are kept as rows by :func:`result_rows`.
+    """
+    (total, when, summed), row = _result_parts(timestamp)
+    one = side_by_side(scores).agg(
+        F.struct(total, when, F.array_sort(F.collect_list("sample_id")).alias("sampled_indices")).alias("metadata"),
+        summed,
         F.array_sort(F.collect_list(row)).alias("results"),
     )
     return one.select(F.to_json(F.struct("metadata", "summary", "results")).alias("json"))
 
 
+def result_rows(scores: DataFrame, timestamp: str) -> DataFrame:
+    """:func:`result_document` as rows ``sample_id, json``: one for each result, and
+    one with a null id for metadata and summary. The ids stand for ``sampled_indices``."""
+    (total, when, summed), row = _result_parts(timestamp)
+    wide = side_by_side(scores)
+    head = wide.agg(F.struct(total, when).alias("metadata"), summed)
+    top = head.select(F.lit(None).cast(wide.schema["sample_id"].dataType).alias("sample_id"), F.to_json(F.struct("metadata", "summary")).alias("json"))
+    return top.unionByName(wide.select("sample_id", F.to_json(row).alias("json")))
+
+
 def compact_results(scores: DataFrame, span: int = RANGE) -> DataFrame:
     """The second evaluation's rows: ``id`` counts from 0 in sample order; any draw passes at 5, and words overlap by the larger set."""
     part = lambda m: F.struct(

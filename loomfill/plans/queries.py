@@ -359,15 +359,13 @@ def manifest_rows(spark, sf_dir):
 
 @query
 def results_json(spark, sf_dir):
-    """The result document of an evaluation of 200 lines."""
-    some = P.take_random(D.line_tests(spark, sf_dir), "sample_id", 200)
-    return E.result_document(E.score(D.completions(spark, sf_dir, lines=True), some), "2026-01-01 00:00:00")
+    """The result rows of an evaluation of every line, and a row of its metadata and summary."""
+    return E.result_rows(_scores(spark, sf_dir, lines=True), "2026-01-01 00:00:00")
 
 
 @query
 def report_lines(spark, sf_dir):
-    some = P.take_random(D.line_tests(spark, sf_dir), "sample_id", 200)
-    return E.report_lines(E.score(D.completions(spark, sf_dir, lines=True), some))
+    return E.report_lines(_scores(spark, sf_dir, lines=True))
 
 
 # At the Python boundary.

@@ -1,5 +1,6 @@
 """The evaluation of whole texts against plain Python, on the smallest tables."""
 
+import json
 import math
 import os
 from collections import Counter, defaultdict
@@ -80,3 +81,16 @@ def test_counts(spark, texts, expected, made):
 
 def test_generator_gets_every_line(spark, expected):
     assert {r.sample_id for r in Q.QUERIES["generate_stub"](spark, DATA).select("sample_id").collect()} == set(expected)
+
+
+def test_reports_hold_every_sample(spark, expected, made):
+    rows = {r.sample_id: json.loads(r.json) for r in Q.QUERIES["results_json"](spark, DATA).collect()}
+    head = rows.pop(None)
+    scored = set(expected)
+    assert set(rows) == scored and head["metadata"]["total_samples"] == len(scored) > 200
+    exact = {m: sum(made[i, m].text == expected[i] for i in expected) for m in D.MODELS}
+    assert {m: head["summary"][m]["pass_at_1"] for m in D.MODELS} == exact
+    for i, row in rows.items():
+        assert row["sample_id"] == i and row.get("expected") == expected[i] and row.get("tuned_output") == made[i, "tuned"].text
+    sections = {r.section for r in Q.QUERIES["report_lines"](spark, DATA).select("section").distinct().collect()}
+    assert sections == scored | {-1}
