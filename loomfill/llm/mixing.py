@@ -3,8 +3,9 @@
 1. One pass counts every document's words; sums per source give the targets.
 2. Each source is cut into blocks of about equal words by a hash of the id.
    A source's stream of blocks is a seeded permutation of its blocks for each
-   epoch; its quota is how many of them reach the target. The last block may
-   be drawn in part: its documents in hash order up to the target.
+   epoch; its quota is how many of them reach the target. The first block that
+   does not fit whole, and those after it in the same epoch, are drawn in part:
+   document by document, each that still fits, until none does.
 3. The vector of all quotas is split over the output shards by a binary tree:
    each node gives its left half a multivariate-hypergeometric draw of its
    quotas, so shards get exact quotas and random composition, and every block
@@ -35,7 +36,6 @@ MOST = 2.0
 BLOCK_WORDS = 50_000
 MAX_BLOCKS = 16_384
 SHARDS = 64
-FILL_ROUNDS = 4
 #: Block tables up to this many rows (a few MB) are broadcast; larger ones are shuffled.
 BROADCAST_BLOCKS = 60_000
 
@@ -84,35 +84,99 @@ class Draw:
     block: int
     epoch: int
     shard: int
-    part: int  # words of the block to draw; -1 for all of it
+    fills: tuple[Fill, ...] | None = None  # what of the block is drawn; None for all of it
 
 
-def source_stream(blocks: dict[int, int], target: float, key: str, seed: int) -> list[tuple[int, int, int]]:
-    """(block, epoch, part) in drawing order until ``target`` words; the last may be in part."""
+#: Documents of a block of at most so many words, whose order is above ``after`` (None: from the first on) and ``upto`` at most.
+Fill = tuple[int, int | None, int]
+LAST = (1 << 63) - 1
+
+
+def source_stream(blocks: dict[int, int], target: float, key: str, seed: int) -> tuple[list[tuple[int, int]], list[int], int, int]:
+    """(block, epoch) of whole blocks in drawing order while they fit in ``target`` words;
+    then the blocks of the last epoch that are not drawn, in order, that epoch, and the words left for them."""
     order = sorted(blocks)
     whole = sum(blocks.values())
-    out: list[tuple[int, int, int]] = []
+    out: list[tuple[int, int]] = []
     left, epoch = target, 0
     while whole and left > 0:
         rng = np.random.default_rng([seed, epoch, *key.encode()])
-        for k in rng.permutation(len(order)):
-            block = order[int(k)]
-            if left <= 0:
-                break
-            if blocks[block]:
-                out.append((block, epoch, -1 if blocks[block] <= left else max(0, round(left))))
-                left -= blocks[block]
+        walk = [b for k in rng.permutation(len(order)) if blocks[b := order[int(k)]]]
+        for i, block in enumerate(walk):
+            if blocks[block] > left:
+                return out, walk[i:], epoch, round(left)
+            out.append((block, epoch))
+            left -= blocks[block]
         epoch += 1
-    return out
+    return out, [], epoch, 0
 
 
-def _keyed(docs: DataFrame, id_col: str, source_col: str) -> DataFrame:
-    """Adds mix_key (the source, null apart from any string) and two hashes of the id."""
+def fill_rest(sized: DataFrame, sources: list[tuple[str, int, float, int]], rests: dict[str, tuple[list[int], int]]) -> dict[tuple[str, int], list[Fill]]:
+    """Draw documents of ``rests``, a source's undrawn blocks in order and the words left for it, each in turn that still fits.
+
+    A round takes what fits up to the first document that does not; the next
+    goes on behind it with what is left, which is less than that document has.
+    So rounds are few, and in the end no document passed over would fit.
+    Rows with equal ids and texts are taken, or not, together.
+    """
+    spark = sized.sparkSession
+    state = [(key, open_, -1, None) for key, (walk, open_) in rests.items() if walk and open_ > 0]
+    fills: dict[tuple[str, int], list[Fill]] = {}
+    if not state:
+        return fills
+    rows = [(key, block, spot) for key, *_ in state for spot, block in enumerate(rests[key][0])]
+    spots = spark.createDataFrame(rows, "mix_key string, mix_block int, spot int")
+    spots = F.broadcast(spots) if len(rows) <= BROADCAST_BLOCKS else spots
+    left = _with_block(sized, sources).join(spots, ["mix_key", "mix_block"]).select("mix_key", "spot", "mix_order", "size")
+    left = written(left.where("size > 0"), "mix-left", share=16)
+    upto = Window.partitionBy("mix_key").orderBy("mix_order")  # equal rows at once
+    while state:
+        now = spark.createDataFrame(state, "mix_key string, open long, at int, after long")
+        now = F.broadcast(now) if len(state) <= BROADCAST_BLOCKS else now
+        fit = left.join(now, "mix_key").where("size <= open AND (spot > at OR (spot = at AND mix_order > after))")
+        sums: dict[str, dict[int, int]] = {}
+        for r in fit.groupBy("mix_key", "spot").agg(F.sum("size").alias("size")).collect():  # blocks at most
+            sums.setdefault(r.mix_key, {})[r.spot] = int(r.size)
+        crossing = []
+        rules: dict[str, tuple[int, int, int | None]] = {key: (open_, at, after) for key, open_, at, after in state}
+        for key, found in sums.items():
+            open_, at, after = rules[key]
+            room = open_
+            for spot in sorted(found):
+                if found[spot] > room:
+                    crossing.append((key, spot, room))
+                    break
+                fills.setdefault((key, rests[key][0][spot]), []).append((open_, after if spot == at else None, LAST))
+                room -= found[spot]
+        state = []
+        if not crossing:
+            break
+        cross = spark.createDataFrame(crossing, "mix_key string, spot int, room long")
+        cross = F.broadcast(cross) if len(crossing) <= BROADCAST_BLOCKS else cross
+        part = fit.join(cross, ["mix_key", "spot"]).withColumn("sum", F.sum("size").over(upto))  # one block of each source
+        taken = F.col("sum") <= F.col("room")
+        ends = part.groupBy("mix_key", "spot", "room").agg(
+            F.max(F.when(taken, F.col("mix_order"))).alias("upto"),
+            F.coalesce(F.sum(F.when(taken, F.col("size"))), F.lit(0)).alias("taken"),
+            F.min(F.when(~taken, F.col("mix_order"))).alias("over"),
+        )
+        for r in ends.collect():
+            open_, at, after = rules[r.mix_key]
+            if r.upto is not None:
+                fills.setdefault((r.mix_key, rests[r.mix_key][0][r.spot]), []).append((open_, after if r.spot == at else None, r.upto))
+            if r.room > r.taken:
+                state.append((r.mix_key, int(r.room - r.taken), r.spot, r.over))
+    return fills
+
+
+def _keyed(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    """Adds mix_key (the source, null apart from any string) and two hashes of the id and text: many rows may have a null id."""
+    row = [F.col(id_col).cast("string"), F.xxhash64(F.col(text_col))]
     return docs.withColumns(
         {
             "mix_key": F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")),
-            "mix_order": F.xxhash64(F.lit("order"), F.col(id_col).cast("string")),
-            "mix_hash": F.xxhash64(F.lit("block"), F.col(id_col).cast("string")),
+            "mix_order": F.xxhash64(F.lit("order"), *row),
+            "mix_hash": F.xxhash64(F.lit("block"), *row),
         }
     )
 
@@ -139,7 +203,7 @@ def plan_mix(
     max_blocks: int = MAX_BLOCKS,
     seed: int = 11,
 ) -> Plan:
-    """Plan from rows of ``mix_key, mix_hash, size``."""
+    """Plan from rows of ``mix_key, mix_hash, mix_order, size``."""
     found = {r.mix_key: int(r.size) for r in sized.groupBy("mix_key").agg(F.sum("size").alias("size")).collect()}
     keys = sorted(found, key=lambda k: (k == "n", k))
     sizes = [found[k] for k in keys]
@@ -156,7 +220,12 @@ def plan_mix(
     blocks: dict[str, dict[int, int]] = {k: {} for k in keys}
     for r in per_block:
         blocks[r.mix_key][r.mix_block] = int(r.size)
-    streams = [source_stream(blocks[k], t, k, seed) for k, _, t, _ in sources]
+    found = {k: source_stream(blocks[k], t, k, seed) for k, _, t, _ in sources}
+    fills = fill_rest(sized, sources, {k: (rest, left) for k, (_, rest, _, left) in found.items()})
+    streams = [
+        [(b, e, None) for b, e in whole] + [(b, epoch, tuple(fills[k, b])) for b in rest if (k, b) in fills]
+        for k, (whole, rest, epoch, _) in found.items()
+    ]
     dealt = split_quotas(np.array([len(s) for s in streams]), shards, seed) if streams else np.zeros((shards, 0), int)
     draws: dict[tuple[str, int], list[Draw]] = {(k, b): [] for k in keys for b in blocks[k]}
     for i, (stream, key) in enumerate(zip(streams, keys)):
@@ -178,45 +247,37 @@ def _with_block(sized: DataFrame, sources: list[tuple[str, int, float, int]]) ->
 def _with_draws(sized: DataFrame, plan: Plan) -> DataFrame:
     """Adds each row's block, and ``drawn array<struct<epoch, shard>>``: the draws that hold it.
 
-    Where a block is drawn in part, documents are taken in hash order while
-    they fit; what is left open is filled again by those after that still fit.
+    Where a block is drawn in part, that is by its :func:`fill_rest` rules.
     """
     rows = [
-        (key, block, [(d.epoch, d.shard) for d in found if d.part < 0], *next(((d.part, (d.epoch, d.shard)) for d in found if d.part >= 0), (None, None)))
+        (key, block, [(d.epoch, d.shard) for d in found if d.fills is None], *next(((list(d.fills), (d.epoch, d.shard)) for d in found if d.fills is not None), (None, None)))
         for (key, block), found in plan.draws.items()
     ]
     pair = "struct<epoch:int,shard:int>"
-    info = sized.sparkSession.createDataFrame(rows, f"mix_key string, mix_block int, full array<{pair}>, part long, rest {pair}")
+    info = sized.sparkSession.createDataFrame(
+        rows, f"mix_key string, mix_block int, full array<{pair}>, fills array<struct<most:long,after:long,upto:long>>, rest {pair}"
+    )
     info = F.broadcast(info) if len(rows) <= BROADCAST_BLOCKS else info
     with_info = _with_block(sized, plan.sources).join(info, ["mix_key", "mix_block"])
-    whole = with_info.where("part IS NULL").withColumn("drawn", F.col("full"))
-    own = Window.partitionBy("mix_key")
-    upto = own.orderBy("mix_order", "size").rowsBetween(Window.unboundedPreceding, 0)
-    partly = with_info.where("part IS NOT NULL")  # one block of each source
-    if "size" not in sized.columns:
-        partly = partly.withColumn("size", word_count("text"))
-    partly = partly.withColumns({"open": F.col("part"), "in_part": F.lit(False)})
-    for _ in range(FILL_ROUNDS):  # all rounds share one partitioning
-        fits = ~F.col("in_part") & (F.col("size") <= F.col("open"))
-        partly = (
-            partly.withColumn("fits", fits)
-            .withColumn("now", F.col("fits") & (F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).over(upto) <= F.col("open")))
-            .withColumn("open", F.col("open") - F.sum(F.when(F.col("now"), F.col("size")).otherwise(0)).over(own))
-            .withColumn("in_part", F.col("in_part") | F.col("now"))
-        )
-    partly = partly.withColumn("drawn", F.when(F.col("in_part"), F.concat("full", F.array("rest"))).otherwise(F.col("full")))
-    return whole.unionByName(partly.select(*whole.columns))
+    if "size" not in sized.columns:  # counted for blocks in part only
+        with_info = with_info.withColumn("size", F.when(F.col("fills").isNotNull(), word_count("text")))
+    size, order = F.col("size"), F.col("mix_order")
+    fits = F.exists("fills", lambda f: (size > 0) & (size <= f["most"]) & (f["after"].isNull() | (order > f["after"])) & (order <= f["upto"]))
+    return with_info.withColumn("drawn", F.when(fits, F.concat("full", F.array("rest"))).otherwise(F.col("full")))
 
 
 def mixed_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """How many words of each document a mix takes: ``doc_id, size, source_size, target, taken, copies``.
 
     Null texts have no words; null sources form the last source. Rows with
-    equal ids fall in one block; each counts by itself. Empty input gives an
+    equal ids and texts fall in one block and are drawn equally often. A source's
+    taken words stay below its target by less than its smallest document that
+    could still be drawn (or than such equal rows together). Empty input gives an
     empty result. No document is taken more than ``most`` times, rounded up.
     """
-    keyed = _keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "doc_id", "source")
-    sized = written(keyed.drop("source"), "mix-sizes")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    keyed = _keyed(rows, "doc_id", "source", "text").withColumn("size", word_count("text"))
+    sized = written(keyed.drop("source", "text"), "mix-sizes", share=16, heavy=True)
     drawn = _with_draws(sized, plan_mix(sized, **options))
     return drawn.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.size("drawn")).alias("taken"), F.size("drawn").alias("copies")
@@ -229,11 +290,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Sort a shard's rows by ``mix_position`` for its shuffled order, as
     :func:`write_mix` does. Rows of a shard come from disjoint blocks.
     """
-    count = word_count(F.col(text_col))
-    slim = _keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count.alias("size")), "doc_id", "source")
-    plan = plan_mix(written(slim.select("mix_key", "mix_hash", "size"), "mix-sizes"), **options)
     columns = docs.columns
-    whole = _keyed(docs.select(F.struct(*columns).alias("mix_row"), F.col(id_col).alias("mix_id"), F.col(source_col).alias("mix_source"), F.col(text_col).alias("text")), "mix_id", "mix_source")
+    whole = _keyed(docs.select(F.struct(*columns).alias("mix_row"), F.col(id_col).alias("mix_id"), F.col(source_col).alias("mix_source"), F.col(text_col).alias("text")), "mix_id", "mix_source", "text")
+    plan = plan_mix(written(whole.select("mix_key", "mix_hash", "mix_order", word_count("text").alias("size")), "mix-sizes", share=16, heavy=True), **options)
     drawn = _with_draws(whole, plan).select("mix_row", "mix_order", F.explode("drawn").alias("mix_draw"))
     return drawn.select(
         *[F.col("mix_row").getField(c).alias(c) for c in columns],

@@ -179,6 +179,26 @@ def test_mixing(spark):
     assert [r.taken for r in mixing.mixed_sizes(empty).collect()] == [0, 0]
 
 
+def test_mixing_fills_past_a_long_document(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.randint(20, 60)), "a") for i in range(500)]
+    rows.append((9000, "w " * (sum(len(t.split()) for _, t, _ in rows) // 2), "a"))  # a third of all words
+    rows += [(None, "w " * n, "a") for n in (31, 32, 32, 33)]
+    frame = docs(spark, rows)
+    seen = 0
+    for seed in range(8):
+        got = mixing.mixed_sizes(frame, block_words=600, seed=seed).collect()
+        gap = got[0].target - sum(r.taken for r in got)
+        copies = max(r.copies for r in got)
+        least = min(r.size for r in got if r.copies < copies)
+        assert -1 < gap < least + 1, (seed, gap)
+        assert copies <= 2
+        seen += next(r.copies for r in got if r.doc_id == 9000) == 1
+        drawn = Counter((r.doc_id, len(r.text.split())) for r in mixing.mix(frame, block_words=600, seed=seed).select("doc_id", "text").collect())
+        assert drawn == Counter((r.doc_id, r.size) for r in got for _ in range(r.copies))
+    assert seen  # the long document crosses the target
+
+
 def plain_search(ids, vectors, queries, k):
     out = []
     for q in queries:
