@@ -78,6 +78,25 @@ def only_keys(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, "left_semi").select(*df.columns)
 
 
+def odd_ids(docs: DataFrame, id_col: str) -> bool:
+    """Whether an id is null or repeated, so that ids do not name rows."""
+    counted = docs.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return not counted.where("id IS NULL OR n > 1").isEmpty()
+
+
+def row_key(first: Column, id_col: str, text_col: str) -> Column:
+    """Never null, and equal for repeated rows (equal ids and texts) only; in the order of ``first``, then of ids."""
+    digest = F.coalesce(F.sha2(F.col(text_col).cast("string"), 256), F.lit(""))
+    return F.struct(first.alias("first"), F.col(id_col).alias("id"), digest.alias("digest"))
+
+
+def one_of_each(keyed: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """``keyed``'s rows with a key in the written table ``keys``, one for each key, combined in each task first."""
+    columns = [c for c in keyed.columns if c != on]
+    some = only_keys(keyed.select(on, F.struct(*columns).alias("row")), keys, on)
+    return some.groupBy(on).agg(F.first("row").alias("row")).select("row.*")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. ``lower`` does that for pure ASCII, and faster."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

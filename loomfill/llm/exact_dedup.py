@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfill.llm.common import ascii_lower, only_keys, written
+from loomfill.llm.common import ascii_lower, odd_ids, one_of_each, only_keys, row_key, written
 
 SALTS = 32
 
@@ -74,7 +74,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """``docs`` with all its columns and only the rows that stay. Ids must be unique and not null."""
+    """``docs`` with all its columns and exactly one row of each normalised text: one with the largest id.
+
+    A null id ranks below every other. Where an id is null or repeated, rows go by
+    id and text digest in place of the id; of repeated rows any one stays.
+    """
+    if odd_ids(docs, id_col):
+        keyed = docs.withColumn("copy_key", row_key(F.col(id_col).isNotNull(), id_col, text_col))
+        keep = copy_groups(keyed, "copy_key", text_col, salts).select(F.col("keep_id").alias("copy_key"))
+        return one_of_each(keyed, written(keep, "kept", share=4), "copy_key")
     keep = copy_groups(docs, id_col, text_col, salts).select(F.col("keep_id").alias(id_col))
     return only_keys(docs, written(keep, "kept", share=4), id_col)
 

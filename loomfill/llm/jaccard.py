@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfill.llm.common import free_shuffles, only_keys, small_batches, table, tidy, written
+from loomfill.llm.common import free_shuffles, odd_ids, one_of_each, only_keys, row_key, small_batches, table, tidy, written
 from loomfill.llm.components import components
 from loomfill.llm.shingles import U, mix64, set_digest, shingle_set
 
@@ -430,7 +430,15 @@ def node_links(rows: DataFrame, names: DataFrame, width: int, percent: int) -> D
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs``, all columns, with one document of each component: the smallest id. Ids must be unique and not null."""
+    """``docs``, all columns, with exactly one row of each component: one with the smallest id.
+
+    A null id ranks behind every other. Where an id is null or repeated, rows go by
+    id and text digest in place of the id; of repeated rows any one stays, blank ones too.
+    """
+    if odd_ids(docs, id_col):
+        keyed = docs.withColumn("near_key", row_key(F.col(id_col).isNull(), id_col, text_col))
+        kept = jaccard_components(keyed, "near_key", text_col, width, percent).where("doc_id = component_id")
+        return one_of_each(keyed, written(kept.select(F.col("doc_id").alias("near_key")).distinct(), "kept", share=16), "near_key")
     kept = jaccard_components(docs, id_col, text_col, width, percent).where("doc_id = component_id")
     kept = written(kept.select(F.col("doc_id").alias(id_col)), "kept", share=16)
     return only_keys(docs, kept, id_col).select(*docs.columns)

@@ -88,6 +88,16 @@ def test_jaccard_edges(spark):
         jaccard.Router(50)
 
 
+def test_keep_first_of_odd_ids(spark):
+    near = "a b c d e f"
+    rows = [(7, near, "s"), (7, near, "s"), (7, "A b c d e f", "s"), (3, "k l m n o p", "s"), (7, "k l m n o p", "s"), (None, near, "s")]
+    rows += [(None, "only one of its kind here", "s"), (None, "and one more of its own", "s"), (7, "lone words under this id", "s"), (8, "", "s"), (8, "", "s"), (None, None, "s"), (None, None, "s")]
+    kept = jaccard.keep_first(docs(spark, rows))
+    got = Counter((r.doc_id, (r.text or "").lower()) for r in kept.collect())
+    want = [(7, near), (3, "k l m n o p"), (None, "only one of its kind here"), (None, "and one more of its own"), (7, "lone words under this id"), (8, ""), (None, "")]
+    assert got == Counter(want) and kept.columns == docs(spark, []).columns
+
+
 def test_router_never_misses():
     rng = np.random.default_rng(1)
     for percent in (70, 80, 90, 95):

@@ -35,6 +35,19 @@ def test_exact_dedup(spark):
     assert sorted(r.doc_id for r in drop_copies(docs(spark, unique)).collect()) == [4, 5, 6, 8, 9]
 
 
+def test_drop_copies_of_odd_ids(spark):
+    rows = [*EDGE, (9, "lone too"), (5, "a B"), (None, "x" * 200_000), (None, None)]
+    for given in (rows, [(None, t) for _, t in rows]):
+        by = {}
+        for i, t in given:
+            norm = (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+            by[norm] = max(by.get(norm, -1), -1 if i is None else i)
+        kept = drop_copies(docs(spark, given).withColumn("keep_id", F.lit("own")))
+        assert kept.columns == [*docs(spark, []).columns, "keep_id"]
+        got = sorted(((r.text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), -1 if r.doc_id is None else r.doc_id) for r in kept.collect())
+        assert got == sorted(by.items())
+
+
 def plain_verdict(url, rules):
     host = path = ""
     if url and "://" in url:
