@@ -5,10 +5,12 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Key tables up to this many rows (some 100 MB) are broadcast; larger ones are shuffled.
-BROADCAST_KEYS = 1_000_000
+#: Tables of up to so many bytes, as measured, are broadcast; larger ones are shuffled.
+BROADCAST_BYTES = 32 << 20
+#: A key is hot when it holds more than this share of all rows, so there are no more than 4,096 of them.
+HOT_KEYS = 4_096
 
 _folders: dict[str, str] = {}
 
@@ -27,15 +31,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This application's folder inside ``spark.checkpoint.dir``.
+    """This application's folder inside ``spark.checkpoint.dir``, or else the context's checkpoint folder.
 
-    The cluster names that folder; a private temporary one is set only where
-    it is unset, as in tests on one machine.
+    Only a session on one machine may do without either; it gets a private
+    temporary folder. Elsewhere every executor would write to its own disk, so
+    that is refused.
     """
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    app = context.applicationId
     if app not in _folders:
         top = spark.conf.get("spark.checkpoint.dir", None)
+        if not top and (named := context._jsc.sc().getCheckpointDir()).isDefined():
+            top = named.get()
         if not top:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             top = "file://" + tempfile.mkdtemp(prefix="loomfill-")
         _folders[app] = f"{top.rstrip('/')}/loomfill-{app}"
         atexit.register(_remove, spark, _folders[app])
@@ -55,27 +65,63 @@ def few(spark: SparkSession, share: int) -> int:
     return max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // share)
 
 
-def written(df: DataFrame, name: str, share: int = 1, heavy: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, share: int = 1) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and
     any executor can reread the files when another one is lost.
 
-    With ``share``, a table that is small beside its input is written in one
-    file for so many shuffle partitions. ``heavy`` tells that its last step is
-    more than reading a shuffle, and must keep all of its tasks.
+    With ``share``, a table that is small beside its input is dealt out again,
+    after all its steps, to one file for so many shuffle partitions.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     schema = df.schema
     if share > 1:
-        df = df.repartition(few(spark, share)) if heavy else df.coalesce(few(spark, share))
+        df = df.repartition(few(spark, share))
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def bounded(table: DataFrame) -> bool:
+    """Whether a written table is within ``BROADCAST_BYTES``: 24 bytes for each value besides what strings and lists hold."""
+    size = F.lit(24 * len(table.columns))
+    for name, kind in table.dtypes:
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(name), F.lit(0))
+        elif not kind.startswith(("tinyint", "smallint", "int", "bigint", "double", "float", "boolean", "date", "timestamp", "decimal")):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0))
+    return (table.agg(F.sum(size.cast("long")).alias("size")).first().size or 0) <= BROADCAST_BYTES
+
+
+def either(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it is within the bound."""
+    return F.broadcast(table) if bounded(table) else table
+
+
 def only_keys(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """``df``'s rows with a key in the written table ``keys``; broadcast only after counting."""
-    keys = keys.select(on)
-    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, "left_semi").select(*df.columns)
+    """``df``'s rows with a key in the written table ``keys``; broadcast only after measuring."""
+    return df.join(either(keys.select(on)), on, "left_semi").select(*df.columns)
+
+
+def look_up(rows: DataFrame, found: DataFrame, on: list[str], count: str, spread: Column | None = None) -> DataFrame:
+    """Inner join of ``rows`` with the written table ``found``, which has one row for each of its
+    keys and in ``count`` how many of ``rows`` hold it; keys are never null.
+
+    Hot keys, ``HOT_KEYS`` at most, are broadcast. In the shuffled part, their rows
+    are spread evenly by ``spread``, a whole number, or else by their place in
+    ``rows``, which then is a scan, so that every attempt numbers it alike.
+    """
+    total = found.agg(F.sum(count).alias("n")).first().n or 0
+    values = [c for c in found.columns if c not in on and c != count]
+    hot = found.where(F.col(count) * HOT_KEYS > total)
+    if bounded(found):
+        return rows.join(F.broadcast(found.drop(count)), on)
+    hot = hot.select(*on, F.struct(*values).alias("hot_values"))
+    place = F.when(F.col("hot_values").isNotNull(), F.monotonically_increasing_id() if spread is None else F.abs(spread))
+    marked = rows.join(F.broadcast(hot), on, "left").withColumn("hot_place", place)
+    rest = found.where(F.col(count) * HOT_KEYS <= total).select(*on, F.lit(-1).cast("long").alias("hot_at"), F.struct(*values).alias("rest_values"))
+    spread = marked.withColumn("hot_at", F.coalesce("hot_place", F.lit(-1).cast("long")))
+    joined = spread.join(rest, [*on, "hot_at"], "left").withColumn("looked_up", F.coalesce("hot_values", "rest_values"))
+    return joined.where("looked_up IS NOT NULL").select(*rows.columns, *[F.col("looked_up").getField(c).alias(c) for c in values])
 
 
 def odd_ids(docs: DataFrame, id_col: str) -> bool:
@@ -104,13 +150,13 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
-
-
 def small_batches(df: DataFrame) -> DataFrame:
-    """Keep the Arrow batches that Python workers get small, as texts may be long."""
+    """Lower the session's limits of Arrow batches where they are higher, as texts may be long; they never change a result."""
     conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 256), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        now = conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
     return df
 
 
@@ -121,14 +167,16 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def tidy(run):
+def tidy(run, free=None):
     """A worker function that gives its memory back when it ends: idle workers
-    stay, and what their allocators keep counts as the executor's."""
+    stay, and what their allocators keep counts as the executor's. ``free`` drops what it had cached."""
 
     def wrapped(batches):
         try:
             yield from run(batches)
         finally:
+            if free:
+                free()
             gc.collect()
             pa.default_memory_pool().release_unused()
             try:
@@ -137,3 +185,31 @@ def tidy(run):
                 pass
 
     return wrapped
+
+
+def key_chunks(batches, key: int = 0, rows: int = 200_000, size: int = 16 << 20):
+    """Tables of whole keys from batches that come sorted by column ``key``.
+
+    A table holds about ``rows`` rows or ``size`` bytes, or one key if that has
+    more, so memory does not depend on the size of a shuffle partition.
+    """
+    held, n, weight = [], 0, 0
+    for batch in batches:
+        while batch.num_rows:
+            if n < rows and weight < size:
+                held.append(batch)
+                n, weight = n + batch.num_rows, weight + batch.nbytes
+                break
+            keys, last = batch.column(key), held[-1].column(key)[-1]
+            same = pc.equal(keys, last)
+            cut = batch.num_rows if pc.all(same).as_py() else same.index(False).as_py()
+            if cut:
+                held.append(batch.slice(0, cut))
+                batch = batch.slice(cut)
+                if not batch.num_rows:
+                    n, weight = n + cut, weight + size
+                    break
+            yield pa.Table.from_batches(held)
+            held, n, weight = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held)

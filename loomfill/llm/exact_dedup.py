@@ -8,9 +8,10 @@ Three combining stages, each of which groups by digest *and* full content:
    reducers instead of one;
 3. globally over the few salt winners of each content.
 
-Rows then look their group up by digest, a second hash and the byte length.
-That join has one small row per group on one side; the side with a hot group
-is streamed, so adaptive execution may split it.
+Rows then look their group up by SHA-256 digest, a second hash and the byte
+length: the one step without contents, since groups with full contents would
+have to travel twice. Groups that hold more than 1/4,096 of all rows are looked
+up by broadcast, so no task gathers a group's rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfill.llm.common import ascii_lower, odd_ids, one_of_each, only_keys, row_key, written
+from loomfill.llm.common import ascii_lower, look_up, odd_ids, one_of_each, only_keys, row_key, written
 
 SALTS = 32
 
@@ -59,12 +60,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null id ranks below every other; a group of null ids only has a null
     ``keep_id`` and keeps those rows. Repeated rows with the winning id are all
-    marked kept. Empty input gives an empty result; columns other than the id
-    and the text are not read.
+    marked kept. Texts of any length are hashed and compared whole, once in each
+    stage. Empty input gives an empty result; columns other than the id and the
+    text are not read, so theirs may have any name.
     """
     rows = _keyed(docs, id_col, text_col).drop("norm")
-    found = copy_groups(docs, id_col, text_col, salts)
-    return rows.join(found, ["digest", "check", "n_bytes"]).select(
+    found = written(copy_groups(docs, id_col, text_col, salts).withColumn("rows", F.col("group_size")), "groups")
+    return look_up(rows, found, ["digest", "check", "n_bytes"], "rows").select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -77,7 +79,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with all its columns and exactly one row of each normalised text: one with the largest id.
 
     A null id ranks below every other. Where an id is null or repeated, rows go by
-    id and text digest in place of the id; of repeated rows any one stays.
+    id and text digest in place of the id; of repeated rows any one stays. Null
+    texts count as empty, empty input gives an empty result, and all columns are
+    returned as they are, whatever their names.
     """
     if odd_ids(docs, id_col):
         keyed = docs.withColumn("copy_key", row_key(F.col(id_col).isNotNull(), id_col, text_col))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfill.llm.common import UPPER
+from loomfill.llm.common import UPPER, look_up, written
 
 #: Fixed values: (action, rule) as the contract lists them.
 RULES = [
@@ -68,7 +68,9 @@ def judge_urls(
     rule wins; of equally long ones the longer host, then "block".
     Where no rule fits, ``rule`` is null and ``verdict`` is ``default``.
     Null urls and urls without ``://`` have empty host and path. Repeated rows
-    are judged alike and all returned; empty tables give empty results.
+    are judged alike and all returned; empty tables give empty results, and an
+    empty rule table the default everywhere. Urls of any length are judged
+    whole; columns other than id and url are not read.
     """
     keyed = _digests(rules.where("rule IS NOT NULL").distinct())
     shapes = keyed.groupBy("labels", "path_len").agg(F.count(F.lit(1)).alias("n")).collect()  # label counts x path lengths
@@ -77,28 +79,29 @@ def judge_urls(
     if not shapes:
         return judged.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
 
-    made = [
-        F.when(
-            (F.col("n_labels") >= s.labels) & (F.length("path") >= s.path_len),
-            F.concat(F.substring_index("host", ".", -s.labels), F.substring("path", 1, s.path_len)),
+    # Shapes are data, not expressions: a long list of rules makes the array longer, not the code.
+    table = F.array(*[F.struct(F.lit(labels).alias("labels"), F.array(*[F.lit(s.path_len) for s in shapes if s.labels == labels]).alias("lengths")) for labels in sorted({s.labels for s in shapes})])
+    longest = F.filter(table, lambda s: s["labels"] <= F.col("n_labels"))
+    suffix = lambda s: F.array_join(F.slice("names", F.col("n_labels") - s["labels"] + 1, s["labels"]), ".")
+    made = F.flatten(
+        F.transform(
+            longest,
+            lambda s: F.transform(F.filter(s["lengths"], lambda n: n <= F.length("path")), lambda n: F.concat(suffix(s), F.substring(F.col("path"), F.lit(1), n))),
         )
-        for s in shapes
-    ]
+    )
+    pairs = judged.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n_rows"))
     expressions = (
-        judged.select("host", "path")
-        .where("host <> ''")
-        .distinct()
-        .withColumn("n_labels", F.size(F.split("host", r"\.")))
-        .select("host", "path", F.explode(F.array_compact(F.array_distinct(F.array(*made)))).alias("expression"))
+        pairs.withColumn("names", F.split("host", r"\."))
+        .withColumn("n_labels", F.size("names"))
+        .select("host", "path", "n_rows", F.explode_outer(F.array_distinct(F.when(F.col("host") != "", made))).alias("expression"))
         .withColumn("digest", F.sha2("expression", 256))
         .withColumn("short", F.substring("digest", 1, 8))
     )
     small = sum(s.n for s in shapes) <= broadcast_rules
-    hits = expressions.join(F.broadcast(keyed) if small else keyed, "short").where("digest = full")
-    best = hits.groupBy("host", "path").agg(
-        F.max(F.struct(F.length("rule").alias("len"), "host_len", (F.col("action") == "block").alias("b"), "rule", "action")).alias("best")
-    )
-    return judged.join(best, ["host", "path"], "left").select(
+    hits = expressions.join(F.broadcast(keyed) if small else keyed, "short", "left")
+    rank = F.when(F.col("digest") == F.col("full"), F.struct(F.length("rule").alias("len"), "host_len", (F.col("action") == "block").alias("b"), "rule", "action"))
+    best = written(hits.groupBy("host", "path").agg(F.max(rank).alias("best"), F.max("n_rows").alias("n_rows")), "verdicts")
+    return look_up(judged, best, ["host", "path"], "n_rows").select(
         "page_id",
         "host",
         "path",
