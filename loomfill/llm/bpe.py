@@ -9,8 +9,9 @@ Each place is given up at most once, so the work is linear in the piece.
 
 Bytes are mapped to Latin-1 characters, one for one, so that a pyahocorasick
 automaton over strings finds all tokens of a piece in one pass. Compatibility
-is memoised, and so are the encodings of short pieces; both memos are emptied
-when full.
+is memoised, and so are the encodings of short pieces. Both memos hold a bounded
+number of entries of bounded size (some 50 MB together) and are dropped with the
+rest of the encoder when a task ends, so idle workers hold nothing.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ from pyspark.sql import functions as F
 
 from loomfill.llm.common import small_batches, table, tidy
 
-MEMO = 300_000
+MEMO = 150_000
 MEMO_PIECE = 48
-FITS = 500_000
+FITS = 250_000
 NONE: dict[int, bool] = {}
 
 
@@ -192,7 +193,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     """``doc_id`` and ``ids array<int>`` of every whole text, without special tokens.
 
     Null texts are empty and have no ids; invalid UTF-8 is replaced by U+FFFD
-    first. Repeated rows give repeated rows.
+    first. Texts of any length are encoded whole, in linear time. Repeated rows
+    give repeated rows, an empty table gives an empty result, and columns other
+    than id and text are not read.
     """
     tables = Shared(docs.sparkSession, path, pattern)
 
@@ -203,7 +206,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     rows = _rows(docs, id_col, text_col)
-    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>")
+    return rows.mapInArrow(tidy(run, _encoders.clear), f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -217,7 +220,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "bytes"])
 
     rows = small_batches(encoded.select("doc_id", "ids"))
-    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, bytes binary")
+    return rows.mapInArrow(tidy(run, _encoders.clear), f"doc_id {dict(rows.dtypes)['doc_id']}, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,7 +246,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             )
 
     rows = _rows(docs, id_col, text_col)
-    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(tidy(run, _encoders.clear), f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

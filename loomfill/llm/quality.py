@@ -7,8 +7,9 @@ hashed into ``buckets`` rows of a table of vectors. A document is the mean of it
 linear layer and softmax turn it into label probabilities. Vectors and layer
 are trained together by stochastic gradient descent in numpy.
 
-Only fitting is bounded: it takes up to ``max_rows`` labelled rows, those of
-the smallest digests. Scoring covers every row and whole texts.
+Only fitting is bounded: it takes labelled rows in the order of their ids'
+digests, up to ``max_rows`` rows and ``max_bytes`` bytes of whole texts. Scoring
+covers every row and whole texts. Texts are bytes here, valid UTF-8 or not.
 
 As the mean and the layer are both linear, the fitted model folds into one
 number per bucket (a document's log-odds are the mean of its features' numbers
@@ -26,12 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomfill.llm.common import small_batches, table, tidy
 
-#: At most so many labelled rows are used for fitting.
-MAX_ROWS = 3_000
-MEMO = 200_000
+#: At most so many labelled rows, and bytes of their texts, are used for fitting.
+MAX_ROWS, MAX_BYTES = 3_000, 32 << 20
+MEMO = 100_000
 
 
 @dataclass(frozen=True)
@@ -46,9 +48,9 @@ class Settings:
     seed: int = 7
 
 
-def word_features(word: str, s: Settings) -> list[int]:
+def word_features(word: bytes, s: Settings) -> list[int]:
     """Buckets of a word and its character n-grams. Long words give n-grams of their whole length too."""
-    marked = f"<{word}>".encode()
+    marked = b"<" + word + b">"
     crc, buckets = zlib.crc32, s.buckets
     out = [crc(b"\x00" + marked) % buckets]
     for n in range(s.n_min, s.n_max + 1):
@@ -97,7 +99,7 @@ class Model:
 
         values = odds.tolist()  # plain floats: a word has too few features for numpy to pay
 
-        def summed(word: str) -> tuple[float, int, int]:
+        def summed(word: bytes) -> tuple[float, int, int]:
             found = word_features(word, s)
             return sum(map(values.__getitem__, found)), len(found), min(len(word), 12)
 
@@ -105,8 +107,8 @@ class Model:
         # By length and share in powers of two, for each size of a document in powers of two.
         shares = [[[s.share_weight * values[share_feature((a, b, c), s)] for b in range(14)] for a in range(13)] for c in range(9)]
 
-        def score(text: str) -> float:
-            words = text.split()
+        def score(text: bytes) -> float:
+            words = text.split()  # of bytes: at ASCII white space
             n, total, features = len(words), 0.0, s.share_weight * len(words)
             table = shares[min(n, 128).bit_length()]
             for word, count in Counter(words).items():
@@ -119,7 +121,7 @@ class Model:
         return score
 
 
-def fit(texts: list[str], labels: list[int], settings: Settings = Settings()) -> Model:
+def fit(texts: list[bytes], labels: list[int], settings: Settings = Settings()) -> Model:
     """Train on whole texts. Without rows, or with one label only, the model gives that label's share (0.5 without rows)."""
     s = settings
     ones = sum(labels)
@@ -168,45 +170,56 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> list:
-    """Up to ``max_rows`` labelled, not held-out rows, in the order of their ids' digests.
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int, max_bytes: int) -> list:
+    """Labelled, not held-out rows in the order of their ids' digests, up to ``max_rows``, and while they hold ``max_bytes`` at most.
 
-    The ids are chosen first, from the small table, so that texts of the
-    chosen rows only travel to the driver.
+    The ids are chosen first, from the small table, so that only the chosen
+    rows' texts travel. Of several texts of one id the smallest is taken.
     """
     chosen = (
         labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
         .groupBy(F.col(id_col).alias("fit_id"))
         .agg(F.max(label_col).cast("int").alias("fit_label"))
-        .orderBy(F.sha2(F.col("fit_id").cast("string"), 256), "fit_id")
+        .withColumn("fit_order", F.sha2(F.col("fit_id").cast("string"), 256))
+        .orderBy("fit_order", "fit_id")
         .limit(max_rows)
     )
-    rows = docs.select(F.col(id_col).alias("fit_id"), F.coalesce(F.col(text_col), F.lit("")).alias("fit_text"))
-    found = rows.join(F.broadcast(chosen), "fit_id").collect()  # chosen: max_rows rows at most
-    return sorted(found, key=lambda r: (str(r.fit_id), r.fit_text))
+    rows = docs.select(F.col(id_col).alias("fit_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("fit_text"))
+    once = rows.join(F.broadcast(chosen), "fit_id").groupBy("fit_id", "fit_label", "fit_order").agg(F.min("fit_text").alias("fit_text"))  # max_rows rows at most
+    upto = F.sum(F.octet_length("fit_text")).over(Window.orderBy("fit_order", "fit_id"))
+    found = once.withColumn("fit_bytes", upto).where(F.col("fit_bytes") <= max_bytes).select("fit_id", "fit_label", "fit_text").collect()
+    return sorted(found, key=lambda r: str(r.fit_id))
 
 
-def score_documents(
+def train(
     docs: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
     max_rows: int = MAX_ROWS,
+    max_bytes: int = MAX_BYTES,
     settings: Settings = Settings(),
-) -> DataFrame:
+) -> Model:
+    """Fit on the labelled rows of ``docs`` that :func:`training_rows` takes."""
+    rows = training_rows(docs, labels, id_col, text_col, label_col, max_rows, max_bytes)
+    return fit([bytes(r.fit_text) for r in rows], [r.fit_label for r in rows], settings)
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Fit on labelled rows and score every row: ``doc_id, held_out, score, predicted``.
 
-    Null texts count as empty and get the bias alone. Labels other than 0 and
-    1 are not used; of several labels of one id the larger one is. Repeated
-    rows get equal scores. Columns other than id and text are not read.
+    Takes the options of :func:`train`. Null texts count as empty and get the
+    bias alone. Labels other than 0 and 1 are not used; of several labels of one
+    id the larger one is. Without usable labels every score is 0.5. Texts of any
+    length are scored whole. Repeated rows get equal scores, an empty table gives
+    an empty result, and columns other than id and text are not read.
     """
-    rows = training_rows(docs, labels, id_col, text_col, label_col, max_rows)
-    model = fit([r.fit_text for r in rows], [r.fit_label for r in rows], settings)
-    return score_with(model, docs, id_col, text_col)
+    return score_with(train(docs, labels, id_col, text_col, **options), docs, id_col, text_col)
 
 
 def score_with(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Score every row by a fitted model, under the rules of :func:`score_documents`."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,27 +231,29 @@ def score_with(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col:
                 ["doc_id", "held_out", "score", "predicted"],
             )
 
-    text = F.make_valid_utf8(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = small_batches(docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), text.alias("text")))
     return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """``docs``, all columns, without the rows that score below ``threshold``.
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs``, all columns as they are, without the rows that score below ``threshold``.
 
-    Texts are scored where they stand, without a join by id.
+    Texts are scored where they stand, without a join by id, so null and repeated
+    ids and columns of any name do no harm; the other rules are those of
+    :func:`score_documents`, and so are the options.
     """
-    rows = training_rows(docs, labels, "doc_id", "text", "quality", options.get("max_rows", MAX_ROWS))
-    model = fit([r.fit_text for r in rows], [r.fit_label for r in rows], options.get("settings", Settings()))
+    model = train(docs, labels, id_col, text_col, **options)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    at, schema = docs.columns.index(text_col), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = sent.value.scorer()
         for batch in batches:
-            yield batch.filter(pa.array([score(t.as_py() or "") >= threshold for t in batch.column(at)], pa.bool_()))
+            texts = batch.column(at).cast(pa.binary())  # as bytes, whether they are valid or not
+            yield batch.filter(pa.array([score(t.as_py() or b"") >= threshold for t in texts], pa.bool_()))
 
-    return small_batches(docs).mapInArrow(tidy(run), docs.schema)
+    return small_batches(docs).mapInArrow(tidy(run), schema)
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:

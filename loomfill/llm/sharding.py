@@ -61,7 +61,9 @@ def place(
     """Add ``slot`` and ``shard`` (a name) to every row of ``df``, replacing columns so named.
 
     Equal keys share a shard. A key that holds a large part of all rows stays
-    on one shard by definition; hash a finer key to spread it.
+    on one shard by definition; hash a finer key to spread it. Null keys go where
+    the empty string goes, keys may be of any length, repeated rows are placed
+    alike, and an empty table gives an empty one.
     """
     numbers = lookup_table(shards, slots, weights)
     rows = [(i, shards[k]) for i, k in enumerate(numbers.tolist())]
@@ -72,7 +74,10 @@ def place(
 
 
 def write_shards(placed: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """Write placed rows in one folder per shard; each task writes its own files, so no shuffle is needed."""
+    """Write placed rows in one folder per shard; each task writes its own files, so no shuffle is needed.
+
+    Nulls are written as they are; an empty table leaves an empty folder.
+    """
     placed.select(*(columns or [c for c in placed.columns if c not in ("slot", "shard")]), "shard").write.partitionBy("shard").parquet(path)
 
 

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfill.llm.bpe import Encoder, Shared, encoder_of, vocabulary
+from loomfill.llm.bpe import Encoder, Shared, _encoders, encoder_of, vocabulary
 from loomfill.llm.common import small_batches, table, tidy
 
 CONTEXT = 3
@@ -140,6 +140,11 @@ class CountTree:
             done = start
 
 
+def patterns() -> set[str]:
+    """Patterns that look at most ``CONTEXT`` characters past the end of a pre-token, and never back."""
+    return {vocabulary()[1]}
+
+
 def redactions(pattern: str = REDACT, mark: str = MARK):
     found = regex.compile(pattern).finditer
     return lambda text: [(m.start(), m.end(), mark) for m in found(text)]
@@ -153,8 +158,13 @@ def count_with_edits(
     Returns one row per row: ``doc_id, n_chars, n_tokens, n_edits,
     n_chars_after, n_tokens_after, n_recounted`` (characters encoded anew).
     Null and empty texts have no tokens. Texts without edits are counted
-    without a tree. Repeated rows give repeated rows.
+    without a tree. Texts of any length are counted whole. Repeated rows give
+    repeated rows, an empty table an empty result; columns other than id and
+    text are not read. Only the :func:`patterns` are taken, as ``CONTEXT``
+    has been made out for these.
     """
+    if pattern not in patterns():
+        raise ValueError("how far this pattern looks past a pre-token is not known")
     tables = Shared(docs.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +187,7 @@ def count_with_edits(
 
     text = F.make_valid_utf8(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = small_batches(docs.select(F.col(id_col).alias("doc_id"), text.alias("text")))
-    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return rows.mapInArrow(tidy(run, _encoders.clear), f"doc_id {dict(rows.dtypes)['doc_id']}, " + ", ".join(f"{c} long" for c in _COUNTS))
 
 
 _COUNTS = ["n_chars", "n_tokens", "n_edits", "n_chars_after", "n_tokens_after", "n_recounted"]
