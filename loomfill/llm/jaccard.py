@@ -9,20 +9,25 @@ Exact for the threshold asked for, whatever the texts:
    and cut to 48 bits or more; tokens that fall together only keep nodes in.
 3. Routing. Two sets that link differ in at most ``d`` tokens, so of ``d + 1``
    parts of the token space, cut for their size class, one holds the same
-   tokens in both. Each open node emits the hashes of its parts; nodes that
-   share one are listed together.
-4. Each listed node is compared with the first node of its list. Linked nodes
-   form first components, so groups of near copies cost linear work.
+   tokens in both. Each open node has the hashes of its parts; nodes that share
+   one are listed together, and a node that shares none links with nothing.
+4. Groups. Open nodes are partitioned by the least part hash that they share, so
+   similar nodes fall together, into groups of about ``GROUP`` nodes. A group has
+   its token union and, for each token, the members that hold it: its rows of
+   the token-group matrix. A node asks its own group and the first group of each
+   of its lists. Its overlap with the union bounds its overlap with every
+   member; only groups that qualify are opened, and opening one counts the exact
+   intersections. So groups of near copies cost linear work, and every link
+   comes from an opened group.
 5. Lists that still span components form families. A family's token-group
-   matrix says which components have a token; a node whose tokens outside its
-   own component cannot reach the threshold is closed out.
-6. What remains of a family is partitioned into groups of similar nodes, each
-   with its token union and postings. A node's overlap with a union bounds its
-   overlap with every member; only groups that qualify are opened, and opening
-   one counts the exact intersections from its postings.
-
-Families above ``BLOCK`` nodes are dealt out in pairs of blocks, so no task
-holds more than two blocks. Nothing is capped or sampled.
+   matrix, with components as groups, says which components have a token; a node
+   whose tokens outside its own component cannot reach the threshold is closed out.
+6. What remains of a family is grouped again, and its nodes ask all groups of
+   other components.
+
+A group that many nodes ask is copied to as many cells as they need. Families
+above ``BLOCK`` nodes are dealt out in pairs of blocks, so no task holds more
+than two blocks. Nothing is capped or sampled.
 """
 
 from __future__ import annotations
@@ -37,12 +42,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfill.llm.common import free_shuffles, odd_ids, one_of_each, only_keys, row_key, small_batches, table, tidy, written
+from loomfill.llm.common import free_shuffles, key_chunks, look_up, odd_ids, one_of_each, only_keys, row_key, small_batches, table, tidy, written
 from loomfill.llm.components import components
 from loomfill.llm.shingles import U, mix64, set_digest, shingle_set
 
-#: Nodes in a block and in a group of a family.
-BLOCK, GROUP = 512, 64
+#: Nodes in a block of a family, and in a group; tokens of a group, unless one node has more.
+BLOCK, GROUP, GROUP_TOKENS = 512, 32, 131_072
+#: Nodes that ask a group in one cell, and their tokens.
+ASKING, ASKING_TOKENS = 2_048, 1_000_000
 #: Families with more tokens than this are pruned by the distributed matrix before they are dealt out.
 FAMILY_TOKENS = 1_000_000
 
@@ -191,8 +198,8 @@ def _mark(node: bytes) -> int:
 
 
 def _range_bits(spark: SparkSession) -> int:
-    """Tokens are dealt out by their first bits, at least two ranges for each shuffle partition."""
-    return min(20, max(8, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+    """Tokens are dealt out by their first bits, at least four ranges for each shuffle partition; workers hold one at a time."""
+    return min(24, max(8, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
 
 
 def _own_tokens(docs: DataFrame, width: int) -> DataFrame:
@@ -230,43 +237,41 @@ def _own_tokens(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["range", "low", "high", "owner", "marks"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
-        for batch in batches:
-            for k, *row in zip(*(c.to_pylist() for c in batch.columns)):
+        for part in key_chunks(batches, size=4 << 20):
+            held: dict[int, list[tuple]] = {}
+            for k, *row in zip(*(c.to_pylist() for c in part.columns)):
                 held.setdefault(k, []).append(row)
-        for k in list(held):
-            tokens, owners = [], []
-            for low, high, owner, marks in held.pop(k):
-                tokens.append(np.frombuffer(high, np.uint8).astype(np.uint64) << U(32) | np.frombuffer(low, "<u4"))
-                owners.append(np.frombuffer(marks, "<i8")[np.frombuffer(owner, "<u2")])
-            tokens, owners = np.concatenate(tokens), np.concatenate(owners)
-            order = np.argsort(tokens)
-            tokens, owners = tokens[order], owners[order]
-            first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-            single = np.minimum.reduceat(owners, first) == np.maximum.reduceat(owners, first)
-            # A token of one node may come from several copies of it, and counts once.
-            mark, own = np.unique(owners[first[single]], return_counts=True)
-            group = np.searchsorted(mark, np.arange(-ranges // 2, ranges // 2, dtype=np.int64) << (64 - bits))
-            group = np.append(group, len(mark))
-            some = np.flatnonzero(group[1:] > group[:-1]).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), *(pa.array([x[group[i] : group[i + 1]].tobytes() for i in some], pa.binary()) for x in (mark, own.astype("<u4")))],
-                ["range", "marks", "own"],
-            )
+            for rows in held.values():
+                tokens, owners = [], []
+                for low, high, owner, marks in rows:
+                    tokens.append(np.frombuffer(high, np.uint8).astype(np.uint64) << U(32) | np.frombuffer(low, "<u4"))
+                    owners.append(np.frombuffer(marks, "<i8")[np.frombuffer(owner, "<u2")])
+                tokens, owners = np.concatenate(tokens), np.concatenate(owners)
+                order = np.argsort(tokens)
+                tokens, owners = tokens[order], owners[order]
+                first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+                single = np.minimum.reduceat(owners, first) == np.maximum.reduceat(owners, first)
+                # A token of one node may come from several copies of it, and counts once.
+                mark, own = np.unique(owners[first[single]], return_counts=True)
+                group = np.searchsorted(mark, np.arange(-ranges // 2, ranges // 2, dtype=np.int64) << (64 - bits))
+                group = np.append(group, len(mark))
+                some = np.flatnonzero(group[1:] > group[:-1]).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some, pa.int32()), *(pa.array([x[group[i] : group[i + 1]].tobytes() for i in some], pa.binary()) for x in (mark, own.astype("<u4")))],
+                    ["range", "marks", "own"],
+                )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-        if not rows:
-            return
-        marks = np.frombuffer(b"".join(r[0] for r in rows), "<i8")
-        mark, index = np.unique(marks, return_inverse=True)
-        own = np.bincount(index, weights=np.frombuffer(b"".join(r[1] for r in rows), "<u4")).astype(np.int64)
-        for i in range(0, len(mark), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(mark[i : i + 100_000]), pa.array(own[i : i + 100_000])], ["mark", "own"])
+        for part in key_chunks(batches, size=4 << 20):
+            marks = np.frombuffer(b"".join(part["marks"].to_pylist()), "<i8")
+            mark, index = np.unique(marks, return_inverse=True)
+            own = np.bincount(index, weights=np.frombuffer(b"".join(part["own"].to_pylist()), "<u4")).astype(np.int64)
+            for i in range(0, len(mark), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(mark[i : i + 100_000]), pa.array(own[i : i + 100_000])], ["mark", "own"])
 
     packed = _texts(docs).select("text").mapInArrow(tidy(pack), "range int, low binary, high binary, owner binary, marks binary")
-    counted = packed.repartition("range").mapInArrow(tidy(count), "range int, marks binary, own binary")
-    return counted.repartition("range").mapInArrow(tidy(add), "mark long, own long")
+    counted = packed.repartition("range").sortWithinPartitions("range").mapInArrow(tidy(count), "range int, marks binary, own binary")
+    return counted.repartition("range").sortWithinPartitions("range").mapInArrow(tidy(add), "mark long, own long")
 
 
 def _hashes(sets: DataFrame, percent: int) -> DataFrame:
@@ -283,25 +288,79 @@ def _hashes(sets: DataFrame, percent: int) -> DataFrame:
     return small_batches(sets.select("node", "data")).mapInArrow(tidy(run), "hash long, node binary")
 
 
-def _check_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows ``a, b`` of ``pairs`` whose sets link."""
+def cell_links(members: list[np.ndarray], asking: list[np.ndarray], same: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links (asking, member) that join what was apart in this cell; ``same`` tells which member an asking node is, or -1.
+
+    The members are one group: a node whose overlap with the group's union is
+    too small opens nothing.
+    """
+    group = Group(np.arange(len(members)), members)
+    root = list(range(len(members) + len(asking)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for q, (tokens, own) in enumerate(zip(asking, same)):
+        n = len(tokens)
+        fits = (100 * group.sizes >= percent * n) & (100 * n >= percent * group.sizes)
+        if own >= 0:
+            fits[own] = False
+            root[len(members) + q] = find(own)
+        if not fits.any():
+            continue
+        shared = group.overlaps(tokens, percent * (n + int(group.sizes[fits].min())) / (100 + percent))
+        if shared is None:
+            continue
+        for k in np.flatnonzero(fits & (100 * shared >= percent * (n + group.sizes - shared))).tolist():
+            a, b = find(len(members) + q), find(k)
+            if a != b:
+                root[a] = b
+                out.append((q, k))
+    return out
+
+
+def _partition(listed: DataFrame, sets: DataFrame) -> DataFrame:
+    """``node, n, group``: each listed node's group."""
+    least = listed.groupBy("node").agg(F.min("hash").alias("key"))
+    keyed = least.join(sets.select("node", "n"), "node")
+    pieces = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") / GROUP_TOKENS)).cast("int")
+    sizes = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k"), pieces.alias("pieces")), "group-sizes", share=16)
+    placed = look_up(keyed, sizes, ["key"], "k", F.xxhash64("node"))
+    return placed.select("node", "n", F.xxhash64("key", F.pmod(F.xxhash64("node"), "pieces")).alias("group"))
+
+
+def _ask_groups(visits: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` from the groups that ``visits`` (``node, group``) ask and open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                s, t = _tokens(x.as_py()), _tokens(y.as_py())
-                if len(s) > len(t):
-                    s, t = t, s
-                k = np.searchsorted(t, s)
-                k[k == len(t)] = 0
-                keep.append(linked(int((t[k] == s).sum()), len(s), len(t), percent))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("data").alias("da"))
-    b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("data").alias("db"))
-    near = pairs.join(a, "a").join(b, "b").where(f"100 * na >= {percent} * nb AND 100 * nb >= {percent} * na")
-    return small_batches(near.select("a", "b", "da", "db")).mapInArrow(tidy(run), "a binary, b binary")
+        for part in key_chunks(batches):
+            cell = part["cell"].to_numpy()
+            cuts = np.append(np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))), len(cell)).tolist()
+            a, b = [], []
+            for low, high in zip(cuts, cuts[1:]):
+                one = part.slice(low, high - low)
+                nodes, data, asks = one["node"].to_pylist(), [_tokens(d) for d in one["data"].to_pylist()], one["asks"].to_pylist()
+                members, asking = [i for i, x in enumerate(asks) if not x], [i for i, x in enumerate(asks) if x]
+                if not members or not asking:
+                    continue
+                at = {nodes[i]: k for k, i in enumerate(members)}
+                for q, k in cell_links([data[i] for i in members], [data[i] for i in asking], [at.get(nodes[i], -1) for i in asking], percent):
+                    a.append(nodes[asking[q]])
+                    b.append(nodes[members[k]])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    sized = visits.join(groups.select("node", "n"), "node")
+    cells = F.greatest(F.ceil(F.count(F.lit(1)) / ASKING), F.ceil(F.sum("n") / ASKING_TOKENS)).cast("int")
+    needs = written(sized.groupBy("group").agg(F.count(F.lit(1)).alias("k"), cells.alias("cells")), "cells", share=16)
+    number = F.xxhash64("node")
+    asking = look_up(sized, needs, ["group"], "k", number).select("node", F.xxhash64("group", F.pmod(number, "cells").cast("int")).alias("cell"), F.lit(True).alias("asks"))
+    copies = groups.join(needs, "group").select("node", "group", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("copy"))
+    members = copies.select("node", F.xxhash64("group", "copy").alias("cell"), F.lit(False).alias("asks"))
+    rows = asking.unionByName(members).join(sets.select("node", "data"), "node").select("cell", "node", "asks", "data")
+    return small_batches(rows.repartition("cell").sortWithinPartitions("cell")).mapInArrow(tidy(run), "a binary, b binary")
 
 
 def _close_out(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -370,18 +429,20 @@ def jaccard_components(
     Returns one row per row of ``docs``: ``doc_id, n_shingles, component_id``,
     the smallest id that links reach. Null and blank texts have no shingles
     and link with nothing. A null id counts only where a whole component has
-    no other. Repeated rows share their component. Other columns are not read.
+    no other. Repeated rows share their component. Texts of any length count
+    whole, an empty table gives an empty result, and other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     names = written(_map_sets(rows, width, whole=False), "names")
-    links = node_links(rows, names, width, percent)
-    names = names.drop("mark")
-    root = components(links)
-    rooted = names.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rooted.join(least, "root", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    root = components(node_links(rows, names, width, percent))
+    nodes = names.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("k"))
+    linked = written(root.join(nodes, "node").select("node", "root", "least"), "linked", share=16)
+    reached = written(linked.groupBy("root").agg(F.min("least").alias("reached"), F.count(F.lit(1)).alias("k")), "reached", share=16)
+    by_node = look_up(linked, reached, ["root"], "k", F.xxhash64("node")).select("node", "reached")
+    found = nodes.join(by_node, "node", "left").select("node", F.coalesce("reached", "least").alias("component_id"), "k")
+    alike = look_up(names.where("n > 0"), written(found, "found"), ["node"], "k")
+    empty = names.where("n = 0").withColumn("component_id", F.col("doc_id"))
+    return alike.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def node_links(rows: DataFrame, names: DataFrame, width: int, percent: int) -> DataFrame:
@@ -404,12 +465,13 @@ def node_links(rows: DataFrame, names: DataFrame, width: int, percent: int) -> D
     )
     common = written(common.select("hash"), "common", share=16)
     listed = written(only_keys(hashes, common, "hash").distinct(), "listed", share=4)
-    first = listed.groupBy("hash").agg(F.min("node").alias("leader"))
-    listed = written(listed.join(first, "hash"), "lists", share=4)
+    # Step 4: groups, and first components from those that open.
+    groups = written(_partition(listed, sets), "groups", share=4)
+    first = listed.join(groups.select("node", "group"), "node").groupBy("hash").agg(F.min(F.struct("node", "group")).alias("first"), F.count(F.lit(1)).alias("k"))
+    listed = written(look_up(listed, written(first, "first", share=4), ["hash"], "k", mark).select("hash", "node", F.col("first.node").alias("leader"), F.col("first.group").alias("group")), "lists", share=4)
     free_shuffles(rows.sparkSession)
-    # Step 4: first components.
-    pairs = listed.select(F.col("node").alias("a"), F.col("leader").alias("b")).where("a <> b").distinct()
-    links = written(_check_pairs(pairs, sets, percent), "links", share=16, heavy=True)
+    visits = listed.select("node", "group").unionByName(groups.select("node", "group")).distinct()
+    links = written(_ask_groups(visits, groups, sets, percent), "links", share=16)
     root = components(links)
     # Step 5: families of lists that span components.
     spread = listed.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -425,7 +487,7 @@ def node_links(rows: DataFrame, names: DataFrame, width: int, percent: int) -> D
     if not sized.where("large").isEmpty():
         left = small.unionByName(_close_out(large, sets, percent))
     # Step 6.
-    more = written(_open_groups(left, sets, percent), "more", share=16, heavy=True)
+    more = written(_open_groups(left, sets, percent), "more", share=16)
     return links.unionByName(more)
 
 
@@ -434,6 +496,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null id ranks behind every other. Where an id is null or repeated, rows go by
     id and text digest in place of the id; of repeated rows any one stays, blank ones too.
+    Empty input gives an empty result; columns of any name are returned as they are.
     """
     if odd_ids(docs, id_col):
         keyed = docs.withColumn("near_key", row_key(F.col(id_col).isNull(), id_col, text_col))
