@@ -8,12 +8,17 @@
    document by document, each that still fits, until none does.
 3. The vector of all quotas is split over the output shards by a binary tree:
    each node gives its left half a multivariate-hypergeometric draw of its
-   quotas, so shards get exact quotas and random composition, and every block
-   of a stream goes to exactly one shard.
-4. Rows are shuffled inside their shard by a hash.
-
-The driver handles sources and blocks only: at most ``max_blocks`` plus the
-number of sources, however large the table. All randomness comes from the seed.
+   quotas, so shards get exact quotas and random composition. A shard's draws of
+   a source are the next blocks of the source's permutation, as many as its
+   quota says, so shards hold disjoint blocks. What the tree deals out *is* the
+   mix: a document is taken once for each draw of its block by some shard.
+4. Rows are brought together by shard and shuffled inside it by a hash.
+
+The driver handles sources and blocks only. Their number is bounded: at most
+``max_sources`` sources (more are refused), and blocks of at least
+``block_words`` words, of which there are ``max_blocks``, or
+``BLOCKS_PER_SHARD`` for each shard, at most, besides one for each source.
+Shards grow in number with the mix. All randomness comes from the seed.
 """
 
 from __future__ import annotations
@@ -35,9 +40,11 @@ MOST = 2.0
 
 BLOCK_WORDS = 50_000
 MAX_BLOCKS = 16_384
-SHARDS = 64
-#: Block tables up to this many rows (a few MB) are broadcast; larger ones are shuffled.
-BROADCAST_BLOCKS = 60_000
+#: At least so many shards, each of so many words at most (some 3 GB of text) and of so many blocks.
+SHARDS, SHARD_WORDS, BLOCKS_PER_SHARD = 64, 500_000_000, 4
+MAX_SOURCES = 100_000
+#: Block tables up to this many rows (some 30 MB) are broadcast; larger ones are shuffled.
+BROADCAST_BLOCKS = 200_000
 
 
 def water_fill(sizes: list[int], weights: list[float], total: float, most: float = MOST) -> list[float]:
@@ -60,22 +67,27 @@ def water_fill(sizes: list[int], weights: list[float], total: float, most: float
     return targets
 
 
-def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """``shards`` rows of whole numbers that add up to ``quotas``; row sums differ by at most one per level."""
-    out = np.zeros((shards, len(quotas)), np.int64)
+def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each shard the sources that it draws from, and how many blocks of each.
+
+    The shards' quotas add up to ``quotas``, and their sums differ by one per
+    level at most. Only what is not zero is held.
+    """
+    out: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def split(low: int, high: int, have: np.ndarray) -> None:
+    def split(low: int, high: int, source: np.ndarray, have: np.ndarray) -> None:
         if high - low == 1:
-            out[low] = have
+            out.append((source, have))
             return
         mid, total = (low + high) // 2, int(have.sum())
         rng = np.random.default_rng((seed, low, high))
         take = round(total * (mid - low) / (high - low))
         left = rng.multivariate_hypergeometric(have, take, method="marginals") if total else have
-        split(low, mid, left)
-        split(mid, high, have - left)
+        split(low, mid, source[left > 0], left[left > 0])
+        split(mid, high, source[have > left], (have - left)[have > left])
 
-    split(0, shards, np.asarray(quotas, np.int64))
+    quotas = np.asarray(quotas, np.int64)
+    split(0, shards, np.flatnonzero(quotas), quotas[quotas > 0])
     return out
 
 
@@ -198,24 +210,29 @@ def plan_mix(
     weights: tuple[float, ...] = WEIGHTS,
     share: float = SHARE,
     most: float = MOST,
-    shards: int = SHARDS,
+    shards: int | None = None,
     block_words: int = BLOCK_WORDS,
     max_blocks: int = MAX_BLOCKS,
+    max_sources: int = MAX_SOURCES,
     seed: int = 11,
 ) -> Plan:
     """Plan from rows of ``mix_key, mix_hash, mix_order, size``."""
-    found = {r.mix_key: int(r.size) for r in sized.groupBy("mix_key").agg(F.sum("size").alias("size")).collect()}
+    sums = sized.groupBy("mix_key").agg(F.sum("size").alias("size")).limit(max_sources + 1).collect()
+    if len(sums) > max_sources:
+        raise ValueError(f"a mix of more than {max_sources} sources")
+    found = {r.mix_key: int(r.size) for r in sums}
     keys = sorted(found, key=lambda k: (k == "n", k))
     sizes = [found[k] for k in keys]
     total = sum(sizes)
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(keys))], share * total, most)
-    block_words = max(block_words, math.ceil(total / max_blocks))
+    shards = shards or max(SHARDS, math.ceil(math.fsum(targets) / SHARD_WORDS))
+    block_words = max(block_words, math.ceil(total / max(max_blocks, BLOCKS_PER_SHARD * shards)))
     sources = [(k, s, t, max(1, math.ceil(s / block_words))) for k, s, t in zip(keys, sizes, targets)]
     per_block = (
         _with_block(sized, sources)
         .groupBy("mix_key", "mix_block")
         .agg(F.sum("size").alias("size"))
-        .collect()  # max_blocks plus the number of sources, at most
+        .collect()  # the bounded number of blocks
     )
     blocks: dict[str, dict[int, int]] = {k: {} for k in keys}
     for r in per_block:
@@ -226,14 +243,13 @@ def plan_mix(
         [(b, e, None) for b, e in whole] + [(b, epoch, tuple(fills[k, b])) for b in rest if (k, b) in fills]
         for k, (whole, rest, epoch, _) in found.items()
     ]
-    dealt = split_quotas(np.array([len(s) for s in streams]), shards, seed) if streams else np.zeros((shards, 0), int)
     draws: dict[tuple[str, int], list[Draw]] = {(k, b): [] for k in keys for b in blocks[k]}
-    for i, (stream, key) in enumerate(zip(streams, keys)):
-        at = 0
-        for shard in range(shards):
-            for block, epoch, part in stream[at : at + int(dealt[shard, i])]:
-                draws[key, block].append(Draw(block, epoch, shard, part))
-            at += int(dealt[shard, i])
+    at = [0] * len(keys)
+    for shard, (some, quota) in enumerate(split_quotas(np.array([len(x) for x in streams], np.int64), shards, seed)):
+        for i, n in zip(some.tolist(), quota.tolist()):
+            for block, epoch, part in streams[i][at[i] : at[i] + n]:
+                draws[keys[i], block].append(Draw(block, epoch, shard, part))
+            at[i] += n
     return Plan(sources, draws)
 
 
@@ -266,49 +282,59 @@ def _with_draws(sized: DataFrame, plan: Plan) -> DataFrame:
     return with_info.withColumn("drawn", F.when(fits, F.concat("full", F.array("rest"))).otherwise(F.col("full")))
 
 
+def _position(drawn: Column, order: Column) -> Column:
+    """Where a draw of a row stands in its shard's shuffled order."""
+    return F.xxhash64(drawn["epoch"], drawn["shard"], order)
+
+
 def mixed_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """How many words of each document a mix takes: ``doc_id, size, source_size, target, taken, copies``.
+    """How many words of each document a mix takes, and where to: ``doc_id, size, source_size, target, taken, copies, draws``.
 
+    ``draws`` holds the shard and the position in its shuffled order of each draw.
     Null texts have no words; null sources form the last source. Rows with
     equal ids and texts fall in one block and are drawn equally often. A source's
     taken words stay below its target by less than its smallest document that
     could still be drawn (or than such equal rows together). Empty input gives an
     empty result. No document is taken more than ``most`` times, rounded up.
+    Words of whole texts count, however long; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
     keyed = _keyed(rows, "doc_id", "source", "text").withColumn("size", word_count("text"))
-    sized = written(keyed.drop("source", "text"), "mix-sizes", share=16, heavy=True)
+    sized = written(keyed.drop("source", "text"), "mix-sizes", share=16)
     drawn = _with_draws(sized, plan_mix(sized, **options))
-    return drawn.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.size("drawn")).alias("taken"), F.size("drawn").alias("copies")
+    draws = F.transform("drawn", lambda d: F.struct(d["shard"].alias("shard"), _position(d, F.col("mix_order")).alias("position")))
+    return drawn.withColumn("draws", draws).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.size("draws").alias("copies"), "draws"
     )
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: every column of ``docs``, a row for each draw, with ``mix_shard`` and ``mix_position``.
 
-    Sort a shard's rows by ``mix_position`` for its shuffled order, as
-    :func:`write_mix` does. Rows of a shard come from disjoint blocks.
+    Columns so named are replaced; any other names are free. :func:`in_order`
+    brings rows in their shuffled order. Rows of a shard come from disjoint
+    blocks. Nulls, long texts, equal rows and empty tables as in :func:`mixed_sizes`.
     """
-    columns = docs.columns
+    columns = [c for c in docs.columns if c not in ("mix_shard", "mix_position")]
     whole = _keyed(docs.select(F.struct(*columns).alias("mix_row"), F.col(id_col).alias("mix_id"), F.col(source_col).alias("mix_source"), F.col(text_col).alias("text")), "mix_id", "mix_source", "text")
-    plan = plan_mix(written(whole.select("mix_key", "mix_hash", "mix_order", word_count("text").alias("size")), "mix-sizes", share=16, heavy=True), **options)
+    sized = whole.select("mix_key", "mix_hash", "mix_order", word_count("text").alias("size"))
+    plan = plan_mix(written(sized, "mix-sizes", share=16), **options)
     drawn = _with_draws(whole, plan).select("mix_row", "mix_order", F.explode("drawn").alias("mix_draw"))
     return drawn.select(
         *[F.col("mix_row").getField(c).alias(c) for c in columns],
         F.col("mix_draw.shard").alias("mix_shard"),
-        F.xxhash64("mix_draw", "mix_order").alias("mix_position"),
+        _position(F.col("mix_draw"), F.col("mix_order")).alias("mix_position"),
     )
 
 
+def in_order(mixed: DataFrame) -> DataFrame:
+    """The rows of a mix by shard, each shard's in its shuffled order; a shard's rows are in one partition."""
+    return mixed.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_position")
+
+
 def write_mix(mixed: DataFrame, path: str) -> None:
-    """Write a mix, one folder for each shard, each in its shuffled order."""
-    (
-        mixed.repartition("mix_shard")
-        .sortWithinPartitions("mix_shard", "mix_position")
-        .write.partitionBy("mix_shard")
-        .parquet(path)
-    )
+    """Write a mix, one folder for each shard, each in its shuffled order; an empty mix leaves an empty folder."""
+    in_order(mixed).write.partitionBy("mix_shard").parquet(path)
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

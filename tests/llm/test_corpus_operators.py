@@ -65,11 +65,15 @@ def plain_components(rows, width, percent):
     return sorted((r[0], len(sets[i]), least[find(i)]) for i, r in enumerate(rows))
 
 
-@pytest.mark.parametrize(("width", "percent", "block"), [(3, 90, 512), (5, 80, 512), (2, 70, 512), (3, 90, 4)])
+@pytest.mark.parametrize(("width", "percent", "block"), [(3, 90, 512), (5, 80, 512), (2, 70, 512), (3, 90, 4), (3, 90, 5)])
 def test_jaccard(spark, monkeypatch, width, percent, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    if block == 4:
+    if block < 9:
         monkeypatch.setattr(jaccard, "GROUP", 2)
+        monkeypatch.setattr(jaccard, "ASKING", 3)
+    if block == 5:  # as with tables beyond the bound of broadcasts
+        monkeypatch.setattr("loomfill.llm.common.BROADCAST_BYTES", 0)
+        monkeypatch.setattr("loomfill.llm.common.HOT_KEYS", 20)
     rows = corpus(percent + block)
     got = jaccard.jaccard_components(docs(spark, rows).withColumns({"node": F.lit(1), "n": F.lit(2)}), width=width, percent=percent).collect()
     want = plain_components(rows, width, percent)
@@ -98,6 +102,22 @@ def test_keep_first_of_odd_ids(spark):
     assert got == Counter(want) and kept.columns == docs(spark, []).columns
 
 
+def test_links_come_from_opened_groups(spark, monkeypatch):
+    rows = corpus(93)
+    frame = docs(spark, rows)
+    names = written(jaccard._map_sets(frame.select("doc_id", "text"), 3, whole=False), "names")
+    assert jaccard.node_links(frame.select("doc_id", "text"), names, 3, 90).count() > 10
+    rng = np.random.default_rng(6)
+    base = np.unique(rng.integers(0, 1 << 63, 200, dtype=np.uint64))
+    near = [np.unique(np.concatenate([base[: 200 - k], rng.integers(0, 1 << 63, k, dtype=np.uint64)])) for k in range(1, 6)]
+    far = [np.unique(rng.integers(0, 1 << 63, 200, dtype=np.uint64)) for _ in range(3)]
+    got = jaccard.cell_links([base, *far], [*near, *far, base], [-1] * 5 + [1, 2, 3, 0], 90)
+    assert got == [(k, 0) for k in range(5)]
+    opened = []
+    monkeypatch.setattr(jaccard.Group, "overlaps", lambda self, tokens, needed: opened.append(1))
+    assert jaccard.cell_links([base], near, [-1] * 5, 90) == [] and len(opened) == 5  # nothing opens, nothing links
+
+
 def test_router_never_misses():
     rng = np.random.default_rng(1)
     for percent in (70, 80, 90, 95):
@@ -153,12 +173,50 @@ def test_targets():
         assert all(math.isclose(a, b, abs_tol=1e-6) for a, b in zip(got, want))
 
 
+def dense(dealt, n):
+    out = np.zeros((len(dealt), n), np.int64)
+    for row, (some, quota) in zip(out, dealt):
+        row[some] = quota
+    return out
+
+
 def test_split_quotas():
     quotas = np.array([100, 3, 0, 57])
-    got = mixing.split_quotas(quotas, 7, 1)
+    got = dense(mixing.split_quotas(quotas, 7, 1), 4)
     assert (got.sum(axis=0) == quotas).all() and (got >= 0).all()
     assert got.sum(axis=1).max() - got.sum(axis=1).min() <= 3
-    assert (got == mixing.split_quotas(quotas, 7, 1)).all() and not (got == mixing.split_quotas(quotas, 7, 2)).all()
+    assert (got == dense(mixing.split_quotas(quotas, 7, 1), 4)).all() and not (got == dense(mixing.split_quotas(quotas, 7, 2), 4)).all()
+    # A draw of the marginals: over many seeds a shard's share of a source follows the source's share.
+    mean = np.mean([dense(mixing.split_quotas(quotas, 4, seed), 4) for seed in range(200)], axis=0)
+    assert np.abs(mean - quotas / 4).max() < 1.5
+
+
+def test_the_tree_deals_the_mix(spark, monkeypatch, tmp_path):
+    rng = random.Random(17)
+    rows = [(i, " ".join(["w"] * rng.randint(5, 40)), rng.choice("ab")) for i in range(600)]
+    rows.append((999, "w " * 5_000, "b"))  # a long one
+    frame = docs(spark, rows).withColumns({"mix_shard": F.lit("own"), "drawn": F.lit(1)})
+    options = {"block_words": 200, "shards": 8}
+    sizes = {r.doc_id: r for r in mixing.mixed_sizes(frame, **options).collect()}
+    shards = Counter(d.shard for r in sizes.values() for d in r.draws)
+    assert len(shards) == 8
+    mixed = mixing.mix(frame, **options)
+    assert mixed.columns.count("mix_shard") == 1
+    mixing.write_mix(mixed, str(tmp_path / "mix"))
+    back = spark.read.parquet(str(tmp_path / "mix")).collect()
+    assert Counter((r.doc_id, r.mix_shard, r.mix_position) for r in back) == Counter((i, d.shard, d.position) for i, r in sizes.items() for d in r.draws)
+    # Blocks of a shard are disjoint: it draws no document twice in one epoch, and each shard is one sorted file.
+    for name in os.listdir(tmp_path / "mix"):
+        if name.startswith("mix_shard="):
+            positions = [r.mix_position for r in spark.read.parquet(str(tmp_path / "mix" / name)).coalesce(1).collect()]
+            assert positions == sorted(positions) and len([f for f in os.listdir(tmp_path / "mix" / name) if f.endswith(".parquet")]) == 1
+    # Without the tree's draws there is another mix.
+    monkeypatch.setattr(mixing, "split_quotas", lambda quotas, shards, seed: [(np.arange(len(quotas)), np.asarray(quotas))])
+    assert {d.shard for r in mixing.mixed_sizes(frame, **options).collect() for d in r.draws} == {0}
+    monkeypatch.setattr(mixing, "split_quotas", lambda quotas, shards, seed: [])
+    assert sum(r.taken for r in mixing.mixed_sizes(frame, **options).collect()) == 0
+    with pytest.raises(ValueError):
+        mixing.mixed_sizes(frame, max_sources=1)
 
 
 def test_mixing(spark):
