@@ -49,7 +49,9 @@ from loomfill.llm.shingles import U, mix64, set_digest, shingle_set
 #: Nodes in a block of a family, and in a group; tokens of a group, unless one node has more.
 BLOCK, GROUP, GROUP_TOKENS = 512, 32, 131_072
 #: Nodes that ask a group in one cell, and their tokens.
-ASKING, ASKING_TOKENS = 2_048, 1_000_000
+ASKING, ASKING_TOKENS = 512, 500_000
+#: Nodes whose counts a task combines at a time.
+COUNTS = 500_000
 #: Families with more tokens than this are pruned by the distributed matrix before they are dealt out.
 FAMILY_TOKENS = 1_000_000
 
@@ -209,6 +211,7 @@ def _own_tokens(docs: DataFrame, width: int) -> DataFrame:
     """
     bits = _range_bits(docs.sparkSession)
     ranges = 1 << bits
+    mark_bits = bits - 2  # of marks there are as many ranges as partitions
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,7 +239,17 @@ def _own_tokens(docs: DataFrame, width: int) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["range", "low", "high", "owner", "marks"])
 
+    def dealt(marks: list[np.ndarray], own: list[np.ndarray]) -> pa.RecordBatch:
+        mark, index = np.unique(np.concatenate(marks), return_inverse=True)
+        own = np.bincount(index, weights=np.concatenate(own)).astype("<u4")
+        group = np.searchsorted(mark, np.arange(-(1 << mark_bits - 1), 1 << mark_bits - 1, dtype=np.int64) << (64 - mark_bits))
+        group = np.append(group, len(mark))
+        some = np.flatnonzero(group[1:] > group[:-1]).tolist()
+        columns = [pa.array([x[group[i] : group[i + 1]].tobytes() for i in some], pa.binary()) for x in (mark, own)]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *columns], ["range", "marks", "own"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found_marks, found_own, n = [], [], 0
         for part in key_chunks(batches, size=4 << 20):
             held: dict[int, list[tuple]] = {}
             for k, *row in zip(*(c.to_pylist() for c in part.columns)):
@@ -253,13 +266,14 @@ def _own_tokens(docs: DataFrame, width: int) -> DataFrame:
                 single = np.minimum.reduceat(owners, first) == np.maximum.reduceat(owners, first)
                 # A token of one node may come from several copies of it, and counts once.
                 mark, own = np.unique(owners[first[single]], return_counts=True)
-                group = np.searchsorted(mark, np.arange(-ranges // 2, ranges // 2, dtype=np.int64) << (64 - bits))
-                group = np.append(group, len(mark))
-                some = np.flatnonzero(group[1:] > group[:-1]).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(some, pa.int32()), *(pa.array([x[group[i] : group[i + 1]].tobytes() for i in some], pa.binary()) for x in (mark, own.astype("<u4")))],
-                    ["range", "marks", "own"],
-                )
+                found_marks.append(mark)
+                found_own.append(own)
+                n += len(mark)
+            if n >= COUNTS:
+                yield dealt(found_marks, found_own)
+                found_marks, found_own, n = [], [], 0
+        if n:
+            yield dealt(found_marks, found_own)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in key_chunks(batches, size=4 << 20):
