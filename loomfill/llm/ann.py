@@ -3,15 +3,18 @@
 Fitting, on a bounded sample of distinct vectors: build the exact neighbour
 graph of the sample, partition the graph into balanced parts by label
 propagation under a capacity, and train a small softmax classifier from a
-vector to the parts of its neighbours. The number of parts that a query visits
-is the least that reaches ``goal`` recall on sample vectors.
-
-Every row is indexed under its most probable part. Queries go to their most
-probable parts and are ranked there by exact inner products in double
-precision. Parts are packed into bins of up to ``BLOCK`` rows, and a query
+vector to the parts of its neighbours. A query visits its most probable parts
+until their chances add up to ``reach``: few where the classifier is sure, many
+where it is not. ``reach`` is the least that finds ``goal`` of the ``k`` nearest
+of sample vectors that were held out from the graph and the classifier.
+
+Every row is indexed under its most probable part. Queries are ranked by exact
+inner products in double precision with all rows of the parts that they visit.
+Parts are packed into bins of up to ``BLOCK`` rows, and a query
 visits a bin once for all of its parts there, so that a bin returns one list
 per query. A part with more rows is a bin of its own, cut into blocks, as are
-the queries, so a part that holds a third of all rows is many tasks.
+the queries, so a part that holds a third of all rows is many tasks. Queries
+that have found fewer than ``k`` rows visit every part.
 """
 
 from __future__ import annotations
@@ -27,11 +30,13 @@ from pyspark.sql.window import Window
 
 from loomfill.llm.common import table, tidy, written
 
-#: Rows that the index is fitted on: so many for each part, and at least and at most so many. Every row is indexed.
-SAMPLE_PER_PART, LEAST_SAMPLE, SAMPLE = 256, 4_096, 65_536
+#: Distinct vectors that the index is fitted on: so many for each part, at least and at most so many, and bytes at most. Every row is indexed.
+SAMPLE_PER_PART, LEAST_SAMPLE, SAMPLE, SAMPLE_BYTES = 64, 4_096, 65_536, 64 << 20
 NEIGHBOURS = 10
-#: Rows per part aimed at, and the number of parts at most.
-PART_ROWS, MAX_PARTS = 2_000, 256
+#: Share of the sample that is held out to tune the visits on.
+HELD_OUT = 0.1
+#: Rows per part aimed at, and the number of parts at least and at most.
+PART_ROWS, LEAST_PARTS, MAX_PARTS = 500, 2, 512
 GOAL = 0.96
 BLOCK = 16_384
 CHUNK = 256
@@ -87,41 +92,65 @@ def balanced_parts(vectors: np.ndarray, graph: np.ndarray, parts: int, rng: np.r
 
 @dataclass
 class Index:
-    """The classifier, and how many parts a query visits."""
+    """The classifier, and how much of the chances a query's visits cover."""
 
     weights: np.ndarray
     bias: np.ndarray
-    probes: int
+    reach: float
 
     @property
     def parts(self) -> int:
         return len(self.bias)
 
-    def logits(self, vectors: np.ndarray) -> np.ndarray:
-        unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-        return unit @ self.weights + self.bias
+    def chances(self, vectors: np.ndarray) -> np.ndarray:
+        return _softmax(_unit(vectors) @ self.weights + self.bias)
 
     def part(self, vectors: np.ndarray) -> np.ndarray:
-        return self.logits(vectors).argmax(axis=1)
+        return self.chances(vectors).argmax(axis=1)
+
+    def visits(self, vectors: np.ndarray, sizes: np.ndarray | None = None, least: int = 0) -> np.ndarray:
+        """Whether each vector goes to each part: the most probable ones until ``reach``, and until they hold ``least`` rows."""
+        chances = self.chances(vectors)
+        order = np.argsort(-chances, axis=1, kind="stable")
+        go = _before(np.take_along_axis(chances, order, axis=1)) < self.reach
+        go[:, 0] = True
+        if sizes is not None:
+            go |= _before(sizes[order]) < least
+        out = np.zeros_like(go)
+        np.put_along_axis(out, order, go, axis=1)
+        return out
+
+
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
 
-    def visits(self, vectors: np.ndarray) -> np.ndarray:
-        return np.argsort(-self.logits(vectors), axis=1, kind="stable")[:, : self.probes]
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
 
-def fit_index(sample: np.ndarray, parts: int, goal: float = GOAL, seed: int = 3) -> Index:
-    """Fit on distinct vectors. With one part every query is compared with every row."""
+
+def _before(values: np.ndarray) -> np.ndarray:
+    return np.cumsum(values, axis=1) - values
+
+
+def fit_index(sample: np.ndarray, parts: int, goal: float = GOAL, k: int = 20, seed: int = 3) -> Index:
+    """Fit on distinct vectors. Fewer than 64 have one part only."""
     sample = np.unique(np.asarray(sample, np.float64), axis=0)
-    parts = max(1, min(parts, len(sample) // 32))
     dim = sample.shape[1] if len(sample) else 1
-    if parts == 1:
-        return Index(np.zeros((dim, 1)), np.zeros(1), 1)
     rng = np.random.default_rng(seed)
+    sample = sample[rng.permutation(len(sample))]
+    held = int(len(sample) * HELD_OUT)
+    asking, sample = sample[:held], sample[held:]
+    parts = max(1, min(parts, len(sample) // 28))
+    if parts == 1:
+        return Index(np.zeros((dim, 1)), np.zeros(1), 1.0)
     graph = neighbour_graph(sample, min(NEIGHBOURS, len(sample) - 1))
     label = balanced_parts(sample, graph, parts, rng)
     target = np.zeros((len(sample), parts))  # half for the own part, half for the neighbours' parts
     np.add.at(target, (np.arange(len(sample))[:, None], label[graph]), 0.5 / graph.shape[1])
     target[np.arange(len(sample)), label] += 0.5
-    unit = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
+    unit = _unit(sample)
     weights, bias = np.zeros((dim, parts)), np.zeros(parts)
     speed_w, speed_b = np.zeros_like(weights), np.zeros_like(bias)
     epochs = 30
@@ -129,21 +158,24 @@ def fit_index(sample: np.ndarray, parts: int, goal: float = GOAL, seed: int = 3)
         order, rate = rng.permutation(len(sample)), 4.0 * (1 - epoch / epochs)
         for low in range(0, len(sample), 128):
             rows = order[low : low + 128]
-            logits = unit[rows] @ weights + bias
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            error = (p - target[rows]) / len(rows)
+            error = (_softmax(unit[rows] @ weights + bias) - target[rows]) / len(rows)
             speed_w = 0.9 * speed_w - rate * (unit[rows].T @ error)
             speed_b = 0.9 * speed_b - rate * error.sum(axis=0)
             weights, bias = weights + speed_w, bias + speed_b
-    index = Index(weights, bias, parts)
-    # Least number of parts that reaches the goal, for the sample's own neighbours.
-    placed, ranked = index.part(sample), np.argsort(-index.logits(sample), axis=1, kind="stable")
-    rank_of = np.empty_like(ranked)
-    np.put_along_axis(rank_of, ranked, np.arange(parts)[None, :].repeat(len(sample), 0), axis=1)
-    needed = np.take_along_axis(rank_of, placed[graph], axis=1)
-    share = np.cumsum(np.bincount(needed.ravel(), minlength=parts)) / needed.size
-    index.probes = int(np.searchsorted(share, goal)) + 1
+    index = Index(weights, bias, 1.0)
+    # What has to be covered before the part of each of the held-out vectors' nearest is reached.
+    placed, needed = index.part(sample), []
+    for low in range(0, len(asking), CHUNK):
+        some = asking[low : low + CHUNK]
+        scores, top = some @ sample.T, min(k, len(sample))
+        near = np.argpartition(-scores, top - 1, axis=1)[:, :top]
+        chances = index.chances(some)
+        order = np.argsort(-chances, axis=1, kind="stable")
+        before = np.empty_like(chances)
+        np.put_along_axis(before, order, _before(np.take_along_axis(chances, order, axis=1)), axis=1)
+        needed.append(np.take_along_axis(before, placed[near], axis=1).ravel())
+    if needed:
+        index.reach = float(np.quantile(np.concatenate(needed), goal)) + 1e-9
     return index
 
 
@@ -226,9 +258,11 @@ def search(
 
     A query is never its own result: rows with its id are left out. Unusable
     vectors (see :func:`usable_vectors`) and those of another dimension than
-    most take no part. Repeated rows of one id and vector count once. With
-    fewer than ``k`` candidates in the visited parts a query gets those; tables
-    of up to ``2 * part_rows`` rows have one part, so all candidates.
+    most take no part, as they have no inner product with the others. Repeated
+    rows of one id and vector count once. A query gets ``k`` rows, or all
+    candidates where there are fewer: one that finds fewer in its parts is ranked
+    with every row. Empty tables give an empty result; columns other than id and
+    vector are not read.
     """
     spark = rows.sparkSession
     usable = usable_vectors(rows, id_col, vector_col)
@@ -237,10 +271,11 @@ def search(
     if dims is None:
         return spark.createDataFrame([], schema)
     usable = usable.where(F.size("v") == dims.dim)
-    parts = min(max_parts, dims.n // part_rows) if dims.n > 2 * part_rows else 1
-    rows_to_fit = min(sample, max(LEAST_SAMPLE, SAMPLE_PER_PART * parts))
-    chosen = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows_to_fit).collect()  # `sample` rows at most
-    index = fit_index(np.array([r.v for r in chosen]), parts, goal)
+    parts = min(max_parts, max(LEAST_PARTS, dims.n // part_rows))
+    rows_to_fit = min(sample, max(LEAST_SAMPLE, SAMPLE_PER_PART * parts), max(64, SAMPLE_BYTES // (8 * dims.dim)))
+    chosen = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows_to_fit).select("v").toArrow()  # bounded in rows and bytes
+    index = fit_index(_matrix(chosen["v"]), parts, goal, k)
+    del chosen
     sent = spark.sparkContext.broadcast(index)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,17 +284,6 @@ def search(
                 part = sent.value.part(_matrix(batch.column(1)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], ["vec_id", "v", "part"])
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                visits = sent.value.visits(_matrix(batch.column(1)))
-                bins = np.array([bin_of.get(p, -1) for p in range(sent.value.parts)])[visits]
-                rows = [(i, b, v[o == b].tolist()) for i, (v, o) in enumerate(zip(visits, bins)) for b in np.unique(o[o >= 0]).tolist()]
-                if rows:
-                    spots, own, parts = zip(*rows)
-                    columns = [*(c.take(pa.array(spots)) for c in batch.columns), pa.array(own, pa.int32()), pa.array(parts, pa.list_(pa.int32()))]
-                    yield pa.RecordBatch.from_arrays(columns, ["vec_id", "v", "bin", "visits"])
-
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         q, i, s = (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
         if left.num_rows and right.num_rows:
@@ -273,31 +297,53 @@ def search(
 
     asked = usable_vectors(queries, id_col, vector_col).where(F.size("v") == dims.dim)
     placed = written(usable.mapInArrow(tidy(place), "vec_id long, v array<double>, part int"), "placed")
-    held = {r.part: r.n for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # max_parts rows
+    held = {r.part: r.n for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # no more rows than parts
     bin_of, blocks = pack_parts(held)
-    routed = written(asked.mapInArrow(tidy(route), "vec_id long, v array<double>, bin int, visits array<int>"), "routed")
-    asks = {r.bin: r.n for r in routed.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}  # no more rows than parts
-    grid = [(p, b, blocks[b], -(-asks[b] // BLOCK)) for p, b in bin_of.items() if b in asks]
-    if not grid:
-        return spark.createDataFrame([], schema)
-    by_part = F.broadcast(spark.createDataFrame(grid, "part int, bin int, nv int, nq int"))
-    by_bin = F.broadcast(spark.createDataFrame(sorted({g[1:] for g in grid}), "bin int, nv int, nq int"))
-    own = F.xxhash64("vec_id")
-    v = placed.join(by_part, "part").select(
-        "vec_id", "v", "part", "bin", F.pmod(own, "nv").cast("int").alias("bv"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("bq")
-    )
-    q = routed.join(by_bin, "bin").select(
-        "vec_id", "v", "visits", "bin", F.pmod(own, "nq").cast("int").alias("bq"), F.explode(F.sequence(F.lit(0), F.col("nv") - 1)).alias("bv")
-    )
-    cell = ["bin", "bv", "bq"]
-    near = v.groupBy(*cell).cogroup(q.groupBy(*cell)).applyInArrow(rank, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        near.distinct()
-        .withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    sizes, bins = (np.array([of.get(p, none) for p in range(index.parts)]) for of, none in ((held, 0), (bin_of, -1)))
+
+    def nearest(asked: DataFrame, least: int) -> DataFrame:
+        """The best of the visited parts, which hold ``least`` rows at least."""
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    go = sent.value.visits(_matrix(batch.column(1)), sizes, least) & (bins >= 0)
+                    rows = [(i, b, p[bins[p] == b].tolist()) for i, p in enumerate(map(np.flatnonzero, go)) for b in np.unique(bins[p]).tolist()]
+                    if rows:
+                        spots, own, parts = zip(*rows)
+                        columns = [*(c.take(pa.array(spots)) for c in batch.columns), pa.array(own, pa.int32()), pa.array(parts, pa.list_(pa.int32()))]
+                        yield pa.RecordBatch.from_arrays(columns, ["vec_id", "v", "bin", "visits"])
+
+        routed = written(asked.mapInArrow(tidy(route), "vec_id long, v array<double>, bin int, visits array<int>"), "routed")
+        asks = {r.bin: r.n for r in routed.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}  # no more rows than parts
+        grid = [(p, b, blocks[b], -(-asks[b] // BLOCK)) for p, b in bin_of.items() if b in asks]
+        if not grid:
+            return spark.createDataFrame([], schema)
+        by_part = F.broadcast(spark.createDataFrame(grid, "part int, bin int, nv int, nq int"))
+        by_bin = F.broadcast(spark.createDataFrame(sorted({g[1:] for g in grid}), "bin int, nv int, nq int"))
+        own = F.xxhash64("vec_id")
+        v = placed.join(by_part, "part").select(
+            "vec_id", "v", "part", "bin", F.pmod(own, "nv").cast("int").alias("bv"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("bq")
+        )
+        q = routed.join(by_bin, "bin").select(
+            "vec_id", "v", "visits", "bin", F.pmod(own, "nq").cast("int").alias("bq"), F.explode(F.sequence(F.lit(0), F.col("nv") - 1)).alias("bv")
+        )
+        cell = ["bin", "bv", "bq"]
+        near = v.groupBy(*cell).cogroup(q.groupBy(*cell)).applyInArrow(rank, "query_id long, vec_id long, score double")
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return (
+            near.distinct()
+            .withColumn("rank", F.row_number().over(best))
+            .where(F.col("rank") <= k)
+            .select("query_id", "rank", "vec_id", "score")
+        )
+
+    done = written(nearest(asked, k + 1), "nearest")
+    full = done.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = asked.join(full, "vec_id", "left_anti")
+    if index.parts == 1 or short.isEmpty():
+        return done
+    return done.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(nearest(short, dims.n + 1))
 
 
 def op5_nearest_neighbours(spark, sf_dir: str) -> DataFrame:

@@ -276,14 +276,14 @@ def plain_search(ids, vectors, queries, k):
     return out
 
 
-def test_search_small_is_exact(spark):
+def test_search_edges(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(120, 8)).astype(np.float32)
     v[40:90] = v[40]  # one vector many times: ties go to the smaller id
     rows = [(i, [float(x) for x in v[i]]) for i in range(120)]
     odd = [(500, None), (501, [0.0] * 8), (502, [float("nan")] * 8), (503, [None] + [1.0] * 7), (504, [1.0] * 3), (505, [float("inf")] + [0.0] * 7), (None, [1.0] * 8), (40, rows[40][1]), (506, [])]
     frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumn("part", F.lit(1))
-    got = ann.search(frame, frame.where("vec_id % 20 = 0"), k=20).collect()
+    got = ann.search(frame, frame.where("vec_id % 20 = 0"), k=20, goal=1.0, max_parts=1).collect()
     want = plain_search(list(range(120)), v.astype(np.float64), range(0, 120, 20), 20)
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == sorted(w[:3] for w in want)
     assert all(abs(a.score - b[3]) < 1e-12 for a, b in zip(sorted(got, key=lambda r: (r.query_id, r["rank"])), sorted(want)))
@@ -292,22 +292,54 @@ def test_search_small_is_exact(spark):
     assert ann.search(few.limit(0), few).count() == 0
 
 
-def test_search_recall(spark, monkeypatch):
+def recall(found, ids, v, queries, k=20):
+    got, want = defaultdict(set), defaultdict(set)
+    for q, i in found:
+        got[q].add(i)
+    for q, _, i, _ in plain_search(ids, v, queries, k):
+        want[q].add(i)
+    assert all(len(got[q]) == len(want[q]) for q in want)
+    return np.mean([len(got[q] & want[q]) / len(want[q]) for q in want])
+
+
+@pytest.mark.parametrize("kind", ["clusters", "noise", "copies"])
+def test_search_recall(spark, monkeypatch, kind):
     monkeypatch.setattr(ann, "BLOCK", 700)
     rng = np.random.default_rng(3)
-    centres = rng.normal(size=(30, 16))
-    v = centres[rng.integers(0, 30, 6000)] + 0.4 * rng.normal(size=(6000, 16))
-    v[:2000] = v[0]
+    n = 3000
+    v = rng.normal(size=(n, 16))
+    if kind != "noise":
+        centres = rng.normal(size=(30, 16))
+        v = centres[rng.integers(0, 30, n)] + 0.2 * v
+    if kind == "copies":
+        v[: n // 3] = v[0]
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    frame = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(6000)], "vec_id long, embedding array<double>")
-    got = defaultdict(set)
-    for r in ann.search(frame, frame.where("vec_id % 50 = 0"), k=20, sample=2000, part_rows=500).collect():
-        got[r.query_id].add(r.vec_id)
-    want = defaultdict(set)
-    for q, _, i, _ in plain_search(list(range(6000)), v, range(0, 6000, 50), 20):
-        want[q].add(i)
-    assert np.mean([len(got[q] & want[q]) / 20 for q in want]) >= 0.9
-    assert all(len(got[q]) == 20 for q in want)
+    frame = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(n)], "vec_id long, embedding array<double>")
+    found = ann.search(frame, frame.where("vec_id % 50 = 0"), k=20, part_rows=200)
+    assert recall([(r.query_id, r.vec_id) for r in found.collect()], list(range(n)), v, range(0, n, 50)) >= 0.9
+    index = ann.fit_index(v, 15)
+    assert index.parts == 15 or kind == "copies"
+    if kind == "clusters":  # sure of its parts: visits are few
+        assert index.visits(v).mean() < 0.4
+
+
+def test_short_queries_visit_every_part(spark, monkeypatch):
+    monkeypatch.setattr(ann.Index, "visits", lambda self, v, sizes=None, least=0: np.eye(self.parts, dtype=bool)[self.part(v)] | (least > 100))
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(90, 4))
+    frame = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(90)], "vec_id long, embedding array<double>")
+    got = Counter(r.query_id for r in ann.search(frame, frame.where("vec_id < 9"), k=85, part_rows=30).collect())
+    assert got == Counter({i: 85 for i in range(9)})
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+@pytest.mark.parametrize("sf", ["0.001", "0.1"])
+def test_search_recall_on_tables(spark, sf):
+    got = [(r.query_id, r.vec_id) for r in ann.op5_nearest_neighbours(spark, f"/root/testdata/sf{sf}").collect()]
+    rows = {r.vec_id: r.embedding for r in spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet").collect() if r.embedding and None not in r.embedding}
+    ids = sorted(i for i, x in rows.items() if np.isfinite(x).all() and any(x))
+    v = np.array([rows[i] for i in ids], np.float64)
+    assert recall(got, ids, v, [i for i in ids if i % 20 == 0]) >= 0.9
 
 
 def test_balanced_parts():
