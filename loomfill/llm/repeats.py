@@ -18,9 +18,17 @@ array over the corpus; instead, equal strings are brought to the same shard:
 
 Common strings don't gather in a shard. Tasks combine runs before they send
 them: of equal ones the first is sent on, and the others are covered on the
-spot. A key with more than ``HOT`` different runs (texts around one common
-passage), or with a share of that in one task, is *hot*: its strings are dealt
-out singly by their own hash, again combined in each task first.
+spot. A key with more than ``HOT`` different runs or ``HOT_BYTES`` of them (texts
+around one common passage), or with a share of that in one task, is *hot*: its
+strings are dealt out singly by their own hash, again combined in each task first.
+
+Long stretches of one key, as in a text of one repeated byte, are cut into runs
+of ``PIECE`` strings. Shards come sorted by key and are worked on a few keys at a
+time, so a worker's memory depends neither on a text's length nor on a shard's.
+
+Where contents stand for themselves by digests: equal runs have equal keys,
+lengths and 64-bit hashes; single strings of hot keys equal 128-bit hashes.
+Everything else is compared as bytes.
 """
 
 from __future__ import annotations
@@ -34,16 +42,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfill.llm.common import free_shuffles, small_batches, table, tidy, written
+from loomfill.llm.common import either, free_shuffles, key_chunks, small_batches, table, tidy, written
 from loomfill.llm.shingles import _BYTE, U, _power_tables, mix64
 from loomfill.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 SPAN, SEED = 100, 32
-HOT = 20_000
-#: Bytes of runs in one suffix array (some 100 bytes of memory each); a shard with more works key range by key range.
+HOT, HOT_BYTES = 20_000, 8 << 20
+#: Strings in a run at most.
+PIECE = 4_096
+#: Bytes of runs in one suffix array (some 100 bytes of memory each), unless one key has more; a shard with more works key range by key range.
 ARRAY_BYTES = 2_000_000
-#: Places of this many documents (some 100 MB) are broadcast; more are joined by shuffling texts.
-BROADCAST_DOCS = 400_000
 #: No byte of valid UTF-8.
 GAP = 0xFF
 #: Runs or strings that a task combines at a time.
@@ -75,6 +83,10 @@ def find_runs(text: bytes, span: int = SPAN, seed: int = SEED) -> tuple[np.ndarr
     if width > have:
         least = np.minimum(least[: have - width], least[width - have :])
     start = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    if (long := np.diff(np.append(start, len(least)))).max() > PIECE:
+        pieces = -(-long // PIECE)
+        ends = np.cumsum(pieces)
+        start = np.repeat(start, pieces) + PIECE * (np.arange(ends[-1]) - np.repeat(ends - pieces, pieces))
     size = np.diff(np.append(start, len(least))) + span - 1
     mark = mix64((total[start + size] - total[start]) * down[start] + size.astype(np.uint64) * U(0x9E3779B97F4A7C15))
     seeds, each = seeds.astype(np.uint32), size - seed + 1
@@ -102,11 +114,6 @@ def _longs(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.uint64, copy=False).view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64))
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    found = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(found) if found else None
-
-
 def _spread(order: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Keys for rows that no longer need one."""
     return mix64(order.view(np.uint64) * U(31) + start.astype(np.uint64)).view(np.int64)
@@ -121,6 +128,11 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def _is_hot(number: np.ndarray, fresh: np.ndarray, size: np.ndarray, hot: int, share: int = 1) -> np.ndarray:
+    """For each run whether its key, as numbered, has too many different ones, or too many bytes of them."""
+    return (np.bincount(number, weights=fresh)[number] > hot) | (np.bincount(number, weights=fresh * np.abs(size))[number] > HOT_BYTES // share)
+
+
 def _combine(order, twin, key, mark, start, size, hot: int) -> Iterator[pa.RecordBatch]:
     """A task's runs: of equal ones the first, the others covered; keys with over ``hot`` different runs marked hot."""
     at = np.lexsort((start, twin, order, mark, key))
@@ -128,7 +140,7 @@ def _combine(order, twin, key, mark, start, size, hot: int) -> Iterator[pa.Recor
     new_key, new_mark = _changes(key), _changes(key, mark)
     again = ~_changes(key, mark, order, twin, start)  # a document that is in the table more than once
     number = np.cumsum(new_key) - 1
-    is_hot = np.bincount(number, weights=new_mark)[number] > hot
+    is_hot = _is_hot(number, new_mark, size, hot, 64)
     kind = np.where(~new_mark, COVERED, np.where(is_hot, SINGLY, WHOLE))
     size = np.where(kind == WHOLE, size, np.abs(size))
     marked = key[new_key & is_hot]
@@ -140,7 +152,8 @@ def _combine(order, twin, key, mark, start, size, hot: int) -> Iterator[pa.Recor
 
 
 def _map_runs(keyed: DataFrame, span: int, seed: int, hot: int) -> DataFrame:
-    local = max(1, hot // 64)
+    # The more tasks there are, the fewer of a key's runs may come from each, so that what meets stays bounded.
+    local = max(1, min(hot // 64, 2 * hot // int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -168,12 +181,8 @@ def _settle_runs(runs: DataFrame, hot: int) -> DataFrame:
     Runs whose strings may repeat within themselves are fetched in any case.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _gathered(batches)
-        if got is None:
-            return
+    def settle(got: pa.Table) -> Iterator[pa.RecordBatch]:
         order, twin, key, mark, start, size, kind = (got.column(i).to_numpy() for i in range(7))
-        del got
         done = np.flatnonzero((kind == COVERED) | (kind == SINGLY))
         out = [[x[done] for x in (order, twin, key, start, size, kind)]]
         marked = np.isin(key, key[kind == HOT_KEY])
@@ -185,35 +194,40 @@ def _settle_runs(runs: DataFrame, hot: int) -> DataFrame:
             at = at[np.lexsort((start[at], twin[at], order[at], mark[at], key[at]))]
             order, twin, key, mark, start, size, marked = (x[at] for x in (order, twin, key, mark, start, size, marked))
             within, size = size < 0, np.abs(size)
-            new_mark = _changes(key, mark)
+            new_mark = _changes(key, mark, size)
             again = ~_changes(key, mark, order, twin, start)
             number = np.cumsum(_changes(key)) - 1
             different = np.bincount(number, weights=new_mark)[number]
-            kind = np.where(~new_mark, COVERED, np.where(marked | (different > hot), SINGLY, WHOLE))
+            kind = np.where(~new_mark, COVERED, np.where(marked | _is_hot(number, new_mark, size, hot), SINGLY, WHOLE))
             keep = ~again & ((kind != WHOLE) | (different > 1) | within)
             out.append([x[keep] for x in (order, twin, key, start, size, kind)])
         for columns in out:
-            for i in range(0, len(columns[0]), 100_000):
-                part = [c[i : i + 100_000] for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if k > 2 else c) for k, c in enumerate(part)], ["order", "twin", "key", "start", "size", "kind"])
+            if len(columns[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if k > 2 else c) for k, c in enumerate(columns)], ["order", "twin", "key", "start", "size", "kind"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in key_chunks(batches, 2, 100_000):
+            yield from settle(part)
 
-    return runs.repartition("key").mapInArrow(tidy(run), "order long, twin long, key long, start int, size int, kind int")
+    return runs.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "order long, twin long, key long, start int, size int, kind int")
 
 
 def _fetch(keyed: DataFrame, places: DataFrame, span: int) -> DataFrame:
-    """``order, twin, key, start, kind, bytes`` of the places. Single strings come without
-    bytes, under their own hash; of equal ones in a task the first, the others covered."""
+    """``order, twin, key, start, kind, bytes`` of the places. Single strings come under
+    their own hash with another hash for bytes; of equal ones in a task the first, the others covered."""
     names = ["order", "twin", "key", "start", "kind", "bytes"]
 
     def singles(held: list[tuple]) -> pa.RecordBatch:
-        order, twin, key, start = (np.concatenate(c) for c in zip(*held))
-        at = np.lexsort((start, twin, order, key))
-        order, twin, key, start = (x[at] for x in (order, twin, key, start))
-        fresh, first = _changes(key, order, twin, start), _changes(key)
+        order, twin, key, other, start = (np.concatenate(c) for c in zip(*held))
+        at = np.lexsort((start, twin, order, other, key))
+        order, twin, key, other, start = (x[at] for x in (order, twin, key, other, start))
+        fresh, first = _changes(key, other, order, twin, start), _changes(key, other)
         kind = np.where(first, SINGLY, COVERED)
         key = np.where(first, key, _spread(order, start))
         columns = [pa.array(x[fresh]) for x in (order, twin, key, start.astype(np.int32), kind.astype(np.int32))]
-        return pa.RecordBatch.from_arrays([*columns, pa.nulls(int(fresh.sum()), pa.binary())], names)
+        n = int(fresh.sum())
+        digests = pa.Array.from_buffers(pa.binary(8), n, [None, pa.py_buffer(other[fresh].tobytes())]).cast(pa.binary())
+        return pa.RecordBatch.from_arrays([*columns, digests], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -227,8 +241,8 @@ def _fetch(keyed: DataFrame, places: DataFrame, span: int) -> DataFrame:
                         for column, value in zip(out, (order, twin, p["key"], p["start"], piece)):
                             column.append(value)
                     else:
-                        hashes = _string_hashes(piece, span)
-                        held.append((np.full(len(hashes), order), np.full(len(hashes), twin), hashes, p["start"] + np.arange(len(hashes))))
+                        hashes, other = _string_hashes(piece, span)
+                        held.append((np.full(len(hashes), order), np.full(len(hashes), twin), hashes, other, p["start"] + np.arange(len(hashes))))
                         n += len(hashes)
             if out[0]:
                 columns = [pa.array(c, t) for c, t in zip(out[:4], (pa.int64(), pa.int64(), pa.int64(), pa.int32()))]
@@ -243,20 +257,25 @@ def _fetch(keyed: DataFrame, places: DataFrame, span: int) -> DataFrame:
     return small_batches(rows).mapInArrow(tidy(run), "order long, twin long, key long, start int, kind int, bytes binary")
 
 
-def _string_hashes(text: bytes, span: int) -> np.ndarray:
-    """A hash of each ``span`` bytes of ``text``."""
+_OTHER = np.random.default_rng(20_240_602).integers(1, 1 << 63, 256, dtype=np.uint64) << U(1) | U(1)
+
+
+def _string_hashes(text: bytes, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each ``span`` bytes of ``text``."""
     data = np.frombuffer(text, np.uint8)
     n = len(data)
     up, down = _power_tables(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    return mix64((total[span:] - total[:-span]) * down[: n - span + 1]).view(np.int64)
+    out = []
+    for table in (_BYTE, _OTHER):
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(table[data] * up[:n], out=total[1:])
+        out.append(mix64((total[span:] - total[:-span]) * down[: n - span + 1]).view(np.int64))
+    return out[0], out[1]
 
 
 def _with_places(keyed: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    """Join texts with ``places`` (one row per document), broadcast only after counting."""
-    small = places.count() <= BROADCAST_DOCS
-    return keyed.join(F.broadcast(places) if small else places, ["order", "twin"], how)
+    """Join texts with the written table ``places`` (one row per document), broadcast only after measuring."""
+    return keyed.join(either(places), ["order", "twin"], how)
 
 
 def covered_starts(strings: list[bytes], span: int = SPAN) -> np.ndarray:
@@ -283,18 +302,17 @@ def covered_starts(strings: list[bytes], span: int = SPAN) -> np.ndarray:
 def _resolve(fetched: DataFrame, span: int) -> DataFrame:
     """Step 3: ``order, twin, start, size`` of covered stretches."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _gathered(batches)
-        if got is None:
-            return
+    def resolve(got: pa.Table) -> Iterator[pa.RecordBatch]:
         order, twin, key, start, kind = (got.column(i).to_numpy() for i in range(5))
         content = got.column(5).combine_chunks()
-        sizes = np.asarray(pc.fill_null(pc.binary_length(content), 0))
-        # Strings that a task has found covered, and of single ones all but the first of a hash.
+        sizes = np.asarray(pc.binary_length(content))
+        # Strings that a task has found covered, and of single ones all but the first of a pair of hashes.
         done = np.flatnonzero(kind == COVERED)
         s = np.flatnonzero(kind == SINGLY)
-        s = s[np.lexsort((start[s], twin[s], order[s], key[s]))]
-        s = s[~_changes(key[s]) & _changes(key[s], order[s], twin[s], start[s])]
+        other = np.frombuffer(b"".join(content.take(pa.array(s)).to_pylist()), np.int64)
+        at = np.lexsort((start[s], twin[s], order[s], other, key[s]))
+        s, other = s[at], other[at]
+        s = s[~_changes(key[s], other) & _changes(key[s], other, order[s], twin[s], start[s])]
         s = np.concatenate((done, s))
         out = [(order[s], twin[s], start[s].astype(np.int64), start[s].astype(np.int64) + span)]
         # Runs: key ranges of bounded size, each in corpus order.
@@ -323,16 +341,17 @@ def _resolve(fetched: DataFrame, span: int) -> DataFrame:
                 [pa.array(o), pa.array(t), pa.array(a.astype(np.int32)), pa.array((b - a).astype(np.int32))], ["order", "twin", "start", "size"]
             )
 
-    return fetched.repartition("key").mapInArrow(tidy(run), "order long, twin long, start int, size int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in key_chunks(batches, 2, 100_000, 2 * ARRAY_BYTES):
+            yield from resolve(part)
+
+    return fetched.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "order long, twin long, start int, size int")
 
 
 def _merge(stretches: DataFrame) -> DataFrame:
     """``order, twin, spans``: a document's covered stretches, packed as int32 starts and ends."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _gathered(batches)
-        if got is None:
-            return
+    def merge(got: pa.Table) -> pa.RecordBatch:
         order, twin, start, size = (got.column(i).to_numpy() for i in range(4))
         at = np.lexsort((twin, order))
         fresh = np.concatenate(([True], (order[at][1:] != order[at][:-1]) | (twin[at][1:] != twin[at][:-1])))
@@ -341,9 +360,14 @@ def _merge(stretches: DataFrame) -> DataFrame:
         cut = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
         docs = at[np.flatnonzero(fresh)]
         packed = [p.tobytes() for p in np.split(pairs, cut[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(order[docs]), pa.array(twin[docs]), pa.array(packed, pa.binary())], ["order", "twin", "spans"])
+        return pa.RecordBatch.from_arrays([pa.array(order[docs]), pa.array(twin[docs]), pa.array(packed, pa.binary())], ["order", "twin", "spans"])
 
-    return stretches.repartition("order", "twin").mapInArrow(tidy(run), "order long, twin long, spans binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in key_chunks(batches, 1, 100_000):
+            yield merge(part)
+
+    # By the twin, a hash of the text: a null or repeated id may stand for many texts.
+    return stretches.repartition("order", "twin").sortWithinPartitions("twin", "order").mapInArrow(tidy(run), "order long, twin long, spans binary")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -377,7 +401,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Ids are whole numbers; a null id comes after all others. Different texts of
     one id are ordered by a hash; rows that repeat id and text are one document
-    and are all returned alike.
+    and are all returned alike. Texts of any length up to 2 GB are searched whole,
+    an empty table gives an empty result, and other columns are not read.
     """
     spans = find_repeats(docs, id_col, text_col, span, seed, hot)
 
@@ -404,3 +429,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def op6_repeated_strings(spark, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP6_SQL = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), p AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS string FROM (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 99))) AS i FROM b)
+), again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY string ORDER BY doc_id, i) AS k FROM p) WHERE k > 1
+), marked AS (
+  SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true)::INT AS fresh FROM again
+), numbered AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS span FROM marked
+), spans AS (SELECT doc_id, span, min(i) AS low, max(i) + 100 AS high FROM numbered GROUP BY doc_id, span
+), around AS (SELECT doc_id, low, high, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS before FROM spans
+), cut AS (
+  SELECT a.doc_id, sum(high - low) AS n_removed, count(*) AS n_spans, max(high) AS last,
+    string_agg(substr(h, 2 * before + 1, 2 * (low - before)), '' ORDER BY low) AS kept
+  FROM around AS a JOIN b ON b.doc_id = a.doc_id GROUP BY a.doc_id
+)
+SELECT b.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM b LEFT JOIN cut ON cut.doc_id = b.doc_id
+"""

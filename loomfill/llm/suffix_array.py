@@ -1,16 +1,19 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, in numpy.
 
-Induction runs over whole buckets at once: all entries of a bucket that are
-known push their predecessors in one step, so the scan costs one step per
-bucket and per length of a run of one symbol, not one per suffix.
+Suffixes are classified as smaller or larger than the next one; the
+leftmost-smaller ones are sorted by their substrings, recursively where some are
+equal, and induce the order of all others, linearly.
+
+Where buckets hold many suffixes, induction runs over a whole bucket at once:
+all entries that other buckets have pushed, and with them their runs of one
+symbol, in a closed form. So it costs four steps a bucket, whatever the runs.
+Where buckets are thin (reduced strings, short texts) it goes entry by entry.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-U = np.uint64
-_ODD = U(0x9E3779B97F4A7C15)
 #: Buckets must hold so many suffixes on average for induction by buckets to pay.
 THIN = 64
 
@@ -18,38 +21,83 @@ THIN = 64
 def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
     """Starts of the suffixes of ``text`` (numbers from 0 to sigma - 1) in order; a prefix comes first."""
     n = len(text)
-    if n < 64 or sigma * THIN > n:
-        return _by_doubling(text)
-    small = text.astype(np.uint16) if sigma <= 1 << 16 else text.astype(np.int64)
+    if n < 2:
+        return np.arange(n)
     # Types: True for a suffix smaller than the next one. Ties take the type of the next differing place.
+    place = np.arange(n)
     differ = np.append(text[:-1] != text[1:], True)
-    nearest = np.minimum.accumulate(np.where(differ, np.arange(n), n - 1)[::-1])[::-1]
+    nearest = np.minimum.accumulate(np.where(differ, place, n - 1)[::-1])[::-1]
     smaller = np.append(text[:-1] < text[1:], False)[nearest]
     leftmost = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     ends = np.cumsum(np.bincount(text, minlength=sigma))
-    if not len(leftmost):
-        return _induce(small, smaller, leftmost, ends)
-    array = _induce(small, smaller, leftmost, ends)
+    if sigma * THIN > n:
+        plain = text.tolist(), smaller.tolist(), ends.tolist()
+        induce = lambda ordered: np.array(_induce_singly(*plain, ordered.tolist()), np.int64)
+    else:
+        run = np.maximum.accumulate(np.where(np.append(True, differ[:-1]), place, 0))
+        small = text.astype(np.uint16) if sigma <= 1 << 16 else text.astype(np.int64)
+        induce = lambda ordered: _induce_buckets(small, run, ends, ordered)
+    array = induce(leftmost)
+    if len(leftmost) < 2:
+        return array
     is_leftmost = np.zeros(n, bool)
     is_leftmost[leftmost] = True
     ordered = array[is_leftmost[array]]
     # Leftmost-smaller substrings, each up to the next one's start; equal neighbours share a name.
     stop = np.full(n, n, np.int64)
     stop[leftmost[:-1]] = leftmost[1:] + 1
-    length = stop[ordered] - ordered
-    mark = _hashes(text, sigma, ordered, length)
-    new = np.append(True, (length[1:] != length[:-1]) | (mark[1:] != mark[:-1]))
-    new[1:] |= stop[ordered[1:]] == n  # the last one ends with the text
-    names = np.cumsum(new) - 1
+    names = np.cumsum(np.append(False, ~_same(text, ordered, stop[ordered], n)))
     if names[-1] + 1 < len(leftmost):
         by_place = np.zeros(n, np.int64)
         by_place[ordered] = names
         ordered = leftmost[suffix_array(by_place[leftmost], int(names[-1]) + 1)]
-    return _induce(small, smaller, ordered, ends)
+    return induce(ordered)
+
+
+def _same(text: np.ndarray, start: np.ndarray, stop: np.ndarray, n: int) -> np.ndarray:
+    """Whether each substring equals the one before; one that ends with the text equals none."""
+    length = stop - start
+    out = (length[1:] == length[:-1]) & (stop[1:] < n) & (stop[:-1] < n)
+    pairs = np.flatnonzero(out)
+    if len(pairs):
+        size = length[pairs]
+        ends = np.cumsum(size)
+        step = np.arange(ends[-1]) - np.repeat(ends - size, size)
+        equal = text[np.repeat(start[pairs], size) + step] == text[np.repeat(start[pairs + 1], size) + step]
+        out[pairs] = np.logical_and.reduceat(equal, ends - size)
+    return out
 
 
-def _induce(text: np.ndarray, smaller: np.ndarray, leftmost: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _induce_singly(text: list[int], smaller: list[bool], ends: list[int], leftmost: list[int]) -> list[int]:
     """Induce all suffixes from leftmost-smaller ones, given in order within each bucket."""
+    n = len(text)
+    array = [-1] * n
+    tail = ends.copy()
+    for i in reversed(leftmost):
+        c = text[i]
+        tail[c] -= 1
+        array[tail[c]] = i
+    head = [0, *ends[:-1]]
+    c = text[n - 1]  # smaller than nothing: the first larger suffix of its bucket
+    array[head[c]] = n - 1
+    head[c] += 1
+    for i in array:  # grows ahead of the scan
+        if i > 0 and not smaller[i - 1]:
+            c = text[i - 1]
+            array[head[c]] = i - 1
+            head[c] += 1
+    tail = ends.copy()
+    for k in range(n - 1, -1, -1):
+        i = array[k]
+        if i > 0 and smaller[i - 1]:
+            c = text[i - 1]
+            tail[c] -= 1
+            array[tail[c]] = i - 1
+    return array
+
+
+def _induce_buckets(text: np.ndarray, run: np.ndarray, ends: np.ndarray, leftmost: np.ndarray) -> np.ndarray:
+    """The same, a bucket at a time; ``run`` tells where the run of one symbol around each place starts."""
     n, sigma = len(text), len(ends)
     starts = np.concatenate(([0], ends[:-1]))
     array = np.full(n, -1, np.int64)
@@ -58,80 +106,57 @@ def _induce(text: np.ndarray, smaller: np.ndarray, leftmost: np.ndarray, ends: n
     seed_at = np.concatenate(([0], np.cumsum(np.bincount(symbol, minlength=sigma))))
     head, tail = starts.copy(), ends.copy()
 
-    def push(current: np.ndarray, want: bool) -> None:
-        before = current - 1
-        before = before[before >= 0]
-        before = before[smaller[before] == want]
+    def with_runs(first: np.ndarray) -> np.ndarray:
+        """Entries from other buckets end their runs; all second to last places follow all last ones, and so on."""
+        count = first - run[first] + 1
+        total = int(count.sum())
+        if total == len(first):
+            return first
+        back = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
+        return (np.repeat(first, count) - back)[np.argsort(back, kind="stable")]
+
+    def push(entries: np.ndarray, c: int, up: bool) -> None:
+        """The predecessors in other buckets: those above go to heads, those below to tails."""
+        before = entries[entries > 0] - 1
+        symbol = text[before]
+        keep = symbol > c if up else symbol < c
+        before, symbol = before[keep], symbol[keep]
         if not len(before):
             return
-        symbol = text[before]
         order = np.argsort(symbol, kind="stable")
         before, symbol = before[order], symbol[order].astype(np.int64)
         counts = np.bincount(symbol, minlength=sigma)
         rank = np.arange(len(before)) - (np.cumsum(counts) - counts)[symbol]
-        if want:
-            array[tail[symbol] - 1 - rank] = before
-            np.subtract(tail, counts, out=tail)
-        else:
+        if up:
             array[head[symbol] + rank] = before
             np.add(head, counts, out=head)
+        else:
+            array[tail[symbol] - 1 - rank] = before
+            np.subtract(tail, counts, out=tail)
 
-    last = int(text[n - 1])  # smaller than nothing: the first larger suffix of its bucket
+    last = int(text[n - 1])
     array[head[last]] = n - 1
     head[last] += 1
     used = np.flatnonzero(ends > starts).tolist()
     for c in used:
         low = starts[c]
-        while low < head[c]:
-            high = int(head[c])
-            push(array[low:high], False)
-            low = high
-        if seed_at[c + 1] > seed_at[c]:
-            push(seeds[seed_at[c] : seed_at[c + 1]], False)
+        if head[c] > low:
+            entries = with_runs(array[low : head[c]])
+            array[low : low + len(entries)] = entries
+            head[c] = low + len(entries)
+            push(entries, c, True)
+        push(seeds[seed_at[c] : seed_at[c + 1]], c, True)
     for c in reversed(used):
         high = ends[c]
-        while high > tail[c]:
-            low = int(tail[c])
-            push(array[low:high][::-1], True)
-            high = low
-        push(array[starts[c] : head[c]][::-1], True)
+        if tail[c] < high:
+            entries = with_runs(array[tail[c] : high][::-1])
+            tail[c] = high - len(entries)
+            array[tail[c] : high] = entries[::-1]
+            push(entries, c, False)
+        push(array[starts[c] : head[c]][::-1], c, False)
     return array
 
 
-def _by_doubling(text: np.ndarray) -> np.ndarray:
-    """Where buckets are thin: rank by ever longer prefixes, twice as long each time."""
-    n = len(text)
-    rank, step = np.asarray(text, np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    if not n:
-        return order
-    while True:
-        sorted_rank = rank[order]
-        dense = np.concatenate(([0], np.cumsum(sorted_rank[1:] != sorted_rank[:-1])))
-        rank = np.empty(n, np.int64)
-        rank[order] = dense
-        if dense[-1] == n - 1:
-            return order
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1 if step < n else 0
-        rank = rank * (n + 1) + after
-        order = np.argsort(rank, kind="stable")
-        step *= 2
-
-
-def _hashes(text: np.ndarray, sigma: int, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    table = np.random.default_rng(5).integers(1, 1 << 63, sigma, dtype=np.uint64) << U(1) | U(1)
-    up = np.ones(len(text) + 1, np.uint64)
-    up[1:] = _ODD
-    np.cumprod(up, out=up)
-    down = np.ones(len(text) + 1, np.uint64)
-    down[1:] = U(pow(int(_ODD), -1, 1 << 64))
-    np.cumprod(down, out=down)
-    total = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum(table[text] * up[:-1], out=total[1:])
-    return (total[start + length] - total[start]) * down[start]
-
-
 def permuted_common_prefixes(text: np.ndarray, array: np.ndarray, most: int = 1 << 62) -> np.ndarray:
     """For each place of ``text`` (bytes): how much its suffix shares with the one before it in order.
 
