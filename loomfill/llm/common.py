@@ -136,11 +136,14 @@ def row_key(first: Column, id_col: str, text_col: str) -> Column:
     return F.struct(first.alias("first"), F.col(id_col).alias("id"), digest.alias("digest"))
 
 
-def one_of_each(keyed: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """``keyed``'s rows with a key in the written table ``keys``, one for each key, combined in each task first."""
-    columns = [c for c in keyed.columns if c != on]
-    some = only_keys(keyed.select(on, F.struct(*columns).alias("row")), keys, on)
-    return some.groupBy(on).agg(F.first("row").alias("row")).select("row.*")
+def keyed_rows(docs: DataFrame, first: Column, id_col: str, text_col: str) -> DataFrame:
+    """``row, key, text``: each row whole, so that its columns may have any names, with its :func:`row_key`."""
+    return docs.select(F.struct(*docs.columns).alias("row"), row_key(first, id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+
+
+def one_of_each(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of :func:`keyed_rows` with a ``key`` in the written table ``keys``, one for each key, combined in each task first."""
+    return only_keys(keyed.select("key", "row"), keys, "key").groupBy("key").agg(F.first("row").alias("row")).select("row.*")
 
 
 def ascii_lower(text: Column) -> Column:

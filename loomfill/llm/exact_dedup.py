@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfill.llm.common import ascii_lower, look_up, odd_ids, one_of_each, only_keys, row_key, written
+from loomfill.llm.common import ascii_lower, keyed_rows, look_up, odd_ids, one_of_each, only_keys, written
 
 SALTS = 32
 
@@ -84,9 +84,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     returned as they are, whatever their names.
     """
     if odd_ids(docs, id_col):
-        keyed = docs.withColumn("copy_key", row_key(F.col(id_col).isNotNull(), id_col, text_col))
-        keep = copy_groups(keyed, "copy_key", text_col, salts).select(F.col("keep_id").alias("copy_key"))
-        return one_of_each(keyed, written(keep, "kept", share=4), "copy_key")
+        keyed = keyed_rows(docs, F.col(id_col).isNotNull(), id_col, text_col)
+        keep = copy_groups(keyed, "key", "text", salts).select(F.col("keep_id").alias("key"))
+        return one_of_each(keyed, written(keep, "kept", share=4))
     keep = copy_groups(docs, id_col, text_col, salts).select(F.col("keep_id").alias(id_col))
     return only_keys(docs, written(keep, "kept", share=4), id_col)
 

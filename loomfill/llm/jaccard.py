@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfill.llm.common import free_shuffles, key_chunks, look_up, odd_ids, one_of_each, only_keys, row_key, small_batches, table, tidy, written
+from loomfill.llm.common import free_shuffles, key_chunks, keyed_rows, look_up, odd_ids, one_of_each, only_keys, small_batches, table, tidy, written
 from loomfill.llm.components import components
 from loomfill.llm.shingles import U, mix64, set_digest, shingle_set
 
@@ -513,9 +513,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Empty input gives an empty result; columns of any name are returned as they are.
     """
     if odd_ids(docs, id_col):
-        keyed = docs.withColumn("near_key", row_key(F.col(id_col).isNull(), id_col, text_col))
-        kept = jaccard_components(keyed, "near_key", text_col, width, percent).where("doc_id = component_id")
-        return one_of_each(keyed, written(kept.select(F.col("doc_id").alias("near_key")).distinct(), "kept", share=16), "near_key")
+        keyed = keyed_rows(docs, F.col(id_col).isNull(), id_col, text_col)
+        kept = jaccard_components(keyed, "key", "text", width, percent).where("doc_id = component_id")
+        return one_of_each(keyed, written(kept.select(F.col("doc_id").alias("key")).distinct(), "kept", share=16))
     kept = jaccard_components(docs, id_col, text_col, width, percent).where("doc_id = component_id")
     kept = written(kept.select(F.col("doc_id").alias(id_col)), "kept", share=16)
     return only_keys(docs, kept, id_col).select(*docs.columns)
@@ -523,3 +523,27 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 3 THEN [array_to_string(t, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) END AS shingles
+  FROM w
+), x AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM x AS a JOIN x AS b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM s
+  UNION
+  SELECT r.doc_id, e.b FROM reached AS r JOIN ends AS e ON e.a = r.other
+), least AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT s.doc_id, len(s.shingles) AS n_shingles, l.component_id FROM s JOIN least AS l ON l.doc_id = s.doc_id
+"""

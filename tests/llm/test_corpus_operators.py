@@ -391,13 +391,28 @@ def repeated_corpus(rng):
 
 
 @pytest.mark.parametrize("hot", [20_000, 3])
-def test_repeats(spark, hot):
+def test_repeats(spark, monkeypatch, hot):
+    if hot == 3:
+        monkeypatch.setattr(repeats, "PIECE", 30)
     rows = repeated_corpus(random.Random(hot))
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"order": F.lit("x"), "spans": F.lit(1)}).repartition(3)
     got = repeats.remove_repeats(frame, hot=hot).collect()
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == plain_repeats(rows, 100)
 
 
+def test_runs_of_long_texts_are_bounded():
+    for text in (b"a" * 300_000, b"abcab" * 40_000):
+        key, mark, start, size = repeats.find_runs(text)
+        assert np.abs(size).max() < repeats.PIECE + 100 and len(set(zip(mark.tolist(), size.tolist()))) < 20
+        assert (np.diff(start) > 0).all() and start[-1] + abs(size[-1]) == len(text)
+
+
+def test_repeats_of_one_byte(spark):
+    rows = [(1, "a" * 300_000), (2, "a" * 99), (3, "ab" * 5000)]
+    got = {r.doc_id: r.n_removed for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 299_999, 2: 0, 3: 9_998}  # all but the first string's start
+
+
 def test_repeats_edges(spark):
     text = "some text that is long enough to be found again because it has more than a hundred bytes in it, surely so"
     rows = [(5, text), (5, text), (None, text), (3, text + " and more"), (9, "short")]
