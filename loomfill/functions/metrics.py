@@ -65,29 +65,46 @@ def word_overlap(a: Column, b: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """All runs of n tokens in order; empty if there are fewer."""
+    """All runs of n tokens in order, joined by blanks, which words never hold; empty if there are fewer."""
     last = F.size(tokens) - n + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.slice(tokens, i, n))).otherwise(
-        F.array().cast("array<array<string>>")
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(
+        F.array().cast("array<string>")
     )
 
 
+def shared_count(own: Column, other: Column) -> Column:
+    """How many entries two arrays of strings share, each as often as both have it: one sort and one walk over them."""
+    tagged = lambda grams, o: F.transform(grams, lambda g: F.struct(g.alias("g"), F.lit(o).alias("o")))
+    state = lambda g, own, other, hits: F.struct(g.alias("g"), own.alias("own"), other.alias("other"), hits.alias("hits"))
+    zero = F.lit(0)
+
+    def walk(s: Column, x: Column) -> Column:
+        same = state(s["g"], s["own"] + x["o"], s["other"] + 1 - x["o"], s["hits"])
+        fresh = state(x["g"], x["o"], 1 - x["o"], s["hits"] + F.least(s["own"], s["other"]))
+        return F.when(s["g"].eqNullSafe(x["g"]), same).otherwise(fresh)
+
+    start = state(F.lit(None).cast("string"), zero, zero, zero)
+    return F.aggregate(F.array_sort(F.concat(tagged(own, 1), tagged(other, 0))), start, walk, lambda s: s["hits"] + F.least(s["own"], s["other"]))
+
+
+def _precision(own_words: Column, other_words: Column, n: int) -> Column:
+    own, other = ngrams(own_words, n), ngrams(other_words, n)
+    return F.when(F.size(own) > 0, shared_count(own, other) / F.size(own))
+
+
 def ngram_precision(generated: Column, expected: Column, n: int) -> Column:
     """Clipped precision of the generated words' n-grams; null if there are none."""
-    own, other = ngrams(words(generated), n), ngrams(words(expected), n)
-    count = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
-    hits = F.aggregate(F.array_distinct(own), F.lit(0), lambda s, g: s + F.least(count(own, g), count(other, g)))
-    return F.when(F.size(own) > 0, hits / F.size(own))
+    return _precision(words(generated), words(expected), n)
 
 
 def bleu(generated: Column, expected: Column, most: int = 4) -> Column:
-    """Geometric mean of the n-gram precisions for n from 1 to ``most``.
+    """Geometric mean of the n-gram precisions for n from 1 to ``most``; null texts count as empty.
 
     Orders without n-grams are skipped, any precision of 0 gives 0, and there
-    is no brevity penalty. Quadratic in a text's words: for long texts use
-    ``operators.evaluate.bleu_scores``, which counts in a shuffle.
+    is no brevity penalty. Texts of any length cost one sort of their n-grams, within the row.
     """
-    parts = F.filter(F.array(*[ngram_precision(generated, expected, n) for n in range(1, most + 1)]), lambda p: p.isNotNull())
-    mean = F.exp(F.aggregate(parts, F.lit(0.0), lambda s, p: s + F.ln(p)) / F.size(parts))
-    usable = (generated != "") & (expected != "") & (F.size(parts) > 0) & F.forall(parts, lambda p: p > 0)
-    return F.when(F.coalesce(usable, F.lit(False)), mean).otherwise(0.0)
+    text = lambda c: words(F.coalesce(c, F.lit("")))
+    pair = F.array(F.struct(text(generated).alias("a"), text(expected).alias("b")))  # bound once for all orders
+    orders = F.get(F.transform(pair, lambda p: F.array(*[_precision(p["a"], p["b"], n) for n in range(1, most + 1)])), F.lit(0))
+    parts = F.get(F.transform(F.array(F.array_compact(orders)), lambda p: F.when((F.size(p) > 0) & F.forall(p, lambda x: x > 0), F.exp(F.aggregate(p, F.lit(0.0), lambda s, x: s + F.ln(x)) / F.size(p)))), F.lit(0))
+    return F.coalesce(parts, F.lit(0.0))

@@ -82,6 +82,23 @@ def clip(text: Column, limit: int = 300) -> Column:
     return F.when(F.length(line) <= limit, line).otherwise(F.concat(F.substring(line, 1, limit), F.lit(" …[truncated]")))
 
 
+def quoted(text: Column) -> Column:
+    """A text as Python shows it in a list: in single quotes, or double ones if it holds only single ones, with escapes.
+
+    Control characters up to U+00A0 are escaped; other characters stand as they are.
+    """
+    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for raw, shown in (("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+        out = F.replace(out, F.lit(raw), F.lit(shown))
+    codes = [*range(0, 9), 11, 12, *range(14, 32), *range(127, 161), 173]
+    # One pass where there is one of them at all.
+    escaped = reduce(lambda c, k: F.replace(c, F.lit(chr(k)), F.lit(f"\\x{k:02x}")), codes, out)
+    out = F.when(out.rlike("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\xa0\\xad]"), escaped).otherwise(out)
+    single, double = F.contains(text, F.lit("'")), F.contains(text, F.lit('"'))
+    plain = F.concat(F.lit("'"), F.replace(out, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(single & ~double, F.concat(F.lit('"'), out, F.lit('"'))).otherwise(plain)
+
+
 def format_duration(seconds: Column) -> Column:
     """``1h1m``, ``1m1s`` or ``59s``; fractions are cut off."""
     s = F.floor(seconds)

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomfill.functions import metrics as M
-from loomfill.functions.text import clip, contains_any, words
+from loomfill.functions.text import clip, contains_any, quoted
 
 TUNED, BASELINE = "tuned", "baseline"
 #: Metrics counted and averaged in summaries, in the order of reports.
@@ -22,16 +22,27 @@ COUNTED = ["pass_at_1", "pass_at_3", "pass_at_5"]
 AVERAGED = ["edit_similarity", "token_overlap", "bleu_score", "generation_time_ms"]
 
 
-def score(completions: DataFrame, samples: DataFrame) -> DataFrame:
-    """Metrics of each completion against its sample's ``middle``.
+#: What :func:`score` can work out, each within the row.
+METRICS = {
+    "exact_match": lambda r: M.exact_match(r["text"], r["expected"]),
+    "pass_at_1": lambda r: M.exact_match(r["text"], r["expected"]),
+    "pass_at_3": lambda r: M.any_match(r["k_samples"], r["expected"], 3),
+    "pass_at_5": lambda r: M.any_match(r["k_samples"], r["expected"], 5),
+    "any_pass": lambda r: M.any_match(r["k_samples"], r["expected"]),
+    "edit_similarity": lambda r: M.edit_similarity(r["text"], r["expected"]),
+    "token_overlap": lambda r: M.token_overlap(r["text"], r["expected"]),
+    "word_overlap": lambda r: M.word_overlap(r["text"], r["expected"]),
+    "bleu_score": lambda r: M.bleu(r["text"], r["expected"]),
+}
+
+
+def score(completions: DataFrame, samples: DataFrame, metrics: list[str] | None = None) -> DataFrame:
+    """Metrics of each completion against its sample's ``middle``, all by default.
 
     ``samples`` has ``sample_id, file_path, node_type, middle``; ids are unique,
-    as is (sample_id, model) among completions.
+    as is (sample_id, model) among completions. One join, and no other shuffle.
     """
     rows = completions.join(samples.select("sample_id", "file_path", "node_type", F.col("middle").alias("expected")), "sample_id")
-    text, expected, draws = F.col("text"), F.col("expected"), F.col("k_samples")
-    exact = M.exact_match(text, expected)
-    bleu = bleu_scores(rows.select("sample_id", "model", F.col("text").alias("generated"), "expected"), "sample_id", "model")
     return rows.select(
         "sample_id",
         "model",
@@ -40,47 +51,10 @@ def score(completions: DataFrame, samples: DataFrame) -> DataFrame:
         "expected",
         "text",
         "k_samples",
-        exact.alias("exact_match"),
-        exact.alias("pass_at_1"),
-        M.any_match(draws, expected, 3).alias("pass_at_3"),
-        M.any_match(draws, expected, 5).alias("pass_at_5"),
-        M.any_match(draws, expected).alias("any_pass"),
-        M.edit_similarity(text, expected).alias("edit_similarity"),
-        M.token_overlap(text, expected).alias("token_overlap"),
-        M.word_overlap(text, expected).alias("word_overlap"),
+        *[METRICS[name]({c: F.col(c) for c in ("text", "expected", "k_samples")}).alias(name) for name in (METRICS if metrics is None else metrics)],
         F.col("time_ms").alias("generation_time_ms"),
         F.col("tokens").alias("generated_tokens"),
-    ).join(bleu, ["sample_id", "model"])
-
-
-def bleu_scores(pairs: DataFrame, *keys: str, most: int = 4) -> DataFrame:
-    """The keys and ``bleu_score`` of rows ``generated, expected``, linear in the texts' words.
-
-    N-grams of both texts are counted in one shuffle by key, order and gram,
-    so a text of any length costs its number of words. Keys are unique.
-    """
-    by = list(keys or ("sample_id",))
-
-    def grams(text: str, generated: int) -> DataFrame:
-        # Words hold no blanks, so a gram is its words joined by blanks.
-        tokens = pairs.select(*by, words(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-        at = tokens.select(*by, "t", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("n")).where("size(t) >= n")
-        own = at.select(*by, "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("n") + 1), lambda i: F.array_join(F.slice("t", i, F.col("n")), " "))).alias("gram"))
-        return own.select(*by, F.lit(generated).alias("g"), "n", "gram")
-
-    counts = (
-        grams("generated", 1)
-        .unionByName(grams("expected", 0))
-        .groupBy(*by, "n", "gram")
-        .agg(F.sum("g").alias("own"), F.sum(1 - F.col("g")).alias("other"))
-    )
-    precision = (
-        counts.groupBy(*by, "n").agg((F.sum(F.least("own", "other")) / F.nullif(F.sum("own"), F.lit(0))).alias("p")).where("p IS NOT NULL")
     )
-    mean = precision.groupBy(*by).agg(
-        F.when(F.min("p") > 0, F.exp(F.avg(F.ln(F.nullif(F.col("p"), F.lit(0.0)))))).otherwise(0.0).alias("bleu_score")
-    )
-    return pairs.select(*by).join(mean, by, "left").select(*by, F.coalesce("bleu_score", F.lit(0.0)).alias("bleu_score"))
 
 
 def summary(scores: DataFrame, *by: str) -> DataFrame:
@@ -100,14 +74,15 @@ def side_by_side(scores: DataFrame, key: str = "sample_id") -> DataFrame:
     return wide.where(F.col(TUNED).isNotNull() & F.col(BASELINE).isNotNull())
 
 
-def model_deltas(scores: DataFrame) -> DataFrame:
-    """``metric, tuned, baseline, delta``: counted metrics in rows, averaged ones as means."""
+def model_deltas(scores: DataFrame, *more: Column) -> DataFrame:
+    """``metric, tuned, baseline, delta``: counted metrics in rows, averaged ones as means; ``more`` are aggregates of all rows."""
     names = [*COUNTED, *AVERAGED]
     of = lambda c, m: F.when(F.col("model") == m, F.col(c).cast("double"))
     value = lambda c, m: F.sum(of(c, m)) if c in COUNTED else F.avg(of(c, m))
-    one = scores.agg(*[value(c, m).alias(f"{c}_{m}") for c in names for m in (TUNED, BASELINE)])
+    one = scores.agg(*[value(c, m).alias(f"{c}_{m}") for c in names for m in (TUNED, BASELINE)], *more)
+    kept = [c for c in one.columns if not c.endswith((f"_{TUNED}", f"_{BASELINE}"))]
     rows = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"{c}_{TUNED}").alias(TUNED), F.col(f"{c}_{BASELINE}").alias(BASELINE)) for c in names])
-    return one.select(F.explode(rows).alias("r")).select("r.*").withColumn("delta", F.col(TUNED) - F.col(BASELINE))
+    return one.select(*kept, F.explode(rows).alias("r")).select("r.*", *kept).withColumn("delta", F.col(TUNED) - F.col(BASELINE))
 
 
 def pass_by_node_type(scores: DataFrame) -> DataFrame:
@@ -234,6 +209,32 @@ def result_rows(scores: DataFrame, timestamp: str) -> DataFrame:
     return top.unionByName(wide.select("sample_id", F.to_json(row).alias("json")))
 
 
+def closing_line(path: str, spark: SparkSession) -> DataFrame:
+    """One row ``line`` of a result document: exact completions and mean edit similarity of both models."""
+    rows = read_results(spark, path).select(F.explode("results").alias("r"))
+    n = F.count(F.lit(1))
+    passed, mean = (lambda m: F.count_if(F.col(f"r.{m}_metrics.pass_at_1"))), (lambda m: F.avg(F.col(f"r.{m}_metrics.edit_similarity")))
+    parts = [passed(TUNED), n, passed(TUNED) * 100.0 / n, passed(BASELINE), n, passed(BASELINE) * 100.0 / n, mean(TUNED), mean(BASELINE)]
+    return rows.agg(F.when(n > 0, F.format_string("pass@1 tuned %d/%d (%.1f%%) vs base %d/%d (%.1f%%) | edit-sim %.3f vs %.3f", *parts)).alias("line"))
+
+
+_METRICS = "struct<exact_match: boolean, pass_at_1: boolean, pass_at_3: boolean, pass_at_5: boolean, edit_similarity: double, token_overlap: double, bleu_score: double, generation_time_ms: double, generated_tokens: int>"
+#: Schema of a result document.
+RESULTS = (
+    "metadata struct<total_samples: long, timestamp: string, sampled_indices: array<long>>, "
+    "summary map<string, struct<pass_at_1: long, pass_at_3: long, pass_at_5: long, avg_edit_similarity: double, avg_time_ms: double>>, "
+    "results array<struct<sample_id: long, file_path: string, node_type: string, expected: string, tuned_output: string, baseline_output: string, "
+    f"tuned_metrics: {_METRICS}, baseline_metrics: {_METRICS}, tuned_k_samples: array<string>, baseline_k_samples: array<string>>>"
+)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """A result document as one row ``metadata, summary, results``; of a folder or pattern, the one whose name sorts last."""
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    last = files.agg(F.max(F.struct("file", "value")).alias("f"))
+    return last.select(F.from_json("f.value", RESULTS).alias("d")).where("d IS NOT NULL").select("d.*")
+
+
 def compact_results(scores: DataFrame, span: int = RANGE) -> DataFrame:
     """The second evaluation's rows: ``id`` counts from 0 in sample order; any draw passes at 5, and words overlap by the larger set."""
     part = lambda m: F.struct(
@@ -262,16 +263,16 @@ def delta_lines(scores: DataFrame) -> DataFrame:
 
 def report_lines(scores: DataFrame) -> DataFrame:
     """Markdown report: ``section, ord, line``; sort by the first two. Section -1 is the summary, others are samples."""
-    deltas = model_deltas(scores).where(F.col("metric") != "generation_time_ms")
-    n = scores.where(F.col("model") == TUNED).count()
+    deltas = model_deltas(scores, F.count_if(F.col("model") == TUNED).alias("n")).where(F.col("metric") != "generation_time_ms")
     title = {"pass_at_1": "pass@1", "pass_at_3": "pass@3", "pass_at_5": "pass@5"}
     name = reduce(lambda c, kv: c.when(F.col("metric") == kv[0], kv[1]), title.items(), F.when(F.lit(False), "")).otherwise(F.col("metric"))
-    whole = F.format_string(f"| %s | %d/{n} | %d/{n} | %+d |", name, F.col(TUNED).cast("long"), F.col(BASELINE).cast("long"), F.col("delta").cast("long"))
+    whole = F.format_string("| %s | %d/%d | %d/%d | %+d |", name, F.col(TUNED).cast("long"), "n", F.col(BASELINE).cast("long"), "n", F.col("delta").cast("long"))
     mean = F.format_string("| %s | %.3f | %.3f | %+.3f |", name, TUNED, BASELINE, "delta")
     spot = reduce(lambda c, kv: c.when(F.col("metric") == kv[1], kv[0] + 6), enumerate([*COUNTED, *AVERAGED]), F.when(F.lit(False), 0))
-    head = ["# FIM Benchmark Report", "", f"Samples: {n}", "", "| Metric | Tuned | Baseline | Delta |", "|---|---|---|---|"]
+    head = [(0, "# FIM Benchmark Report"), (1, ""), (3, ""), (4, "| Metric | Tuned | Baseline | Delta |"), (5, "|---|---|---|---|"), (20, ""), (21, "---"), (22, "")]
     spark = scores.sparkSession
-    top = spark.createDataFrame([(-1, i, line) for i, line in enumerate(head)] + [(-1, 20 + i, line) for i, line in enumerate(["", "---", ""])], "section long, ord int, line string")
+    top = spark.createDataFrame([(-1, i, line) for i, line in head], "section long, ord int, line string")
+    total = scores.agg(F.count_if(F.col("model") == TUNED).alias("n")).select(F.lit(-1).cast("long").alias("section"), F.lit(2).alias("ord"), F.format_string("Samples: %d", "n").alias("line"))
     table = deltas.select(F.lit(-1).cast("long").alias("section"), spot.alias("ord"), F.when(F.col("metric").isin(COUNTED), whole).otherwise(mean).alias("line"))
     tick = lambda m: F.format_string(
         "           %s edit=%.2f bleu=%.2f pass@5=%s",
@@ -280,7 +281,7 @@ def report_lines(scores: DataFrame) -> DataFrame:
         f"{m}.bleu_score",
         F.initcap(F.col(f"{m}.pass_at_5").cast("string")),
     )
-    tries = lambda label, m: F.concat(F.lit(label), F.lit("['"), F.array_join(F.transform(f"{m}.k_samples", lambda s: clip(s, 120)), "', '"), F.lit("']"))
+    tries = lambda label, m: F.concat(F.lit(label), F.lit("["), F.array_join(F.transform(f"{m}.k_samples", lambda s: quoted(clip(s, 120))), ", "), F.lit("]"))
     has = F.size(F.coalesce(F.col("tuned.k_samples"), F.array().cast("array<string>"))) > 0
     lines = F.array_compact(
         F.array(
@@ -298,4 +299,4 @@ def report_lines(scores: DataFrame) -> DataFrame:
         )
     )
     rows = side_by_side(scores).select(F.col("sample_id").cast("long").alias("section"), F.posexplode(lines).alias("ord", "line"))
-    return top.unionByName(table).unionByName(rows)
+    return top.unionByName(total).unionByName(table).unionByName(rows)

@@ -51,10 +51,13 @@ _SPLITS = (
 ), splits AS (SELECT path, CASE WHEN k <= floor(n * 0.98::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM ranked)"""
 )
 _TESTS = r"""
-tests AS (
-  SELECT doc_id AS sample_id, concat_ws('/', coalesce(source, ''), coalesce(lang, ''), doc_id::VARCHAR) AS file_path,
-    ['Use', 'Function', 'Struct', 'Const'][(doc_id % 4 + 1)::INT] AS node_type, split_part(text, chr(10), 1) AS middle, lang
+lines AS (
+  SELECT doc_id, concat_ws('/', coalesce(source, ''), coalesce(lang, ''), doc_id::VARCHAR) AS file_path,
+    ['Use', 'Function', 'Struct', 'Const'][(doc_id % 4 + 1)::INT] AS node_type, coalesce(string_split(text, chr(10)), [NULL]) AS parts, lang
   FROM documents
+), tests AS (
+  SELECT doc_id * 4294967296 + i - 1 AS sample_id, file_path, node_type, parts[i] AS middle, lang
+  FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM lines)
 )"""
 
 
@@ -185,5 +188,8 @@ ORACLE_SQL: dict[str, str] = {
         SELECT event_type, n, round(a, 6) AS avg, round(v[n // 2 + 1], 6) AS p50, round(v[floor(n * 0.99::DOUBLE)::BIGINT + 1], 6) AS p99 FROM g""",
     "keyword_summary": f"""WITH {_SCORES}, k AS (SELECT contains(lower(text), 'tion') OR contains(lower(text), 'que') AS ok, generation_time_ms AS t FROM scores WHERE model = 'tuned')
         SELECT count(*) FILTER (ok) AS passed, count(*) AS total, round(count(*) FILTER (ok) * 100.0::DOUBLE / count(*), 6) AS percent, round(avg(t), 6) AS avg_time_ms FROM k""",
+    "generate_stub": f"""WITH {_TESTS}, h AS (SELECT sample_id, list_transform(range(0, 6), lambda k: md5('stub|' || k::VARCHAR || '|{BEGIN}' || middle || '{HOLE}{END}')) AS digests FROM tests),
+        w AS (SELECT sample_id, list_transform(digests, lambda d: array_to_string(list_transform(range(0, 8), lambda i: substr(d, 4 * i + 1, 4)), ' ')) AS texts FROM h)
+        SELECT sample_id, 'stub' AS model, texts[1] AS text, array_to_string(texts[2:6], '|') AS draws, 8::INT AS tokens FROM w""",
     "manifest_rows": f"WITH {_TESTS} SELECT sample_id AS original_index, node_type, file_path FROM tests ORDER BY md5('42|' || sample_id::VARCHAR), sample_id LIMIT 200",
 }

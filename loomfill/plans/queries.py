@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -189,10 +188,10 @@ def blank_line_cut(spark, sf_dir):
 
 
 @query
-def keyword_any(spark, sf_dir, lines=False):
+def keyword_any(spark, sf_dir):
     keywords = F.array(F.lit("Tion"), F.lit("QU"), F.col("lang"))
     langs = D.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "lang")
-    rows = D.line_tests(spark, sf_dir).withColumn("doc", F.expr(f"sample_id div {D.LINE_IDS}")) if lines else D.tests(spark, sf_dir).withColumn("doc", F.col("sample_id"))
+    rows = D.tests(spark, sf_dir).withColumn("doc", F.expr(f"sample_id div {D.LINE_IDS}"))
     return rows.join(langs, "doc").select("sample_id", X.contains_any(F.col("middle"), keywords).alias("passed"))
 
 
@@ -251,38 +250,39 @@ def request_checks(spark, sf_dir):
 # Metrics of completions.
 
 
-def _scores(spark, sf_dir, lines=False) -> DataFrame:
-    return E.score(D.completions(spark, sf_dir, lines), (D.line_tests if lines else D.tests)(spark, sf_dir))
+def _scores(spark, sf_dir, *metrics) -> DataFrame:
+    return E.score(D.completions(spark, sf_dir), D.tests(spark, sf_dir), list(metrics) or None)
 
 
-def _span(lines: bool) -> int:
-    """Ranges of running sums: of so many documents either way."""
-    return E.RANGE * (D.LINE_IDS if lines else 1)
+#: Ranges of running sums: of so many documents.
+SPAN = E.RANGE * D.LINE_IDS
+#: Metrics that summaries need.
+SUMMED = ["pass_at_1", "pass_at_3", "pass_at_5", "edit_similarity", "token_overlap", "bleu_score"]
 
 
 @query
-def edit_similarity_scores(spark, sf_dir, lines=False):
-    return _scores(spark, sf_dir, lines).select("sample_id", "model", F.round("edit_similarity", 6).alias("edit_similarity"))
+def edit_similarity_scores(spark, sf_dir):
+    return _scores(spark, sf_dir, "edit_similarity").select("sample_id", "model", F.round("edit_similarity", 6).alias("edit_similarity"))
 
 
 @query
-def token_overlap_scores(spark, sf_dir, lines=False):
-    return _scores(spark, sf_dir, lines).select("sample_id", "model", F.round("token_overlap", 6).alias("token_overlap"))
+def token_overlap_scores(spark, sf_dir):
+    return _scores(spark, sf_dir, "token_overlap").select("sample_id", "model", F.round("token_overlap", 6).alias("token_overlap"))
 
 
 @query
-def word_overlap_scores(spark, sf_dir, lines=False):
-    return _scores(spark, sf_dir, lines).select("sample_id", "model", F.round("word_overlap", 6).alias("word_overlap"))
+def word_overlap_scores(spark, sf_dir):
+    return _scores(spark, sf_dir, "word_overlap").select("sample_id", "model", F.round("word_overlap", 6).alias("word_overlap"))
 
 
 @query
-def bleu_scores(spark, sf_dir, lines=False):
-    return _scores(spark, sf_dir, lines).select("sample_id", "model", F.round("bleu_score", 6).alias("bleu_score"))
+def bleu_scores(spark, sf_dir):
+    return _scores(spark, sf_dir, "bleu_score").select("sample_id", "model", F.round("bleu_score", 6).alias("bleu_score"))
 
 
 @query
-def pass_at_k(spark, sf_dir, lines=False):
-    return _scores(spark, sf_dir, lines).select("sample_id", "model", "exact_match", "pass_at_1", "pass_at_3", "pass_at_5", "any_pass")
+def pass_at_k(spark, sf_dir):
+    return _scores(spark, sf_dir, "exact_match", "pass_at_1", "pass_at_3", "pass_at_5", "any_pass").select("sample_id", "model", "exact_match", "pass_at_1", "pass_at_3", "pass_at_5", "any_pass")
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -290,50 +290,50 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 @query
-def benchmark_summary(spark, sf_dir, lines=False):
-    return _rounded(E.summary(_scores(spark, sf_dir, lines)))
+def benchmark_summary(spark, sf_dir):
+    return _rounded(E.summary(_scores(spark, sf_dir, *SUMMED)))
 
 
 @query
-def summary_by_node_type(spark, sf_dir, lines=False):
-    return _rounded(E.summary(_scores(spark, sf_dir, lines), "node_type"))
+def summary_by_node_type(spark, sf_dir):
+    return _rounded(E.summary(_scores(spark, sf_dir, *SUMMED), "node_type"))
 
 
 @query
-def pass1_by_node_type(spark, sf_dir, lines=False):
-    return _rounded(E.pass_by_node_type(_scores(spark, sf_dir, lines)))
+def pass1_by_node_type(spark, sf_dir):
+    return _rounded(E.pass_by_node_type(_scores(spark, sf_dir, "pass_at_1")))
 
 
 @query
-def model_delta_long(spark, sf_dir, lines=False):
-    return _rounded(E.model_deltas(_scores(spark, sf_dir, lines)))
+def model_delta_long(spark, sf_dir):
+    return _rounded(E.model_deltas(_scores(spark, sf_dir, *SUMMED)))
 
 
 @query
-def delta_lines(spark, sf_dir, lines=False):
-    return E.delta_lines(_scores(spark, sf_dir, lines))
+def delta_lines(spark, sf_dir):
+    return E.delta_lines(_scores(spark, sf_dir, *SUMMED))
 
 
 @query
-def running_pass1(spark, sf_dir, lines=False):
-    return E.running_pass(_scores(spark, sf_dir, lines), span=_span(lines))
+def running_pass1(spark, sf_dir):
+    return E.running_pass(_scores(spark, sf_dir, "pass_at_1"), span=SPAN)
 
 
 @query
-def progress_rows(spark, sf_dir, lines=False):
+def progress_rows(spark, sf_dir):
     """Every 500th row of the running count."""
-    return E.running_pass(_scores(spark, sf_dir, lines), every=500, span=_span(lines))
+    return E.running_pass(_scores(spark, sf_dir, "pass_at_1"), every=500, span=SPAN)
 
 
 @query
-def side_by_side(spark, sf_dir, lines=False):
-    wide = E.side_by_side(_scores(spark, sf_dir, lines))
+def side_by_side(spark, sf_dir):
+    wide = E.side_by_side(_scores(spark, sf_dir))
     return wide.select("sample_id", "node_type", F.col("tuned.exact_match").alias("tuned_exact"), F.col("baseline.exact_match").alias("baseline_exact"))
 
 
 @query
-def compact_results(spark, sf_dir, lines=False):
-    rows = E.compact_results(_scores(spark, sf_dir, lines), _span(lines))
+def compact_results(spark, sf_dir):
+    rows = E.compact_results(_scores(spark, sf_dir), SPAN)
     return rows.select(
         F.col("id").cast("long").alias("id"), "path", F.col("tuned.exact").alias("tuned_exact"), F.col("tuned.`pass@5`").alias("tuned_pass_5"), F.col("baseline.tokens").cast("long").alias("baseline_tokens")
     )
@@ -346,8 +346,8 @@ def latency_percentiles(spark, sf_dir):
 
 
 @query
-def keyword_summary(spark, sf_dir, lines=False):
-    rows = D.completions(spark, sf_dir, lines).where("model = 'tuned'")
+def keyword_summary(spark, sf_dir):
+    rows = D.completions(spark, sf_dir).where("model = 'tuned'")
     cases = rows.select(F.col("sample_id").cast("string").alias("name"), F.col("text").alias("generated"), "time_ms", F.array(F.lit("tion"), F.lit("que")).alias("expected_contains"))
     return _rounded(E.keyword_summary(E.keyword_results(cases)))
 
@@ -360,12 +360,12 @@ def manifest_rows(spark, sf_dir):
 @query
 def results_json(spark, sf_dir):
     """The result rows of an evaluation of every line, and a row of its metadata and summary."""
-    return E.result_rows(_scores(spark, sf_dir, lines=True), "2026-01-01 00:00:00")
+    return E.result_rows(_scores(spark, sf_dir), "2026-01-01 00:00:00")
 
 
 @query
 def report_lines(spark, sf_dir):
-    return E.report_lines(_scores(spark, sf_dir, lines=True))
+    return E.report_lines(_scores(spark, sf_dir))
 
 
 # At the Python boundary.
@@ -380,10 +380,15 @@ def rust_items(spark, sf_dir):
 
 @query
 def python_ast_nodes(spark, sf_dir):
-    """Nodes of Python files made of the documents: a function and an import for each of their lines' first words."""
+    """Nodes of Python files made of the documents: each line, whole, as a list literal in a function, class, loop or assignment by turns."""
     docs = D.table(spark, sf_dir, "documents")
-    word = lambda line: F.regexp_extract(line, r"[A-Za-z]+", 0)
-    make = lambda line, i: F.concat(F.lit("def f_"), word(line), i.cast("string"), F.lit("():\n    import m_"), word(line), F.lit("\n"))
+
+    def make(line, i):
+        literal, number = F.to_json(F.array(line)), i.cast("string")
+        forms = [("def f_", "():\n    return "), ("class C_", ":\n    text = "), ("for x_", " in range(2):\n    y = "), ("z_", " = ")]
+        made = [F.concat(F.lit(head), number, F.lit(tail), literal, F.lit("\n")) for head, tail in forms]
+        return F.when(i % 4 == 0, made[0]).when(i % 4 == 1, made[1]).when(i % 4 == 2, made[2]).otherwise(made[3])
+
     files = docs.select(F.col("doc_id").cast("string").alias("path"), F.array_join(F.transform(F.split("text", "\n"), make), "").alias("code"))
     parsed = extract.extract_nodes(files, "python")
     return extract.explode_nodes(parsed).select("path", F.col("ord").cast("long").alias("ord"), "node_type", "span")
@@ -392,14 +397,6 @@ def python_ast_nodes(spark, sf_dir):
 @query
 def generate_stub(spark, sf_dir):
     """Completions of every line of every document by the stand-in generator, without their times."""
-    rows = D.line_tests(spark, sf_dir).select("sample_id", X.format_prompt(F.col("middle"), F.lit("")).alias("prompt"))
+    rows = D.tests(spark, sf_dir).select("sample_id", X.format_prompt(F.col("middle"), F.lit("")).alias("prompt"))
     done = generate.complete(rows, generate.StubGenerator, "stub")
     return done.select("sample_id", "model", "text", F.array_join("k_samples", "|").alias("draws"), "tokens")
-
-
-#: The queries above score first lines, as their SQL does; these score every line. The tests hold them against plain Python.
-WHOLE = [
-    edit_similarity_scores, token_overlap_scores, word_overlap_scores, bleu_scores, pass_at_k, benchmark_summary, summary_by_node_type, pass1_by_node_type,
-    model_delta_long, delta_lines, running_pass1, progress_rows, side_by_side, compact_results, keyword_any, keyword_summary,
-]
-QUERIES |= {f"whole_{f.__name__}": partial(f, lines=True) for f in WHOLE}

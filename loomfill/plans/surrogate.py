@@ -16,7 +16,7 @@ from loomfill.operators.samples import fim_samples
 NODE_TYPES = ["Use", "Function", "Struct", "Const"]
 MODELS = ["tuned", "baseline"]
 DRAWS = 5
-#: Room for line numbers in the sample ids of ``line_tests``; posexplode counts in 32 bits.
+#: Room for line numbers in the sample ids of ``tests``; posexplode counts in 32 bits.
 LINE_IDS = 1 << 32
 
 
@@ -71,15 +71,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evaluation samples of first lines only: every document's text up to its first line end as the expected middle."""
-    return _documents(spark, sf_dir).select("sample_id", "file_path", "node_type", F.split_part("text", F.lit("\n"), F.lit(1)).alias("middle"))
-
-
-def line_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation samples of whole texts: every line of every document as an expected middle.
 
     ``sample_id`` is ``doc_id * LINE_IDS`` plus the line's number from 0. A
-    null text is one sample with a null middle, as in :func:`tests`.
+    null text is one sample with a null middle.
     """
     rows = _documents(spark, sf_dir).select("*", F.posexplode_outer(F.split("text", "\n")).alias("line", "middle"))
     number = (F.col("sample_id") * LINE_IDS + F.coalesce("line", F.lit(0))).alias("sample_id")
@@ -95,9 +90,9 @@ def _draw(model: str, draw: int) -> Column:
     return F.when(digit < exact, F.col("middle")).when(digit < 176, half).otherwise(rest)
 
 
-def completions(spark: SparkSession, sf_dir: str, lines: bool = False) -> DataFrame:
-    """``sample_id, model, text, k_samples, time_ms, tokens`` of :func:`tests`, or of :func:`line_tests`."""
-    rows = (line_tests if lines else tests)(spark, sf_dir)
+def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sample_id, model, text, k_samples, time_ms, tokens`` of :func:`tests`."""
+    rows = tests(spark, sf_dir)
 
     def of(model: str) -> DataFrame:
         code = F.conv(F.substring(F.md5(F.concat(F.lit(f"{model}|time|"), F.col("sample_id").cast("string")).cast("binary")), 1, 4), 16, 10).cast("int")

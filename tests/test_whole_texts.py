@@ -26,7 +26,7 @@ def expected(texts):
 
 @pytest.fixture(scope="module")
 def made(spark):
-    return {(r.sample_id, r.model): r for r in D.completions(spark, DATA, lines=True).collect()}
+    return {(r.sample_id, r.model): r for r in D.completions(spark, DATA).collect()}
 
 
 def plain(text, middle):
@@ -46,7 +46,7 @@ def plain(text, middle):
 
 def test_lines_hold_the_whole_texts(spark, texts, expected):
     got = defaultdict(dict)
-    for r in D.line_tests(spark, DATA).collect():
+    for r in D.tests(spark, DATA).collect():
         got[r.sample_id // D.LINE_IDS][r.sample_id % D.LINE_IDS] = r.middle
     assert {i: "\n".join(v[k] for k in sorted(v)) for i, v in got.items() if texts[i].text is not None} == {i: r.text for i, r in texts.items() if r.text is not None}
     assert sum(map(len, got.values())) == len(expected)
@@ -57,22 +57,22 @@ def test_scores(spark, expected, made):
     want = {k: plain(r.text or "", expected[k[0]] or "") for k, r in made.items() if expected[k[0]] is not None}
     assert any(0 < w["bleu_score"] < 1 for w in want.values())
     for c, name in frames.items():
-        got = {(r.sample_id, r.model): r[c] for r in Q.QUERIES[f"whole_{name}"](spark, DATA).collect()}
+        got = {(r.sample_id, r.model): r[c] for r in Q.QUERIES[name](spark, DATA).collect()}
         assert len(got) == len(made)
         assert all(math.isclose(got[k], w[c], abs_tol=2e-6) for k, w in want.items()), c
 
 
 def test_counts(spark, texts, expected, made):
     done = {"tuned": 0, "baseline": 0}
-    rows = {(r.model, r.sample_id): (r.passed, r.done) for r in Q.QUERIES["whole_running_pass1"](spark, DATA).collect()}
+    rows = {(r.model, r.sample_id): (r.passed, r.done) for r in Q.QUERIES["running_pass1"](spark, DATA).collect()}
     for k, (i, model) in enumerate(sorted(made)):
         done[model] += made[i, model].text == expected[i]
         assert rows[model, i] == (done[model], k // 2 + 1)
-    for r in Q.QUERIES["whole_benchmark_summary"](spark, DATA).collect():
+    for r in Q.QUERIES["benchmark_summary"](spark, DATA).collect():
         assert (r.n, r.pass_at_1) == (len(expected), done[r.model])
-    ids = {r.id for r in Q.QUERIES["whole_compact_results"](spark, DATA).collect()}
+    ids = {r.id for r in Q.QUERIES["compact_results"](spark, DATA).collect()}
     assert ids == set(range(len(expected)))
-    has = {r.sample_id: r.passed for r in Q.QUERIES["whole_keyword_any"](spark, DATA).collect()}
+    has = {r.sample_id: r.passed for r in Q.QUERIES["keyword_any"](spark, DATA).collect()}
     for i, line in expected.items():
         if line is not None:
             words = ["tion", "qu", texts[i // D.LINE_IDS].lang]
