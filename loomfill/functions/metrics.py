@@ -72,8 +72,8 @@ def ngrams(tokens: Column, n: int) -> Column:
     )
 
 
-def shared_count(own: Column, other: Column) -> Column:
-    """How many entries two arrays of strings share, each as often as both have it: one sort and one walk over them."""
+def _walk_shared(own: Column, other: Column) -> Column:
+    """:func:`shared_count` by one sort of both arrays and one walk over them."""
     tagged = lambda grams, o: F.transform(grams, lambda g: F.struct(g.alias("g"), F.lit(o).alias("o")))
     state = lambda g, own, other, hits: F.struct(g.alias("g"), own.alias("own"), other.alias("other"), hits.alias("hits"))
     zero = F.lit(0)
@@ -84,12 +84,25 @@ def shared_count(own: Column, other: Column) -> Column:
         return F.when(s["g"].eqNullSafe(x["g"]), same).otherwise(fresh)
 
     start = state(F.lit(None).cast("string"), zero, zero, zero)
-    return F.aggregate(F.array_sort(F.concat(tagged(own, 1), tagged(other, 0))), start, walk, lambda s: s["hits"] + F.least(s["own"], s["other"]))
+    return F.aggregate(F.sort_array(F.concat(tagged(own, 1), tagged(other, 0))), start, walk, lambda s: s["hits"] + F.least(s["own"], s["other"]))
+
+
+def shared_count(own: Column, other: Column) -> Column:
+    """How many entries two arrays of strings share, each as often as both have it.
+
+    One of each that both have, by hashing, and what their repetitions share:
+    of a sorted array, the entries that equal the one before.
+    """
+    again = lambda s: F.filter(s, lambda x, i: (i > 0) & (x == F.get(s, i - 1)))
+    pair = F.array(F.struct(F.sort_array(own).alias("a"), F.sort_array(other).alias("b")))
+    both = F.transform(pair, lambda p: F.struct(F.size(F.array_intersect(p["a"], p["b"])).alias("n"), again(p["a"]).alias("a"), again(p["b"]).alias("b")))
+    more = lambda p: F.when((F.size(p["a"]) > 0) & (F.size(p["b"]) > 0), _walk_shared(p["a"], p["b"])).otherwise(0)
+    return F.get(F.transform(both, lambda p: p["n"] + more(p)), F.lit(0))
 
 
 def _precision(own_words: Column, other_words: Column, n: int) -> Column:
-    own, other = ngrams(own_words, n), ngrams(other_words, n)
-    return F.when(F.size(own) > 0, shared_count(own, other) / F.size(own))
+    own, other = (ngrams(w, n) if n > 1 else w for w in (own_words, other_words))
+    return F.when(F.size(own_words) >= n, shared_count(own, other) / (F.size(own_words) - n + 1))
 
 
 def ngram_precision(generated: Column, expected: Column, n: int) -> Column:

@@ -37,9 +37,9 @@ def with_blocks(files: DataFrame) -> DataFrame:
     binds what the next one needs, as a lambda would compute it anew per use.
     """
     located = files.withColumns(
-        {"starts": line_starts(F.col("code")), "n_chars": F.length("code"), "bound": length_bound(F.col("code"))}
+        {"starts": line_starts(F.col("code")), "n_chars": F.length("code"), "bound": length_bound(F.col("code")), "wide": F.encode("code", "UTF-32")}
     )
-    code, starts, n_chars, bound = F.col("code"), F.col("starts"), F.col("n_chars"), F.col("bound")
+    starts, n_chars, bound = F.col("starts"), F.col("n_chars"), F.col("bound")
 
     def spanned(node: Column) -> Column:
         has_body = (node["node_type"] == "Function") & node["body"].isNotNull()
@@ -53,7 +53,8 @@ def with_blocks(files: DataFrame) -> DataFrame:
         return F.when((s != 0) & (e != 0), at)
 
     def with_text(at: Column) -> Column:
-        text = F.when(at["has_body"], F.substring(code, at["start"] + 1, F.least(at["end"], n_chars) - at["start"]))
+        # Four bytes a character: no cut walks the file from its start.
+        text = F.when(at["has_body"], F.decode(F.substring("wide", 4 * at["start"] + 1, 4 * (F.least(at["end"], n_chars) - at["start"])), "UTF-32"))
         return F.struct(at.alias("at"), text.alias("text"), F.instr(text, F.lit("{")).alias("brace"))
 
     def trimmed(x: Column) -> Column:
@@ -66,7 +67,7 @@ def with_blocks(files: DataFrame) -> DataFrame:
     nodes = F.array_compact(F.transform(F.transform("nodes", spanned), placed))
     found = F.array_compact(F.flatten(F.transform(F.transform(nodes, with_text), trimmed)))
     blocks = F.filter(found, lambda b: (b["end"] - b["start"]).between(F.lit(MIN_SPAN), bound))
-    return located.withColumn("blocks", F.coalesce(blocks, F.array().cast(f"array<{_BLOCK}>"))).drop("starts", "bound")
+    return located.withColumn("blocks", F.coalesce(blocks, F.array().cast(f"array<{_BLOCK}>"))).drop("starts", "bound", "wide")
 
 
 def extract_blocks(files: DataFrame) -> DataFrame:

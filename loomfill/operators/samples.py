@@ -24,10 +24,14 @@ def fim_samples(files: DataFrame, seed: int = 42) -> DataFrame:
 
     Half of what the middle leaves of the budget goes before it, the rest
     after it; what the file can't fill is not given to the other side. Texts
-    are cut inside the file's row, so only samples are exploded.
+    are cut inside the file's row, so only samples are exploded; they are cut out
+    of four bytes a character, so no cut walks the file from its start.
     """
-    found = with_blocks(files.where("code IS NOT NULL"))
-    code, n_chars = F.col("code"), F.col("n_chars")
+    found = with_blocks(files.where("code IS NOT NULL")).withColumn("wide", F.encode("code", "UTF-32"))
+    n_chars = F.col("n_chars")
+
+    def cut(start: Column, n: Column) -> Column:
+        return F.decode(F.substring("wide", 4 * start + 1, 4 * n), "UTF-32")
 
     def sample(block: Column, i: Column) -> Column:
         start, end = block["start"], block["end"]
@@ -38,9 +42,9 @@ def fim_samples(files: DataFrame, seed: int = 42) -> DataFrame:
         last = F.least(n_chars, end + (most - middle - before))
         made = F.struct(
             i.alias("ord"),
-            F.substring(code, first + 1, start - first).alias("prefix"),
-            F.substring(code, start + 1, middle).alias("middle"),
-            F.when(last > end, F.substring(code, end + 1, last - end)).otherwise("").alias("suffix"),
+            cut(first, start - first).alias("prefix"),
+            cut(start, middle).alias("middle"),
+            F.when(last > end, cut(end, last - end)).otherwise("").alias("suffix"),
             block["node_type"].alias("node_type"),
         )
         return F.when((middle > 0) & (middle <= most), made)

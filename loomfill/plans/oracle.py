@@ -191,5 +191,11 @@ ORACLE_SQL: dict[str, str] = {
     "generate_stub": f"""WITH {_TESTS}, h AS (SELECT sample_id, list_transform(range(0, 6), lambda k: md5('stub|' || k::VARCHAR || '|{BEGIN}' || middle || '{HOLE}{END}')) AS digests FROM tests),
         w AS (SELECT sample_id, list_transform(digests, lambda d: array_to_string(list_transform(range(0, 8), lambda i: substr(d, 4 * i + 1, 4)), ' ')) AS texts FROM h)
         SELECT sample_id, 'stub' AS model, texts[1] AS text, array_to_string(texts[2:6], '|') AS draws, 8::INT AS tokens FROM w""",
+    "python_ast_nodes": """WITH l AS (SELECT doc_id::VARCHAR AS path, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents),
+        k AS (SELECT path, i, i % 4 AS form, 7 * (i // 4) + 2 * (i % 4) + 1 AS low, 6 * (i // 4) + [0, 1, 3, 5][i % 4 + 1] AS ord FROM l)
+        SELECT path, ord::BIGINT AS ord, ['FunctionDef', 'ClassDef', 'For', 'Assign'][form + 1] AS node_type, low::VARCHAR || ':' || (low + CASE WHEN form < 3 THEN 1 ELSE 0 END)::VARCHAR AS span FROM k
+        UNION ALL SELECT path, ord::BIGINT + 1, 'Assign', (low + 1)::VARCHAR || ':' || (low + 1)::VARCHAR FROM k WHERE form IN (1, 2)""",
+    "rust_items": f"""WITH {_FILES} SELECT path, i - 1 AS ord, node_type, CASE node_type WHEN 'Function' THEN 'l' || (i - 1)::VARCHAR WHEN 'Struct' THEN 'S' || (i - 1)::VARCHAR WHEN 'Const' THEN 'C' END AS name,
+        i::VARCHAR || ':' || i::VARCHAR AS span FROM nodes""",
     "manifest_rows": f"WITH {_TESTS} SELECT sample_id AS original_index, node_type, file_path FROM tests ORDER BY md5('42|' || sample_id::VARCHAR), sample_id LIMIT 200",
 }

@@ -373,9 +373,10 @@ def report_lines(spark, sf_dir):
 
 @query
 def rust_items(spark, sf_dir):
-    """Items that the scanner finds in the stand-in files."""
+    """Items that the scanner finds in the stand-in files; a use has its tokens for a name, which are left out."""
     parsed = extract.extract_nodes(D.files(spark, sf_dir), "rust")
-    return extract.explode_nodes(parsed).select("path", F.col("ord").cast("long").alias("ord"), "node_type", "name", "span")
+    name = F.when(F.col("node_type") != "Use", F.col("name")).alias("name")
+    return extract.explode_nodes(parsed).select("path", F.col("ord").cast("long").alias("ord"), "node_type", name, "span")
 
 
 @query
