@@ -230,7 +230,7 @@ RESULTS = (
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """A result document as one row ``metadata, summary, results``; of a folder or pattern, the one whose name sorts last."""
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file")).where("trim(value) <> ''")
     last = files.agg(F.max(F.struct("file", "value")).alias("f"))
     return last.select(F.from_json("f.value", RESULTS).alias("d")).where("d IS NOT NULL").select("d.*")
 
@@ -252,6 +252,16 @@ def compact_results(scores: DataFrame, span: int = RANGE) -> DataFrame:
     return wide.select((F.col("id") - 1).alias("id"), F.col("file_path").alias("path"), "expected", part(TUNED).alias(TUNED), part(BASELINE).alias(BASELINE))
 
 
+def compact_lines(rows: DataFrame) -> DataFrame:
+    """Console summary of :func:`compact_results`: ``ord, line`` for both models and their difference in points."""
+    n = F.count(F.lit(1))
+    count, mean = (lambda m, c: F.count_if(F.col(f"{m}.`{c}`"))), (lambda m, c: F.avg(F.col(f"{m}.`{c}`")))
+    line = lambda m: F.format_string(f"{m.upper()}: pass@1=%d/%d (%.1f%%) | pass@5=%d/%d | edit_sim=%.3f", count(m, "pass@1"), n, count(m, "pass@1") * 100.0 / n, count(m, "pass@5"), n, mean(m, "edit_sim"))
+    delta = F.format_string("Δ pass@1: %+.1f%%", (count(TUNED, "pass@1") - count(BASELINE, "pass@1")) * 100.0 / n)
+    one = rows.agg(F.when(n > 0, F.array(F.format_string("RESULTS (%d samples)", n), line(TUNED), line(BASELINE), delta)).alias("lines"))
+    return one.select(F.posexplode("lines").alias("ord", "line")).orderBy("ord")
+
+
 def manifest_rows(samples: DataFrame) -> DataFrame:
     return samples.select(F.col("sample_id").alias("original_index"), "node_type", "file_path")
 

@@ -80,6 +80,12 @@ def write_corpus(parsed: DataFrame, path: str) -> None:
     _tagged(parsed).write.json(path)
 
 
+def corpus_lines(parsed: DataFrame) -> DataFrame:
+    """The same as rows of one column ``line``."""
+    rows = _tagged(parsed)
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("line"))
+
+
 def corpus_document(parsed: DataFrame) -> DataFrame:
     """The one-object form as a single row; for small corpora only."""
     one = F.struct("code", "ast")

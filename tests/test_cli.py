@@ -5,15 +5,16 @@ import os
 
 import pytest
 
-from loomfill.__main__ import main
+from loomfill.__main__ import _numbered, main
 from loomfill.operators import generate, quick
+from loomfill.sources import corpora
 
 
 def lines(folder):
     return [line for n in sorted(os.listdir(folder)) if n.startswith("part") for line in (folder / n).read_text().splitlines()]
 
 
-def test_source_tree_to_report(spark, tmp_path):
+def test_source_tree_to_report(spark, tmp_path, capsys):
     src = tmp_path / "src"
     (src / "m").mkdir(parents=True)
     for i in range(4):
@@ -31,6 +32,23 @@ def test_source_tree_to_report(spark, tmp_path):
     document = json.loads(lines(tmp_path / "b" / "results")[0])
     assert document["metadata"]["total_samples"] == 9 == len(document["results"])
     assert len(lines(tmp_path / "b" / "manifest")) == 10 and len(lines(tmp_path / "b" / "compact")) == 9
+    ids = [json.loads(x)["sample_id"] if "sample_id" in x else None for x in lines(tmp_path / "b" / "compact")]
+    assert len(ids) == 9
+    capsys.readouterr()
+    main(["summary", str(tmp_path / "b" / "results")])
+    results = document["results"]
+    passed = {m: sum(r[f"{m}_metrics"]["pass_at_1"] for r in results) for m in ("tuned", "baseline")}
+    mean = {m: sum(r[f"{m}_metrics"]["edit_similarity"] for r in results) / 9 for m in passed}
+    want = f"pass@1 tuned {passed['tuned']}/9 ({passed['tuned'] / 9 * 100:.1f}%) vs base {passed['baseline']}/9 ({passed['baseline'] / 9 * 100:.1f}%) | edit-sim {mean['tuned']:.3f} vs {mean['baseline']:.3f}"
+    assert capsys.readouterr().out.strip().splitlines()[-1] == want
+    main(["infer", "--test_data", str(tmp_path / "out_test.jsonl"), "--max_samples", "5", "--output", str(tmp_path / "infer.json"), "--k", "2"])
+    rows = json.loads((tmp_path / "infer.json").read_text())
+    assert [r["id"] for r in rows] == list(range(5)) and {"pass@1", "pass@5", "edit_sim", "time"} <= set(rows[0]["tuned"])
+    out = capsys.readouterr().out
+    assert "RESULTS (5 samples)" in out and "TUNED: pass@1=0/5 (0.0%)" in out and "infer.json" in out
+    main(["extract", str(src), "-", "--language", "rust"])
+    printed = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert sorted(map(str, printed)) == sorted(map(str, map(json.loads, lines(tmp_path / "ast"))))
     with pytest.raises(FileNotFoundError):
         main(["datagen", "--ast", str(tmp_path / "missing")])
 
@@ -44,3 +62,21 @@ def test_quick_cases(spark):
     assert len(got) == 8 and got["Rust: Struct field access"].passed and not got["Rust: Simple function body"].passed
     assert got["Rust: Match arm"].generated == "SELF.amount"
     assert quick.run(spark, generate.StubGenerator).count() == 8
+
+
+def test_rows_are_numbered_in_file_order(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({"filePath": f"{name}{i}", "prefix": "", "middle": "m", "suffix": "", "nodeType": "Use"}) + "\n" for i in range(300)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = {r.sample_id: r.file_path for r in _numbered(spark, corpora.read_samples(spark, str(tmp_path))).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {k: f"{'ab'[k // 300]}{k % 300}" for k in range(600)}
+
+
+def test_tokenizer_check(spark):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    main(["check-tokenizer", tokenizers.path("byte_bpe_50k.json")])
+    with pytest.raises(ValueError):
+        main(["check-tokenizer", tokenizers.path("word_bpe_49k.json")])
