@@ -85,3 +85,13 @@ def op3_sharding(spark, sf_dir: str) -> DataFrame:
     """Every document's shard among 64, by doc_id."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
     return place(docs, "doc_id", [f"shard-{i:04d}" for i in range(N_SHARDS)])
+
+
+def op3_sql() -> str:
+    """The query's placement; the filled table, which SQL can't fill, is a list in it."""
+    owners = ", ".join(map(str, lookup_table([f"shard-{i:04d}" for i in range(N_SHARDS)]).tolist()))
+    return f"""
+WITH owners AS (SELECT unnest(range({SLOTS}))::INTEGER AS slot, unnest([{owners}]) AS k
+), d AS (SELECT doc_id, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % {SLOTS})::INTEGER AS slot FROM documents)
+SELECT doc_id, slot, 'shard-' || lpad(k::VARCHAR, 4, '0') AS shard FROM d JOIN owners USING (slot)
+"""

@@ -157,8 +157,8 @@ def count_with_edits(
 
     Returns one row per row: ``doc_id, n_chars, n_tokens, n_edits,
     n_chars_after, n_tokens_after, n_recounted`` (characters encoded anew).
-    Null and empty texts have no tokens. Texts without edits are counted
-    without a tree. Texts of any length are counted whole. Repeated rows give
+    Null and empty texts have no tokens. Every text has its tree, edited or
+    not. Texts of any length are counted whole. Repeated rows give
     repeated rows, an empty table an empty result; columns other than id and
     text are not read. Only the :func:`patterns` are taken, as ``CONTEXT``
     has been made out for these.
@@ -174,14 +174,10 @@ def count_with_edits(
             for value in batch.column(1):
                 text = value.as_py()
                 edits = edits_of(text)
-                if edits:
-                    tree = CountTree(text, encoder)
-                    before = tree.n_tokens
-                    tree.apply(edits)
-                    rows.append((len(text), before, len(edits), tree.n_chars, tree.n_tokens, tree.recounted))
-                else:
-                    n = sum(map(len, map(encoder.memo.__getitem__, encoder.split(text))))
-                    rows.append((len(text), n, 0, len(text), n, 0))
+                tree = CountTree(text, encoder)
+                before = tree.n_tokens
+                tree.apply(edits)
+                rows.append((len(text), before, len(edits), tree.n_chars, tree.n_tokens, tree.recounted))
             columns = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *_COUNTS])
 
