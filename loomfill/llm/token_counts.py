@@ -26,7 +26,7 @@ from loomfill.llm.common import small_batches, table, tidy
 
 CONTEXT = 3
 #: What the query's edits redact, and what they put in its place.
-REDACT = r"[\w.+-]+@[\w-]+\.[\w.-]*\w|\+?\d[\d ()-]{6,}\d"
+ADDRESS, NUMBER = r"[\w.+-]+@[\w-]+\.[\w.-]*\w", r"\+?\d[\d ()-]{6,}\d"
 MARK = "[redacted]"
 
 Edit = tuple[int, int, str]  # start, end, replacement
@@ -44,46 +44,44 @@ class CountTree:
         while size < len(self.leaves):
             size *= 2
         self.size = size
-        chars, tokens = np.zeros(2 * size, np.int64), np.zeros(2 * size, np.int64)
+        # Characters and tokens of each subtree: node k has the children 2k and 2k + 1, the root is 1.
+        self.sums = sums = np.zeros((2, 2 * size), np.int64)
         n = len(self.leaves)
-        chars[size : size + n] = [len(p) for p in self.leaves]
-        tokens[size : size + n] = [len(self.memo[p]) for p in self.leaves]
+        sums[0, size : size + n] = np.fromiter(map(len, self.leaves), np.int64, n)
+        sums[1, size : size + n] = np.fromiter(map(len, map(self.memo.__getitem__, self.leaves)), np.int64, n)
         level = size
         while level > 1:
-            for a in (chars, tokens):
-                a[level // 2 : level] = a[level : 2 * level : 2] + a[level + 1 : 2 * level : 2]
+            sums[:, level // 2 : level] = sums[:, level : 2 * level : 2] + sums[:, level + 1 : 2 * level : 2]
             level //= 2
-        self.chars, self.tokens = chars.tolist(), tokens.tolist()
 
     @property
     def n_tokens(self) -> int:
-        return self.tokens[1]
+        return int(self.sums[1, 1])
 
     @property
     def n_chars(self) -> int:
-        return self.chars[1]
+        return int(self.sums[0, 1])
 
     def text(self) -> str:
         return "".join(self.leaves)
 
     def _leaf_at(self, place: int) -> tuple[int, int]:
         """The leaf that holds a character, and where it starts."""
-        node, start, chars = 1, 0, self.chars
+        node, start, chars = 1, 0, self.sums[0]
         while node < self.size:
             node *= 2
             if place >= start + chars[node]:
-                start += chars[node]
+                start += int(chars[node])
                 node += 1
         return node - self.size, start
 
     def _set(self, leaf: int, piece: str, tokens: int) -> None:
         self.leaves[leaf] = piece
         node = leaf + self.size
-        d_chars, d_tokens = len(piece) - self.chars[node], tokens - self.tokens[node]
-        if d_chars or d_tokens:
+        change = np.array([len(piece), tokens]) - self.sums[:, node]
+        if change.any():
             while node:
-                self.chars[node] += d_chars
-                self.tokens[node] += d_tokens
+                self.sums[:, node] += change
                 node //= 2
 
     def edit(self, start: int, end: int, replacement: str) -> None:
@@ -145,9 +143,15 @@ def patterns() -> set[str]:
     return {vocabulary()[1]}
 
 
-def redactions(pattern: str = REDACT, mark: str = MARK):
-    found = regex.compile(pattern).finditer
-    return lambda text: [(m.start(), m.end(), mark) for m in found(text)]
+def redactions(mark: str = MARK):
+    """A function from text to the edits that put ``mark`` in place of addresses and long numbers."""
+    number, either = regex.compile(NUMBER).finditer, regex.compile(f"{ADDRESS}|{NUMBER}").finditer
+
+    def edits_of(text: str) -> list[Edit]:
+        found = either if "@" in text else number  # no address is without it
+        return [(m.start(), m.end(), mark) for m in found(text)]
+
+    return edits_of
 
 
 def count_with_edits(
