@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from loomfill.functions.text import words
 
@@ -29,7 +34,8 @@ def common_prefix(a: Column, b: Column) -> Column:
 def edit_distance(a: Column, b: Column) -> Column:
     """Levenshtein distance in code points.
 
-    What the texts share at either end never changes it and is cut off first,
+    Of a text that stands in the other one, it is what they differ by in length.
+    Elsewhere, what the texts share at either end never changes it and is cut off first,
     as the rest costs the product of the lengths. Each transform binds what the next one needs.
     """
     def with_prefix(x: Column) -> Column:
@@ -41,7 +47,8 @@ def edit_distance(a: Column, b: Column) -> Column:
     pair = F.array(F.struct(a.alias("a"), b.alias("b")))
     for _ in range(2):  # the start, then, turned round, the end
         pair = F.transform(F.transform(pair, with_prefix), cut)
-    return F.get(F.transform(pair, lambda x: F.levenshtein(x["a"], x["b"])), F.lit(0))
+    inside = F.contains(a, b) | F.contains(b, a)
+    return F.when(inside, F.abs(F.length(a) - F.length(b))).otherwise(F.get(F.transform(pair, lambda x: F.levenshtein(x["a"], x["b"])), F.lit(0)))
 
 
 def edit_similarity(a: Column, b: Column) -> Column:
@@ -50,18 +57,21 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(longer == 0, 1.0).when((a == "") | (b == ""), 0.0).otherwise(1 - edit_distance(a, b) / longer)
 
 
+def _of_words(a: Column, b: Column, share) -> Column:
+    """``share`` of both texts' words, which are bound once; 0 if either text has none."""
+    pair = F.array(F.struct(words(a).alias("x"), words(b).alias("y")))
+    some = lambda p: (F.size(p["x"]) > 0) & (F.size(p["y"]) > 0)
+    return F.get(F.transform(pair, lambda p: F.when(some(p), share(p["x"], p["y"])).otherwise(0.0)), F.lit(0))
+
+
 def token_overlap(a: Column, b: Column) -> Column:
     """Shared distinct words as a share of all distinct words; 0 if either text has none."""
-    x, y = words(a), words(b)
-    some = (F.size(x) > 0) & (F.size(y) > 0)
-    return F.when(some, F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(0.0)
+    return _of_words(a, b, lambda x, y: F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
 def word_overlap(a: Column, b: Column) -> Column:
     """Shared distinct words as a share of the larger word set; 0 if either text has none."""
-    x, y = F.array_distinct(words(a)), F.array_distinct(words(b))
-    some = (F.size(x) > 0) & (F.size(y) > 0)
-    return F.when(some, F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y))).otherwise(0.0)
+    return _of_words(a, b, lambda x, y: F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_distinct(x)), F.size(F.array_distinct(y))))
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -110,14 +120,31 @@ def ngram_precision(generated: Column, expected: Column, n: int) -> Column:
     return _precision(words(generated), words(expected), n)
 
 
+def _bleu(generated: str, expected: str, most: int) -> float:
+    a, b = generated.split(), expected.split()
+    if not a or not b:
+        return 0.0
+    if f" {' '.join(a)} " in f" {' '.join(b)} ":  # a run of the expected words: any precision is 1
+        return 1.0
+    logs = []
+    for n in range(1, min(most, len(a)) + 1):
+        own, other = (Counter(t if n == 1 else zip(*[t[i:] for i in range(n)])) for t in (a, b))
+        hits = sum(min(c, other[g]) for g, c in own.items() if g in other)
+        if not hits:
+            return 0.0
+        logs.append(math.log(hits / (len(a) - n + 1)))
+    return math.exp(sum(logs) / len(logs))
+
+
 def bleu(generated: Column, expected: Column, most: int = 4) -> Column:
     """Geometric mean of the n-gram precisions for n from 1 to ``most``; null texts count as empty.
 
     Orders without n-grams are skipped, any precision of 0 gives 0, and there
-    is no brevity penalty. Texts of any length cost one sort of their n-grams, within the row.
+    is no brevity penalty. Counted row by row in a Python worker, whose
+    ``str.split`` parts words as :func:`words` does; texts of any length cost the number of their words.
     """
-    text = lambda c: words(F.coalesce(c, F.lit("")))
-    pair = F.array(F.struct(text(generated).alias("a"), text(expected).alias("b")))  # bound once for all orders
-    orders = F.get(F.transform(pair, lambda p: F.array(*[_precision(p["a"], p["b"], n) for n in range(1, most + 1)])), F.lit(0))
-    parts = F.get(F.transform(F.array(F.array_compact(orders)), lambda p: F.when((F.size(p) > 0) & F.forall(p, lambda x: x > 0), F.exp(F.aggregate(p, F.lit(0.0), lambda s, x: s + F.ln(x)) / F.size(p)))), F.lit(0))
-    return F.coalesce(parts, F.lit(0.0))
+
+    def run(generated: pa.Array, expected: pa.Array) -> pa.Array:
+        return pa.array([_bleu(a.as_py() or "", b.as_py() or "", most) for a, b in zip(generated, expected)], pa.float64())
+
+    return F.arrow_udf(run, DoubleType())(generated, expected)

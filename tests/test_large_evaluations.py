@@ -1,9 +1,14 @@
 """Evaluations of many samples: what nobody reads is not scored, and both models' rows still meet."""
 
 import os
+import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from loomfill.functions import metrics as M
+from loomfill.functions.text import words
 from loomfill.operators import evaluate as E
 from loomfill.plans import queries as Q
 
@@ -30,3 +35,34 @@ def test_side_by_side_needs_both_models(spark):
     assert (one.sample_id, one.expected, one.tuned.text, one.baseline.text, one.tuned.exact_match) == (1, None, "a", None, False)
     assert (four.sample_id, four.file_path, four.tuned.any_pass, four.tuned.exact_match, four.baseline.exact_match, four.baseline.generated_tokens) == (4, "p4", True, False, True, 6)
     assert [(r.id, r.path, r.expected, r.tuned["pass@5"], r.baseline.tokens) for r in E.compact_results(scores).orderBy("id").collect()] == [(0, "p1", None, False, 4), (1, "p4", "a", True, 6)]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_a_report_scores_for_its_table_and_for_its_samples_only(spark):
+    text = plan(Q.QUERIES["report_lines"](spark, DATA))
+    assert "sort_array" not in text  # n-grams are not sorted
+    assert text.count("Relation [") <= 7  # once for the table (both models, samples), once for the samples (those twice)
+
+
+def test_workers_part_words_as_columns_do(spark):
+    odd = "".join(c for c in map(chr, range(0x110000)) if c.isspace()) + "\u200b\ufeff\u180e\x00\x08\x7f"
+    rows = [(f"a{c}b",) for c in odd]
+    got = spark.createDataFrame(rows, "t string").select("t", words(F.col("t")).alias("w"), M.bleu(F.col("t"), F.lit("a b")).alias("bleu")).collect()
+    assert [r.w for r in got] == [r.t.split() for r in got]
+    assert all(r.bleu == (1.0 if r.w == ["a", "b"] else 0.0) for r in got)
+
+
+def test_bleu_of_repeated_and_missing_texts(spark):
+    rows = [("a b a b c", "b a b a b x"), (None, "a"), ("a", None), (None, None), ("b c", "ab cd"), ("x y z", "w x y z")]
+    got = [r.b for r in spark.createDataFrame(rows, "g string, e string").select(M.bleu(F.col("g"), F.col("e")).alias("b")).collect()]
+    assert got[0] == pytest.approx((4 / 5 * 3 / 4 * 2 / 3 * 1 / 2) ** 0.25) and got[1:] == [0.0, 0.0, 0.0, 0.0, 1.0]
+
+
+def test_long_lines_cost_their_length(spark):
+    rng = random.Random(1)
+    text = " ".join(rng.choices([f"w{i}" for i in range(2_000)], k=40_000))
+    rows = spark.createDataFrame([(text[len(text) // 4 : len(text) // 2], text)], "g string, e string")
+    start = time.perf_counter()
+    r = rows.select(M.edit_distance(F.col("g"), F.col("e")).alias("d"), M.bleu(F.col("g"), F.col("e")).alias("b")).first()
+    assert r.d == len(text) - (len(text) // 2 - len(text) // 4) and 0.9 < r.b < 1
+    assert time.perf_counter() - start < 10  # the product of the lengths would take minutes
