@@ -7,6 +7,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -165,9 +166,21 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now: its cleaner acts
-    when the driver collects its garbage, which it may not do for long."""
+    when the driver collects its garbage, which it may not do for long.
+
+    Threads of listeners hold their last event, and so the last step's plan, until
+    another one comes; an empty step sends some. The second collection finds what
+    the first one's finalisers have let go.
+    """
     gc.collect()
-    spark._jvm.System.gc()
+    spark.range(1).count()
+    try:
+        spark._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    except Exception:  # late or not to be reached: the files stay for longer
+        pass
+    for _ in range(2):
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def tidy(run, free=None):

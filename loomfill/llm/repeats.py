@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfill.llm.common import either, free_shuffles, key_chunks, small_batches, table, tidy, written
+from loomfill.llm.common import free_shuffles, key_chunks, small_batches, table, tidy, written
 from loomfill.llm.shingles import _BYTE, U, _power_tables, mix64
 from loomfill.llm.suffix_array import permuted_common_prefixes, suffix_array
 
@@ -128,6 +128,17 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def _stretches(order: np.ndarray, twin: np.ndarray, start: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order, twin, start and size of what strings of ``span`` bytes cover."""
+    at = np.lexsort((start, twin, order))
+    order, twin, start = order[at], twin[at], start[at].astype(np.int64)
+    fresh = _changes(order, twin)
+    fresh[1:] |= np.diff(start) > span
+    begin = np.flatnonzero(fresh)
+    last = np.append(begin[1:], len(start))[: len(begin)] - 1
+    return order[begin], twin[begin], start[begin], start[last] - start[begin] + span
+
+
 def _is_hot(number: np.ndarray, fresh: np.ndarray, size: np.ndarray, hot: int, share: int = 1) -> np.ndarray:
     """For each run whether its key, as numbered, has too many different ones, or too many bytes of them."""
     return (np.bincount(number, weights=fresh)[number] > hot) | (np.bincount(number, weights=fresh * np.abs(size))[number] > HOT_BYTES // share)
@@ -214,7 +225,9 @@ def _settle_runs(runs: DataFrame, hot: int) -> DataFrame:
 
 def _fetch(keyed: DataFrame, places: DataFrame, span: int) -> DataFrame:
     """``order, twin, key, start, kind, bytes`` of the places. Single strings come under
-    their own hash with another hash for bytes; of equal ones in a task the first, the others covered."""
+    their own hash with another hash for bytes; of equal ones in a task the first. The others
+    are covered, and come as stretches, with a stretch's size for bytes: a row for each string
+    would be as many rows as the copies of a long common passage have bytes."""
     names = ["order", "twin", "key", "start", "kind", "bytes"]
 
     def singles(held: list[tuple]) -> pa.RecordBatch:
@@ -222,11 +235,13 @@ def _fetch(keyed: DataFrame, places: DataFrame, span: int) -> DataFrame:
         at = np.lexsort((start, twin, order, other, key))
         order, twin, key, other, start = (x[at] for x in (order, twin, key, other, start))
         fresh, first = _changes(key, other, order, twin, start), _changes(key, other)
-        kind = np.where(first, SINGLY, COVERED)
-        key = np.where(first, key, _spread(order, start))
-        columns = [pa.array(x[fresh]) for x in (order, twin, key, start.astype(np.int32), kind.astype(np.int32))]
-        n = int(fresh.sum())
-        digests = pa.Array.from_buffers(pa.binary(8), n, [None, pa.py_buffer(other[fresh].tobytes())]).cast(pa.binary())
+        covered = _stretches(*(x[fresh & ~first] for x in (order, twin, start)), span)
+        first &= fresh
+        parts = [(order[first], twin[first], key[first], start[first], other[first]), (*covered[:2], _spread(covered[0], covered[2]), *covered[2:])]
+        n, m = (len(p[0]) for p in parts)
+        order, twin, key, start, content = (np.concatenate(c) for c in zip(*parts))
+        columns = [pa.array(x) for x in (order, twin, key, start.astype(np.int32), np.repeat([SINGLY, COVERED], [n, m]).astype(np.int32))]
+        digests = pa.Array.from_buffers(pa.binary(8), n + m, [None, pa.py_buffer(content.astype(np.int64, copy=False).tobytes())]).cast(pa.binary())
         return pa.RecordBatch.from_arrays([*columns, digests], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,8 +289,9 @@ def _string_hashes(text: bytes, span: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _with_places(keyed: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    """Join texts with the written table ``places`` (one row per document), broadcast only after measuring."""
-    return keyed.join(either(places), ["order", "twin"], how)
+    """Join texts with the written table ``places`` (one row per document). It grows with the
+    texts, so they are shuffled to it whatever its size, unless Spark itself finds it small."""
+    return keyed.join(places, ["order", "twin"], how)
 
 
 def covered_starts(strings: list[bytes], span: int = SPAN) -> np.ndarray:
@@ -306,15 +322,14 @@ def _resolve(fetched: DataFrame, span: int) -> DataFrame:
         order, twin, key, start, kind = (got.column(i).to_numpy() for i in range(5))
         content = got.column(5).combine_chunks()
         sizes = np.asarray(pc.binary_length(content))
-        # Strings that a task has found covered, and of single ones all but the first of a pair of hashes.
-        done = np.flatnonzero(kind == COVERED)
-        s = np.flatnonzero(kind == SINGLY)
-        other = np.frombuffer(b"".join(content.take(pa.array(s)).to_pylist()), np.int64)
+        # Stretches that a task has found covered, and of single ones all but the first of a pair of hashes.
+        done, s = np.flatnonzero(kind == COVERED), np.flatnonzero(kind == SINGLY)
+        length, other = (np.frombuffer(b"".join(content.take(pa.array(x)).to_pylist()), np.int64) for x in (done, s))
         at = np.lexsort((start[s], twin[s], order[s], other, key[s]))
         s, other = s[at], other[at]
         s = s[~_changes(key[s], other) & _changes(key[s], other, order[s], twin[s], start[s])]
-        s = np.concatenate((done, s))
-        out = [(order[s], twin[s], start[s].astype(np.int64), start[s].astype(np.int64) + span)]
+        first = start.astype(np.int64)
+        out = [(order[done], twin[done], first[done], first[done] + length), (order[s], twin[s], first[s], first[s] + span)]
         # Runs: key ranges of bounded size, each in corpus order.
         r = np.flatnonzero(kind == WHOLE)
         r = r[np.argsort(key[r], kind="stable")]
