@@ -129,7 +129,9 @@ def _bleu(generated: str, expected: str, most: int) -> float:
     logs = []
     for n in range(1, min(most, len(a)) + 1):
         own, other = (Counter(t if n == 1 else zip(*[t[i:] for i in range(n)])) for t in (a, b))
-        hits = sum(min(c, other[g]) for g, c in own.items() if g in other)
+        hits, there = 0, other.get
+        for gram, c in own.items():
+            hits += min(c, there(gram, 0))
         if not hits:
             return 0.0
         logs.append(math.log(hits / (len(a) - n + 1)))
@@ -145,6 +147,6 @@ def bleu(generated: Column, expected: Column, most: int = 4) -> Column:
     """
 
     def run(generated: pa.Array, expected: pa.Array) -> pa.Array:
-        return pa.array([_bleu(a.as_py() or "", b.as_py() or "", most) for a, b in zip(generated, expected)], pa.float64())
+        return pa.array([_bleu(a or "", b or "", most) for a, b in zip(generated.to_pylist(), expected.to_pylist())], pa.float64())
 
     return F.arrow_udf(run, DoubleType())(generated, expected)

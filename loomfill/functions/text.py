@@ -78,7 +78,8 @@ def contains_any(text: Column, keywords: Column) -> Column:
 
 def clip(text: Column, limit: int = 300) -> Column:
     """One line of at most ``limit`` characters, with a marker where something was cut off."""
-    line = F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit("\\n"))
+    # Replacing only adds characters, so one more than the limit decides.
+    line = F.replace(F.left(F.coalesce(text, F.lit("")), F.lit(limit + 1)), F.lit("\n"), F.lit("\\n"))
     return F.when(F.length(line) <= limit, line).otherwise(F.concat(F.substring(line, 1, limit), F.lit(" …[truncated]")))
 
 
@@ -91,9 +92,10 @@ def quoted(text: Column) -> Column:
     for raw, shown in (("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
         out = F.replace(out, F.lit(raw), F.lit(shown))
     codes = [*range(0, 9), 11, 12, *range(14, 32), *range(127, 161), 173]
-    # One pass where there is one of them at all.
-    escaped = reduce(lambda c, k: F.replace(c, F.lit(chr(k)), F.lit(f"\\x{k:02x}")), codes, out)
-    out = F.when(out.rlike("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\xa0\\xad]"), escaped).otherwise(out)
+    escaped = lambda o: reduce(lambda c, k: F.replace(c, F.lit(chr(k)), F.lit(f"\\x{k:02x}")), codes, o)
+    # One pass where there is one of them at all; each transform binds what the next step reads more than once.
+    odd = lambda o: o.rlike("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\xa0\\xad]")
+    out = F.get(F.transform(F.array(out), lambda o: F.when(odd(o), escaped(o)).otherwise(o)), F.lit(0))
     single, double = F.contains(text, F.lit("'")), F.contains(text, F.lit('"'))
     plain = F.concat(F.lit("'"), F.replace(out, F.lit("'"), F.lit("\\'")), F.lit("'"))
     return F.when(single & ~double, F.concat(F.lit('"'), out, F.lit('"'))).otherwise(plain)

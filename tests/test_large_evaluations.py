@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomfill.functions import metrics as M
-from loomfill.functions.text import words
+from loomfill.functions.text import clip, quoted, words
 from loomfill.operators import evaluate as E
 from loomfill.plans import queries as Q
 
@@ -66,3 +66,12 @@ def test_long_lines_cost_their_length(spark):
     r = rows.select(M.edit_distance(F.col("g"), F.col("e")).alias("d"), M.bleu(F.col("g"), F.col("e")).alias("b")).first()
     assert r.d == len(text) - (len(text) // 2 - len(text) // 4) and 0.9 < r.b < 1
     assert time.perf_counter() - start < 10  # the product of the lengths would take minutes
+
+
+def test_clipped_and_quoted_texts_are_as_python_shows_them(spark):
+    rng = random.Random(5)
+    rows = [("".join(rng.choices("ab\n\n\t\r\\'\"\x00\x07\x7f\x85\xa0\xadé🙂 ", k=rng.randint(0, 16))),) for _ in range(500)] + [("x" * 9 + "\n",), ("x" * 10,), ("x" * 11,)]
+    got = spark.createDataFrame(rows, "t string").select("t", clip(F.col("t"), 10).alias("c"), quoted(F.col("t")).alias("q")).collect()
+    for r in got:
+        line = r.t.replace("\n", "\\n")
+        assert r.c == (line if len(line) <= 10 else line[:10] + " …[truncated]") and r.q == repr(r.t)
