@@ -25,6 +25,7 @@ BROADCAST_BYTES = 32 << 20
 HOT_KEYS = 4_096
 
 _folders: dict[str, str] = {}
+_trims: dict[str, tuple | None] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,9 +80,33 @@ def written(df: DataFrame, name: str, share: int = 1) -> DataFrame:
     if share > 1:
         df = df.repartition(few(spark, share))
     df.write.parquet(path)
+    trim_driver(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+def trim_driver(spark: SparkSession) -> bool:
+    """Have the driver's JVM give back what it has freed outside its heap, some 100 MB
+    after many plans: glibc keeps it otherwise. False where a JVM knows no such command."""
+    app = spark.sparkContext.applicationId
+    try:
+        if app not in _trims:
+            jvm, _trims[app] = spark._jvm, None
+            # By reflection, as the server's own class is not public.
+            methods = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods()
+            invoke = next(m for m in methods if m.getName() == "invoke")
+            args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+            args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+            server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+            invoke.invoke(server, args)
+            _trims[app] = invoke, server, args
+        elif _trims[app]:
+            invoke, server, args = _trims[app]
+            invoke.invoke(server, args)
+    except Exception:  # another JVM, or an older one
+        _trims[app] = None
+    return _trims[app] is not None
+
+
 def bounded(table: DataFrame) -> bool:
     """Whether a written table is within ``BROADCAST_BYTES``: 24 bytes for each value besides what strings and lists hold."""
     size = F.lit(24 * len(table.columns))
@@ -183,6 +208,16 @@ def free_shuffles(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+def release_memory() -> None:
+    """Give back what this process has freed: allocators keep it otherwise, and it goes on counting as the process's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def tidy(run, free=None):
     """A worker function that gives its memory back when it ends: idle workers
     stay, and what their allocators keep counts as the executor's. ``free`` drops what it had cached."""
@@ -193,12 +228,7 @@ def tidy(run, free=None):
         finally:
             if free:
                 free()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # not glibc
-                pass
+            release_memory()
 
     return wrapped
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomfill.llm.common import small_batches, table, tidy
+from loomfill.llm.common import release_memory, small_batches, table, tidy
 
 #: At most so many labelled rows, and bytes of their texts, are used for fitting.
 MAX_ROWS, MAX_BYTES = 3_000, 32 << 20
@@ -201,9 +201,15 @@ def train(
     max_bytes: int = MAX_BYTES,
     settings: Settings = Settings(),
 ) -> Model:
-    """Fit on the labelled rows of ``docs`` that :func:`training_rows` takes."""
+    """Fit on the labelled rows of ``docs`` that :func:`training_rows` takes; the driver keeps nothing but the model."""
     rows = training_rows(docs, labels, id_col, text_col, label_col, max_rows, max_bytes)
-    return fit([bytes(r.fit_text) for r in rows], [r.fit_label for r in rows], settings)
+    labelled = [r.fit_label for r in rows]
+    texts = [bytes(r.fit_text) for r in rows]
+    del rows
+    model = fit(texts, labelled, settings)
+    del texts
+    release_memory()
+    return model
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
