@@ -23,8 +23,8 @@ around one common passage), or with a share of that in one task, is *hot*: its
 strings are dealt out singly by their own hash, again combined in each task first.
 
 Long stretches of one key, as in a text of one repeated byte, are cut into runs
-of ``PIECE`` strings. Shards come sorted by key and are worked on a few keys at a
-time, so a worker's memory depends neither on a text's length nor on a shard's.
+of ``PIECE`` strings. Shards come sorted by key, or packed by range of keys, and are
+worked on a few keys or ranges at a time, so a worker's memory depends neither on a text's length nor on a shard's.
 
 Where contents stand for themselves by digests: equal runs have equal keys,
 lengths and 64-bit hashes; single strings of hot keys equal 128-bit hashes.
@@ -39,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfill.llm.common import free_shuffles, key_chunks, small_batches, table, tidy, written
@@ -58,7 +58,9 @@ GAP = 0xFF
 CHUNK = 400_000
 #: Kinds of rows: covered whole, to be fetched, to be fetched string by string, mark of a hot key.
 COVERED, WHOLE, SINGLY, HOT_KEY = range(4)
-_RUN = "order long, twin long, key long, mark long, start int, size int, kind int"
+#: A run, as it travels: packed with others of its range of keys, so that the JVM moves and sorts few rows.
+_RUN = np.dtype([(c, "<i8") for c in ("order", "twin", "key", "mark")] + [(c, "<i4") for c in ("start", "size", "kind")])
+_PACKED = "range int, runs binary"
 
 
 def find_runs(text: bytes, span: int = SPAN, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -144,8 +146,13 @@ def _is_hot(number: np.ndarray, fresh: np.ndarray, size: np.ndarray, hot: int, s
     return (np.bincount(number, weights=fresh)[number] > hot) | (np.bincount(number, weights=fresh * np.abs(size))[number] > HOT_BYTES // share)
 
 
-def _combine(order, twin, key, mark, start, size, hot: int) -> Iterator[pa.RecordBatch]:
-    """A task's runs: of equal ones the first, the others covered; keys with over ``hot`` different runs marked hot."""
+def _range_bits(spark: SparkSession) -> int:
+    """Keys are dealt out by ranges of their hashes, 4,096 or eight for each shuffle partition; workers hold few at a time."""
+    return min(20, max(12, (8 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+
+
+def _combine(order, twin, key, mark, start, size, hot: int, bits: int) -> pa.RecordBatch:
+    """A task's runs: of equal ones the first, the others covered; keys with over ``hot`` different runs marked hot. Packed by range."""
     at = np.lexsort((start, twin, order, mark, key))
     order, twin, key, mark, start, size = (x[at] for x in (order, twin, key, mark, start, size))
     new_key, new_mark = _changes(key), _changes(key, mark)
@@ -158,13 +165,22 @@ def _combine(order, twin, key, mark, start, size, hot: int) -> Iterator[pa.Recor
     key = np.where(kind == WHOLE, key, _spread(order, start))
     keep = ~again
     zeros = np.zeros(len(marked), np.int64)
-    columns = [np.concatenate((x[keep], m)) for x, m in zip((order, twin, key, mark, start, size, kind), (zeros, zeros, marked, zeros, zeros, zeros, zeros + HOT_KEY))]
-    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if i > 3 else c) for i, c in enumerate(columns)], _RUN.replace(",", "").split()[::2])
+    runs = np.empty(int(keep.sum()) + len(marked), _RUN)
+    for name, x, m in zip(_RUN.names, (order, twin, key, mark, start, size, kind), (zeros, zeros, marked, zeros, zeros, zeros, zeros + HOT_KEY)):
+        runs[name] = np.concatenate((x[keep], m))
+    # By a hash of the key, as a key is the least of many hashes and so is small.
+    place = (mix64(runs["key"].view(np.uint64)) >> U(64 - bits)).astype(np.int32)
+    at = np.argsort(place, kind="stable")
+    runs, place = runs[at], place[at]
+    first = np.flatnonzero(_changes(place))
+    packed = [runs[a:b].tobytes() for a, b in zip(first.tolist(), [*first[1:].tolist(), len(runs)])]
+    return pa.RecordBatch.from_arrays([pa.array(place[first]), pa.array(packed, pa.binary())], ["range", "runs"])
 
 
 def _map_runs(keyed: DataFrame, span: int, seed: int, hot: int) -> DataFrame:
     # The more tasks there are, the fewer of a key's runs may come from each, so that what meets stays bounded.
     local = max(1, min(hot // 64, 2 * hot // int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    bits = _range_bits(keyed.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -178,12 +194,12 @@ def _map_runs(keyed: DataFrame, span: int, seed: int, hot: int) -> DataFrame:
             held.append((np.repeat(order, counts), np.repeat(twin, counts), key.view(np.int64), mark.view(np.int64), start, size))
             n += len(key)
             if n >= CHUNK:
-                yield from _combine(*map(np.concatenate, zip(*held)), local)
+                yield _combine(*map(np.concatenate, zip(*held)), local, bits)
                 held, n = [], 0
         if held:
-            yield from _combine(*map(np.concatenate, zip(*held)), local)
+            yield _combine(*map(np.concatenate, zip(*held)), local, bits)
 
-    return small_batches(keyed.select("order", "twin", "text")).mapInArrow(tidy(run), _RUN)
+    return small_batches(keyed.select("order", "twin", "text")).mapInArrow(tidy(run), _PACKED)
 
 
 def _settle_runs(runs: DataFrame, hot: int) -> DataFrame:
@@ -193,7 +209,8 @@ def _settle_runs(runs: DataFrame, hot: int) -> DataFrame:
     """
 
     def settle(got: pa.Table) -> Iterator[pa.RecordBatch]:
-        order, twin, key, mark, start, size, kind = (got.column(i).to_numpy() for i in range(7))
+        packed = np.frombuffer(b"".join(got.column(1).to_pylist()), _RUN)
+        order, twin, key, mark, start, size, kind = (np.ascontiguousarray(packed[c]) for c in _RUN.names)
         done = np.flatnonzero((kind == COVERED) | (kind == SINGLY))
         out = [[x[done] for x in (order, twin, key, start, size, kind)]]
         marked = np.isin(key, key[kind == HOT_KEY])
@@ -217,10 +234,10 @@ def _settle_runs(runs: DataFrame, hot: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if k > 2 else c) for k, c in enumerate(columns)], ["order", "twin", "key", "start", "size", "kind"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in key_chunks(batches, 2, 100_000):
+        for part in key_chunks(batches, size=100_000 * _RUN.itemsize):
             yield from settle(part)
 
-    return runs.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "order long, twin long, key long, start int, size int, kind int")
+    return runs.repartition("range").sortWithinPartitions("range").mapInArrow(tidy(run), "order long, twin long, key long, start int, size int, kind int")
 
 
 def _fetch(keyed: DataFrame, places: DataFrame, span: int) -> DataFrame:

@@ -70,3 +70,15 @@ def test_texts_are_not_joined_by_broadcast_of_what_grows_with_them(spark):
     texts = spark.createDataFrame([(1, 2, "x")], "order long, twin long, text string")
     places = spark.range(1).selectExpr("id AS order", "id AS twin", "id AS places")
     assert "broadcast" not in repeats._with_places(texts, places, "left")._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_runs_travel_packed_by_ranges_of_whole_keys(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefgh ", k=60_000)) for _ in range(40)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = repeats._map_runs(repeats._keyed(frame, "doc_id", "text"), 100, 32, repeats.HOT).collect()
+    runs = sum(len(repeats.find_runs(t.encode())[0]) for t in texts)
+    keys = [set(np.frombuffer(r.runs, repeats._RUN)["key"].tolist()) for r in rows]
+    assert sum(len(r.runs) // repeats._RUN.itemsize for r in rows) == runs
+    assert len(rows) * 10 < runs
+    assert sum(map(len, keys)) == len(set().union(*keys))
